@@ -44,6 +44,13 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), BLANK + "+", " "))
 
 
+def unescape(c: Column) -> Column:
+    """The common entities as characters, ampersand last."""
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def clean_text(c: Column) -> Column:
     return collapse_space(F.regexp_replace(F.regexp_replace(text_or_empty(c), CITATION, ""), INVISIBLE, ""))
 

@@ -113,7 +113,7 @@ def link_candidates(parsed: DataFrame, source: str, url: str, order: str, keywor
 def summary_of(meta: Column, paragraphs: Column, title: Column) -> Column:
     """First description or early paragraph that is long enough, cut with an ellipsis; else a set phrase."""
     described = F.transform(F.array(*[F.lit(k) for k in ("description", "og:description", "twitter:description")]), lambda k: F.coalesce(F.try_element_at(meta, k), F.lit("")))
-    texts = F.transform(F.concat(described, F.slice(paragraphs, 1, 6)), T.collapse_space)
+    texts = F.transform(F.concat(described, F.slice(paragraphs, 1, 6)), lambda x: T.collapse_space(T.unescape(x)))
     fit = F.get(F.filter(texts, lambda x: F.length(x) >= MIN_SUMMARY), F.lit(0))
     cut = F.concat(F.substring(fit, 1, MAX_SUMMARY), F.when(F.length(fit) > MAX_SUMMARY, "…").otherwise(""))
     return F.coalesce(cut, F.concat(F.lit(NO_SUMMARY[0]), title, F.lit(NO_SUMMARY[1])))
