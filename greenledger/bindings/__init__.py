@@ -1 +1,4 @@
+"""Every operator bound to the driver tables."""
 
+from greenledger.bindings import archive, text  # noqa: F401
+from greenledger.bindings.registry import ORACLE, QUERIES  # noqa: F401

@@ -40,6 +40,11 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
 
 
+def let(c: Column, body) -> Column:
+    """``body`` over a value that is written once: keeps nested expressions from multiplying."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), BLANK + "+", " "))
 
@@ -102,27 +107,40 @@ def _requote(value: Column) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """HTTPS, lower-case host, single slashes, no tracking parameters, no fragment."""
-    value = collapse_space(c)
-    value = F.when(value.startswith("//"), F.concat(F.lit("https:"), value)).otherwise(value)
-    value = F.regexp_replace(value, "^http://", "https://")
-    scheme = F.coalesce(blank_to_null(F.lower(_part(value, 1))), F.lit("https"))
-    host = F.lower(_part(value, 2))
-    path = F.regexp_replace(F.coalesce(blank_to_null(_part(value, 3)), F.lit("/")), "/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    pairs = F.filter(F.split(_part(value, 4), "&"), lambda p: p != "")
-    names = F.transform(
-        pairs,
+
+    def upgraded(value: Column) -> Column:
+        absolute = F.when(value.startswith("//"), F.concat(F.lit("https:"), value)).otherwise(value)
+        return let(F.regexp_replace(absolute, "^http://", "https://"), spelled)
+
+    def spelled(value: Column) -> Column:
+        parts = F.struct(
+            F.coalesce(blank_to_null(F.lower(_part(value, 1))), F.lit("https")).alias("scheme"),
+            F.lower(_part(value, 2)).alias("host"),
+            F.regexp_replace(F.regexp_replace(_part(value, 3), "/{2,}", "/"), "(?<=.)/$", "").alias("path"),
+            _kept_query(_part(value, 4)).alias("query"),
+        )
+        return F.when(value == "", "").otherwise(let(parts, joined))
+
+    def joined(p: Column) -> Column:
+        hosted = (p["host"] != "") | p["scheme"].isin("http", "https")
+        path = F.when((p["path"] == "") | (hosted & ~p["path"].startswith("/")), F.concat(F.lit("/"), p["path"])).otherwise(p["path"])
+        authority = F.when(hosted, F.concat(F.lit("//"), p["host"])).otherwise("")
+        tail = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+        return F.concat(p["scheme"], F.lit(":"), authority, path, tail)
+
+    return let(collapse_space(c), upgraded)
+
+
+def _kept_query(query: Column) -> Column:
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(
             _requote(F.regexp_extract(p, "^([^=]*)", 1)).alias("name"),
             _requote(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value"),
         ),
     )
-    kept = F.filter(names, lambda p: ~F.lower(p["name"]).isin(rules.TRACKING_PARAMS))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
-    authority = F.when((host != "") | scheme.isin("http", "https"), F.concat(F.lit("//"), host)).otherwise("")
-    rooted = F.when((authority != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    return F.when(value == "", "").otherwise(F.concat(scheme, F.lit(":"), authority, rooted, tail))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(rules.TRACKING_PARAMS))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
 
 
 def url_host(c: Column) -> Column:
@@ -144,8 +162,8 @@ def _date_by(text: Column, pattern: str) -> Column:
 
 def parse_date(c: Column, as_of: Column | None = None) -> Column:
     """Date found in free text. A missing date becomes ``as_of`` when one is given, else null."""
-    text = collapse_space(c)
-    found = F.coalesce(_date_by(text, DATE_SEPARATED), _date_by(text, DATE_COMPACT), _date_by(text, DATE_ISO))
+    patterns = (DATE_SEPARATED, DATE_COMPACT, DATE_ISO)
+    found = let(collapse_space(c), lambda text: F.coalesce(*[_date_by(text, p) for p in patterns]))
     return F.coalesce(found, as_of.cast("date")) if as_of is not None else found
 
 
@@ -157,8 +175,11 @@ def first_date(*columns: Column, as_of: Column | None = None) -> Column:
 def lenient_double(c: Column, default: float | None = None) -> Column:
     """Number from text with commas; null, blank, bad, NaN and infinite values take the default."""
     value = F.replace(c.cast("string"), F.lit(","), F.lit("")).try_cast("double")
-    finite = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    return F.coalesce(finite, F.lit(default).cast("double"))
+    return F.coalesce(let(value, _finite), F.lit(default).cast("double"))
+
+
+def _finite(value: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def lenient_int(c: Column, default: int | None = 0) -> Column:
@@ -172,8 +193,7 @@ def is_true(c: Column) -> Column:
 def board_number(c: Column, blank_is_zero: bool = False) -> Column:
     """Number as a form field reads it: no commas allowed; a blank is missing unless told otherwise."""
     text = F.trim(c.cast("string"))
-    value = text.try_cast("double")
-    finite = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    finite = let(text.try_cast("double"), _finite)
     return F.when(text == "", F.lit(0.0)).otherwise(finite) if blank_is_zero else finite
 
 

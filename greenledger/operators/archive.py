@@ -38,8 +38,12 @@ def merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival:
 
     ``arrival`` orders several incoming versions of one URL; without it ``first_seen`` does.
     """
-    old = with_columns_present(keyed(existing), ("version_count",), "int").withColumn("_side", F.lit(0))
-    new = with_columns_present(keyed(incoming), ("version_count",), "int").withColumn("_side", F.lit(1))
+    return _merge_log(keyed(existing), keyed(incoming), as_of, arrival)
+
+
+def _merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None) -> DataFrame:
+    old = with_columns_present(existing, ("version_count",), "int").withColumn("_side", F.lit(0))
+    new = with_columns_present(incoming, ("version_count",), "int").withColumn("_side", F.lit(1))
     order_by = F.col(arrival) if arrival else F.col("first_seen")
     old = old.withColumn("_at", F.struct(F.lit(0).alias("side"), order_by.alias("at"), F.col("content_hash").alias("tie")))
     new = new.withColumn("_at", F.struct(F.lit(1).alias("side"), order_by.alias("at"), F.col("content_hash").alias("tie")))
@@ -66,7 +70,14 @@ def merge(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str
     raised, the old hash remembered. Same hash: only last_seen and publisher move on. A null in
     the new row keeps the old value.
     """
-    log = merge_log(existing, incoming, as_of, arrival)
+    merged = _fold(merge_log(existing, incoming, as_of, arrival))
+    if max_records is None:
+        return merged
+    return merged.orderBy(F.desc_nulls_last("published_date"), F.desc_nulls_last("first_seen"), "canonical_url").limit(max_records)
+
+
+def _fold(log: DataFrame) -> DataFrame:
+    """One row per URL from its ordered log."""
     fields = [c for c in log.columns if not c.startswith("_") and c not in ("canonical_url", "action", "version_count", "first_seen", "last_seen", "publisher", "previous_content_hash")]
     written = F.col("action") != "unchanged"
     latest = [F.max_by(F.col(c), F.when(written & F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in fields]
@@ -76,7 +87,7 @@ def merge(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str
         if "previous_content_hash" in log.columns
         else F.lit(None).cast("string")
     )
-    merged = log.groupBy("canonical_url").agg(
+    return log.groupBy("canonical_url").agg(
         *latest,
         F.max_by(F.col("publisher"), F.when(F.col("publisher").isNotNull(), F.col("_at"))).alias("publisher"),
         F.min_by(F.col("first_seen"), F.when(F.col("first_seen").isNotNull(), F.col("_at"))).alias("first_seen"),
@@ -84,9 +95,6 @@ def merge(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str
         (F.coalesce(F.max("version_count"), F.lit(1)) + F.count_if(updated)).cast("int").alias("version_count"),
         F.coalesce(F.max_by(F.col("_before"), F.when(updated, F.col("_at"))), known_before).alias("previous_content_hash"),
     )
-    if max_records is None:
-        return merged
-    return merged.orderBy(F.desc_nulls_last("published_date"), F.desc_nulls_last("first_seen"), "canonical_url").limit(max_records)
 
 
 def merge_stats(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None = None) -> DataFrame:
@@ -103,7 +111,7 @@ def overlay_seeds(archive: DataFrame, seeds: DataFrame, as_of: Column) -> DataFr
     known = marked.select("canonical_url", F.col("content_hash").alias("_known")).distinct()
     same = (F.col("s.canonical_url") == F.col("k.canonical_url")) & (F.col("s.content_hash") == F.col("k._known"))
     fresh = keyed(seeds).alias("s").join(known.alias("k"), same, "left_anti")
-    return merge(marked, fresh, as_of)
+    return _fold(_merge_log(marked, fresh, as_of, None))
 
 
 def with_fallback(archive: DataFrame, seeds: DataFrame) -> DataFrame:
