@@ -9,6 +9,7 @@ from greenledger.bindings.registry import any_of, in_list, q, query, table
 from greenledger.bindings.text import CORPUS, SQL_CURATED, SQL_DOCS, THEMES, doc_records
 from greenledger.functions import geo, scoring as S, text as T
 from greenledger.operators import digest as G, marts as M, quality as Q
+from greenledger.session import cut
 
 
 def raw_parks(spark, d):
@@ -138,7 +139,7 @@ def data_funnel(spark, d):
 UNION ALL SELECT 'archive_records', count(*) FROM curated WHERE relevance_status = 'include' UNION ALL SELECT 'excluded_low_relevance', count(*) FROM curated WHERE relevance_status <> 'include'
 UNION ALL SELECT 'technology_measures', count(*) FROM part UNION ALL SELECT 'verified_public_facts', count(*) FROM labels""")
 def dashboard_counts(spark, d):
-    p, c = parks(spark, d), S.curate(doc_records(spark, d), CORPUS)
+    p, c = parks(spark, d), cut(S.curate(doc_records(spark, d), CORPUS).select("relevance_status"))
     domestic, kept = F.col("scope") == rules.DOMESTIC, F.col("relevance_status") == "include"
     return M.count_block({"domestic_parks": p.filter(domestic), "international_cases": p.filter(~domestic), "archive_records": c.filter(kept), "excluded_low_relevance": c.filter(~kept),
                           "technology_measures": table(spark, d, "part"), "verified_public_facts": table(spark, d, "labels")})
@@ -291,7 +292,8 @@ metrics AS (SELECT count(*) AS records, count(*) FILTER (WHERE {_in}) AS impleme
 
 
 def _kept(spark, d):
-    return S.curate(doc_records(spark, d), CORPUS).filter(F.col("relevance_status") == "include")
+    # Curated once: every digest table reads the same checkpoint.
+    return cut(S.curate(doc_records(spark, d), CORPUS)).filter(F.col("relevance_status") == "include")
 
 
 @query("digest_metrics", f"WITH {SQL_CURATED}, {SQL_METRICS} SELECT * FROM metrics")

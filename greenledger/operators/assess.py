@@ -192,8 +192,9 @@ def data_tasks(fields: DataFrame, provided: DataFrame, sites: DataFrame, site: s
     f = field_rows(fields)
     plan = f.agg(F.sort_array(F.collect_list(F.struct("field_id", "priority", "name", "owner", "material", "purpose"))).alias("plan")).scalar()
     have = provided.groupBy(site).agg(F.collect_set("field_id").alias("have"))
-    todo = F.filter(plan, lambda t: ~F.array_contains(F.coalesce(F.col("have"), F.array().cast("array<string>")), t["field_id"]))
-    rows = sites.select(site).join(have, site, "left").select(site, F.posexplode(todo).alias("pos", "t"))
+    todo = F.filter("_plan", lambda t: ~F.array_contains(F.coalesce(F.col("have"), F.array().cast("array<string>")), t["field_id"]))
+    planned = sites.select(site).join(have, site, "left").withColumn("_plan", plan)
+    rows = planned.select(site, F.posexplode(todo).alias("pos", "t"))
     return rows.select(site, (F.col("pos") + 1).alias("no"), "t.field_id", "t.priority", F.concat(F.lit("补充"), F.col("t.name")).alias("task"), "t.owner", "t.material", "t.purpose",
                        F.when(F.col("t.priority") == "P0", rules.GATE_DUE).otherwise("5个工作日").alias("deadline"), F.lit("待提供").alias("status"))
 
