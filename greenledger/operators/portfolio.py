@@ -107,7 +107,8 @@ def totals(metrics: DataFrame, scenario: str) -> DataFrame:
 
 # --- selection --------------------------------------------------------------
 
-LOW_BITS = 12  # masks one task step scans at once: 2**12
+LOW_BITS = 12  # a scan row covers 2**12 masks
+MASKS_AT_ONCE = 1 << 19  # masks held in memory at once, over all rows of a step
 SCALE = 10000  # published numbers have four decimals, so integer sums are exact
 
 OPTION = "struct<meets:boolean,key1:bigint,key2:bigint,key3:bigint,size:int,mask:bigint,capex:bigint,abatement:bigint,npv:bigint>"
@@ -117,62 +118,55 @@ def _bits(n: int) -> np.ndarray:
     return (np.arange(1 << n, dtype=np.int64)[:, None] >> np.arange(n)) & 1
 
 
-def _best_options(n: int, low: int, items: list, highs: list[int], budget: np.ndarray, target: np.ndarray) -> list[dict | None]:
-    """Best subset for each (scenario, high mask) row; all rows have n projects."""
-    table = _bits(low)  # masks x low projects
-    need_all = np.array([[p["need"] for p in row] for row in items], dtype=np.int64)
-    code = np.array([[p["group"] for p in row] for row in items], dtype=np.int64)
-    cost = np.array([[(p["capex"], p["abatement"], p["npv"]) for p in row] for row in items], dtype=np.int64)
-    masks = np.arange(1 << low, dtype=np.int64)
-    out: list[dict | None] = []
-    for r, high in enumerate(highs):
-        upper = [(high >> j) & 1 for j in range(n - low)]
-        base = (np.array(upper, dtype=np.int64) @ cost[r, low:]) if n > low else np.zeros(3, dtype=np.int64)
-        sums = table @ cost[r, :low] + base
-        whole = masks | (high << low)
-        ok = sums[:, 0] <= budget[r]
-        for j in range(n):
-            if need_all[r, j]:
-                held = (whole >> j) & 1 == 1
-                ok &= ~held | (need_all[r, j] > 0) & ((whole & need_all[r, j]) == need_all[r, j])
-        for g in set(code[r][code[r] > 0].tolist()):
-            members = sum(1 << j for j in range(n) if code[r, j] == g)
-            shared = whole & members
-            ok &= (shared & (shared - 1)) == 0
-        chosen = np.flatnonzero(ok)
-        if not len(chosen):
-            out.append(None)
-            continue
-        capex, abate, npv = sums[chosen].T
-        size = table[chosen].sum(axis=1) + sum(upper)
-        meets = abate >= target[r]
-        if meets.any():
-            keep = np.flatnonzero(meets)
-            keys = (npv[keep], capex[keep], -abate[keep])
-        else:
-            keep = np.arange(len(chosen))
-            keys = (-abate, npv, capex)
-        order = np.lexsort((-whole[chosen][keep], size[keep], keys[2], keys[1], keys[0]))[0]
-        i = keep[order]
-        out.append(dict(meets=bool(meets[i]), key1=int(keys[0][order]), key2=int(keys[1][order]), key3=int(keys[2][order]), size=int(size[i]),
-                        mask=int(whole[chosen][i]), capex=int(capex[i]), abatement=int(abate[i]), npv=int(npv[i])))
-    return out
+def _best_options(n: int, items: list, highs: np.ndarray, budget: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Best subset for each (scenario, high mask) row; all rows have n projects.
+
+    Integer arrays of (rows x masks); returns one line per row in the order of OPTION, mask -1
+    when nothing is feasible.
+    """
+    low = min(n, LOW_BITS)
+    table = _bits(low)
+    field = lambda name: np.array([[p[name] for p in row] for row in items], dtype=np.int64).reshape(len(items), n)
+    capex, abate, npv, need, group = (field(f) for f in ("capex", "abatement", "npv", "need", "group"))
+    upper = (highs[:, None] >> np.arange(n - low)) & 1
+    total = lambda cost: cost[:, :low] @ table.T + (cost[:, low:] * upper).sum(axis=1)[:, None]
+    capex, abate, npv = total(capex), total(abate), total(npv)
+    whole = np.arange(1 << low, dtype=np.int64)[None, :] | (highs << low)[:, None]
+    size = table.sum(axis=1)[None, :] + upper.sum(axis=1)[:, None]
+    ok = capex <= budget[:, None]
+    for j in np.flatnonzero(need.any(axis=0)):
+        wanted = need[:, j][:, None]
+        held = (whole >> j) & 1 == 1
+        ok &= ~held | (wanted == 0) | ((wanted > 0) & ((whole & wanted) == wanted))
+    for g in range(1, int(group.max(initial=0)) + 1):
+        ok &= total((group == g).astype(np.int64)) <= 1
+    meets = ok & (abate >= target[:, None])
+    reached = meets.any(axis=1)
+    left = np.where(reached[:, None], meets, ok)
+    pick = lambda a, b: np.where(reached[:, None], a, b)
+    keys = [pick(npv, -abate), pick(capex, npv), pick(-abate, capex), size, -whole]
+    far = np.iinfo(np.int64).max
+    for key in keys:
+        lowest = np.where(left, key, far).min(axis=1)
+        left &= key == lowest[:, None]
+    spot, found = left.argmax(axis=1), left.any(axis=1)
+    rows = np.arange(len(items))
+    at = lambda values: np.where(found, values[rows, spot], 0)
+    return np.column_stack([reached & found, *[at(k) for k in keys[:3]], at(size + 0 * whole), np.where(found, whole[rows, spot], -1), at(capex), at(abate), at(npv)])
 
 
 def _scan_batch(items: pd.Series, high: pd.Series, budget: pd.Series, target: pd.Series) -> pd.DataFrame:
-    sizes = items.map(len)
-    rows: list = [None] * len(items)
-    for n, spots in sizes.groupby(sizes).groups.items():
-        spots = [items.index.get_loc(s) for s in spots]
-        low = min(int(n), LOW_BITS)
-        found = _best_options(int(n), low, [items.iloc[s] for s in spots], [int(high.iloc[s]) for s in spots],
-                              budget.iloc[spots].to_numpy(), target.iloc[spots].to_numpy())
-        for s, option in zip(spots, found):
-            rows[s] = option
     names = ["meets", "key1", "key2", "key3", "size", "mask", "capex", "abatement", "npv"]
-    # A mask of -1 marks a scan without a feasible subset.
-    empty = dict(zip(names, [False, 0, 0, 0, 0, -1, 0, 0, 0]))
-    return pd.DataFrame([r or empty for r in rows], columns=names)
+    out = np.empty((len(items), len(names)), dtype=np.int64)
+    sizes = items.map(len).to_numpy()
+    for n in np.unique(sizes):
+        spots = np.flatnonzero(sizes == n)
+        step = max(1, MASKS_AT_ONCE >> min(int(n), LOW_BITS))
+        for start in range(0, len(spots), step):
+            s = spots[start : start + step]
+            out[s] = _best_options(int(n), [items.iloc[i] for i in s], high.to_numpy()[s], budget.to_numpy()[s], target.to_numpy()[s])
+    frame = pd.DataFrame(out, columns=names)
+    return frame.astype({"meets": bool, "size": "int32"})
 
 
 def _scaled(c: Column) -> Column:
