@@ -23,6 +23,7 @@ import hashlib
 import math
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,41 +63,41 @@ def gram_overlap(a: int, b: int, threshold: float, q: int) -> int:
     return a - q + 1 - q * (a - kept) - (q - 1) * (b - kept)
 
 
+@lru_cache(maxsize=None)
+def key_plan(size: int, threshold: float, q: int) -> tuple[tuple[int, int], ...]:
+    """(gram width, grams surely shared) for a title of this size, over all partner sizes it may match.
+
+    Pairs that must share a q-gram meet through q-grams; the others, with short titles, through
+    single characters. The overlap is symmetric, so both sides of a pair choose alike.
+    """
+    low = max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
+    high = math.floor(size * (2 - threshold) / threshold + 1e-9)
+    partners = range(low, max(size, high) + 1)
+    by_grams = [o for o in (gram_overlap(size, p, threshold, q) for p in partners) if o >= 1]
+    by_chars = [gram_overlap(size, p, threshold, 1) for p in partners if gram_overlap(size, p, threshold, q) < 1]
+    plan = [(q, min(by_grams))] if by_grams else []
+    return tuple(plan + ([(1, max(1, min(by_chars)))] if by_chars else []))
+
+
 def title_keys(title: str, threshold: float, q: int) -> list[str]:
     """Prefix-filter keys: two titles whose similarity reaches the threshold share a key.
 
-    Titles too short for q-grams use single characters, and so does every title that may match
-    one of those. Order by a hash of the gram, the same for every row.
+    Repeated grams are told apart by their occurrence, and sorted by a hash that is the same for
+    every row.
     """
-    size = len(title)
-    if size == 0:
-        return []
-    low = max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
     keys: list[str] = []
-    for width in (1, q):
-        floor = min(gram_overlap(low, other, threshold, width) for other in (low, size))
-        needed = min(gram_overlap(size, other, threshold, width) for other in range(low, size + 1))
-        if width == q and q > 1 and min(floor, needed) < 1:
-            continue
-        if width == 1 and q > 1 and _grams_suffice(low, threshold, q):
-            continue
+    for width, shared in key_plan(len(title), threshold, q) if title else ():
         seen: Counter = Counter()
         grams = []
-        for i in range(size - width + 1):
+        for i in range(len(title) - width + 1):
             gram = title[i : i + width]
             seen[gram] += 1
             grams.append(f"{gram}#{seen[gram]}")
         grams.sort(key=lambda g: hashlib.md5(g.encode()).digest())
-        keys += [f"{width}:{g}" for g in grams[: len(grams) - max(1, needed) + 1]]
+        keys += [f"{width}:{g}" for g in grams[: len(grams) - shared + 1]]
     return keys
 
 
-def _grams_suffice(low: int, threshold: float, q: int) -> bool:
-    """No partner is so short that q-grams could miss it."""
-    reach = max(1, math.ceil(low * threshold / (2 - threshold) - 1e-9))
-    return all(gram_overlap(size, other, threshold, q) >= 1 for size in (low,) for other in range(reach, size + 1))
-
-
 def title_ratio(left: str, right: str, threshold: float) -> float:
     """Similarity of two normal titles, zero when a cheap bound already rules the pair out."""
     matcher = SequenceMatcher(None, left, right)
