@@ -151,7 +151,8 @@ def health_summary(spark, d):
 @query("exact_copies", f"""WITH n AS (SELECT doc_id, {sql_norm('text')} AS norm FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS first_id FROM n""")
 def exact_copies(spark, d):
     """Documents with equal normal text point at the first one; whole texts, hashed before the shuffle."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(T.normal_title(F.col("text")), 256).alias("h"))
+    # Only id and hash go on, computed once.
+    docs = cut(table(spark, d, "documents").select("doc_id", F.coalesce(F.sha2(T.normal_title(F.col("text")), 256), F.lit("")).alias("h")))
     firsts = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"))
     return docs.join(firsts, "h").select("doc_id", "first_id")
 

@@ -21,7 +21,15 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"), name)
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Text tables in fewer files than cores are spread by their id; with more files nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if name not in ("documents", "pages") or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
 
 
 # --- SQL spellings shared by the twins ---------------------------------------

@@ -128,7 +128,8 @@ def canonical_url(c: Column) -> Column:
         tail = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
         return F.concat(p["scheme"], F.lit(":"), authority, path, tail)
 
-    return let(collapse_space(c), upgraded)
+    # Never null, so joins on the key add no null test that would compute it again.
+    return F.coalesce(let(collapse_space(c), upgraded), F.lit(""))
 
 
 def _kept_query(query: Column) -> Column:

@@ -23,7 +23,6 @@ import hashlib
 import math
 from collections import Counter
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -63,13 +62,14 @@ def gram_overlap(a: int, b: int, threshold: float, q: int) -> int:
     return a - q + 1 - q * (a - kept) - (q - 1) * (b - kept)
 
 
-@lru_cache(maxsize=None)
 def key_plan(size: int, threshold: float, q: int) -> tuple[tuple[int, int], ...]:
     """(gram width, grams surely shared) for a title of this size, over all partner sizes it may match.
 
     Pairs that must share a q-gram meet through q-grams; the others, with short titles, through
     single characters. The overlap is symmetric, so both sides of a pair choose alike.
     """
+    if size == 0:
+        return ()
     low = max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
     high = math.floor(size * (2 - threshold) / threshold + 1e-9)
     partners = range(low, max(size, high) + 1)
@@ -79,14 +79,14 @@ def key_plan(size: int, threshold: float, q: int) -> tuple[tuple[int, int], ...]
     return tuple(plan + ([(1, max(1, min(by_chars)))] if by_chars else []))
 
 
-def title_keys(title: str, threshold: float, q: int) -> list[str]:
+def title_keys(title: str, plan: tuple[tuple[int, int], ...]) -> list[str]:
     """Prefix-filter keys: two titles whose similarity reaches the threshold share a key.
 
     Repeated grams are told apart by their occurrence, and sorted by a hash that is the same for
     every row.
     """
     keys: list[str] = []
-    for width, shared in key_plan(len(title), threshold, q) if title else ():
+    for width, shared in plan:
         seen: Counter = Counter()
         grams = []
         for i in range(len(title) - width + 1):
@@ -117,7 +117,8 @@ def _similar(threshold: float):
 def _keys(threshold: float, q: int):
     @F.pandas_udf("array<string>")
     def keys(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: title_keys(t, threshold, q))
+        plans = {n: key_plan(n, threshold, q) for n in set(titles.map(len))}
+        return titles.map(lambda t: title_keys(t, plans[len(t)]))
 
     return keys
 
