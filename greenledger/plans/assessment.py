@@ -10,6 +10,7 @@ from greenledger import rules
 from greenledger.functions import text as T
 from greenledger.functions.scoring import with_columns_present
 from greenledger.operators import assess, measures as M, portfolio as P
+from greenledger.session import cut
 
 
 @dataclass
@@ -60,13 +61,14 @@ def assess_sites(sites: DataFrame, raw_projects: DataFrame, measures: DataFrame,
     Every step joins on the site key, so one hash partitioning serves the whole job.
     """
     wide = with_columns_present(sites, ("budget_10k_cny", "annual_target_tco2", "discount_rate", "path_end_year", "constraints", "industry", "industry_group"))
-    wide = wide.withColumn("industry", T.first_text(F.col("industry"), F.col("industry_group")))
+    # Sites and projects feed many tables below; each is computed once.
+    wide = cut(wide.withColumn("industry", T.first_text(F.col("industry"), F.col("industry_group"))))
     gated = assess.with_core_target(assess.with_inventory(assess.with_gate(wide)))
     gaps = assess.indicator_gaps(gated, key)
     tasks = assess.gate_tasks(wide, key)
     screened = M.screen(measures, wide, key)
     recommended = M.recommend(measures, wide, gaps, key)
-    projects = P.parse_projects(raw_projects, key)
+    projects = cut(P.parse_projects(raw_projects, key))
     number = lambda n: T.lenient_double(F.col(n))
     scenarios = wide.select(key, number("budget_10k_cny").alias("budget_10k_cny"), number("annual_target_tco2").alias("annual_target_tco2"), number("discount_rate").alias("discount_rate"))
     with_projects = scenarios.join(projects.select(key).distinct(), key, "left_semi")
