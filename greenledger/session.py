@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,23 +19,22 @@ def local_session(app: str = "greenledger", cores: str = "*", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="greenledger-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. Only a local session makes one up."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder the session names for checkpoints: every executor must reach it. One JVM alone may make one up."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not folder:
-        known = context._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="greenledger-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
+    if not known.isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
