@@ -208,13 +208,7 @@ def ordered(keys: np.ndarray, key_bits: int = 64) -> tuple[np.ndarray, np.ndarra
 
 # --- blocks and shards -----------------------------------------------------------
 
-def in_blocks(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataFrame:
-    """Adds ``_blk`` and ``_rank``: blocks of about ``block_bytes`` of text (one document is never cut).
-
-    ``ordered``: an id in a block of smaller rank is smaller than every id in a block of larger rank;
-    an id that fills several blocks has them at one rank, and no other id is in them. Otherwise
-    every rank is 0.
-    """
+def _dealt(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     row = F.monotonically_increasing_id()
@@ -241,6 +235,44 @@ def in_blocks(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataF
     return rows.withColumn("_rank", rank).withColumn("_blk", F.col("_rank") * (n + 2) + salt).drop("_at")
 
 
+BLOCKS = "_blk long, _rank long, ids binary, sizes binary, flags binary, body binary"
+
+
+def _bundle(batches):
+    """One row per block and batch: ids, sizes, flags and the joined texts, compressed for the shuffle."""
+    for batch in batches:
+        blocks = batch.column("_blk").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        batch = batch.take(pa.array(order))
+        data, off = text_bytes(batch.column("_text"))
+        ids = batch.column("_id").to_numpy().astype(np.int64)
+        flags = batch.column("_flag").to_numpy(zero_copy_only=False)
+        ranks, cut_at = batch.column("_rank").to_numpy(), np.append(runs(blocks[order])[0], len(order))
+        rows = [(int(blocks[order[i]]), int(ranks[i]), pack(ids[i:j].view(U64)), pack(np.diff(off[i : j + 1]).astype(U64)), pack_bits(flags[i:j]), pa.compress(data[off[i] : off[j]].tobytes(), codec="zstd", asbytes=True)) for i, j in zip(cut_at, cut_at[1:])]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["_blk", "_rank", "ids", "sizes", "flags", "body"])
+
+
+def unbundle(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as one byte array with offsets, ids and flags of a block."""
+    sizes = [unpack(x).astype(np.int64) for x in cells(block, "sizes")]
+    data = b"".join(pa.decompress(x, decompressed_size=int(n.sum()), codec="zstd", asbytes=True) if n.sum() else b"" for x, n in zip(cells(block, "body"), sizes))
+    ids = np.concatenate([unpack(x).view(np.int64) for x in cells(block, "ids")])
+    flags = np.concatenate([unpack_bits(x) for x in cells(block, "flags")])
+    return np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), ids, flags
+
+
+def in_blocks(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataFrame:
+    """Rows of ``_id``, ``_text`` and ``_flag`` bundled by ``_blk`` and ``_rank``, about ``block_bytes`` of text a
+    block (one document is never cut). Grouping by ``_blk`` brings a block together.
+
+    ``ordered``: an id in a block of smaller rank is smaller than every id in a block of larger rank;
+    an id that fills several blocks has them at one rank, and no other id is in them. Otherwise
+    every rank is 0.
+    """
+    return _dealt(rows, block_bytes, ordered).select("_blk", "_rank", "_id", "_flag", "_text").mapInArrow(_bundle, BLOCKS)
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """Join of ``many`` rows with at most one row of ``one`` per key, with hot keys split.
 

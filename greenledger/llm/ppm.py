@@ -76,8 +76,7 @@ def _summed(run: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
 
 def _ask(order: int, bits: int):
     def ask(key, block):
-        data, off = C.text_bytes(block.column("_text"))
-        learned = block.column("_train").to_numpy(zero_copy_only=False)
+        data, off, _, learned = C.unbundle(block)
         grams, owner = _symbols(data, off, order)
         flagged = np.sort((grams << U(1)) | learned[owner])
         begin, run = C.runs(flagged >> U(1))
@@ -222,7 +221,7 @@ def _answer(order: int, pairs: np.ndarray):
 def _score(order: int, bits: int, ends: int):
     def score(key, block, answers):
         answers = answers.take(pc.sort_indices(answers.column("_shard")))
-        data, off = C.text_bytes(block.column("_text"))
+        data, off, ids, _ = C.unbundle(block)
         m = len(off) - 1
         grams, owner = _symbols(data, off, order)
         place, grams = C.ordered(grams, 8 * (order + 1))
@@ -239,7 +238,7 @@ def _score(order: int, bits: int, ends: int):
         vocabulary = int(np.sum(C.cells(answers, "distinct"))) + (ends > 0)
         base = np.bincount(docs, np.log10(counts + 0.1), m) + np.log10(ends + 0.1) - n_tokens * np.log10(train + 0.1 * (vocabulary + 1))
         return pa.table({
-            "_id": block.column("_id"),
+            "_id": pa.array(ids),
             "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(np.bincount(docs, counts > 0, m).astype(np.int64) + (ends > 0), pa.int64()),
             "train_tokens": pa.array([train] * m, pa.int64()),
@@ -262,7 +261,7 @@ def _pairs(batches):
 
 def byte_pairs(rows: DataFrame) -> np.ndarray:
     """Counts of byte and next symbol over the training texts: 65,536 numbers whatever the corpus."""
-    found = rows.filter("_train").select("_text").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.filter("_flag").select("_text").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(65536, np.int64)
     out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(256, 256)
@@ -274,7 +273,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 2 <= order <= 6:
         raise ValueError("order must be 2 to 6")
     flag = F.coalesce(train, F.lit(False)) if train is not None else F.lit(True)
-    flagged = docs.select(*C.intake_columns(id_col, text_col), flag.alias("_train"))
+    flagged = docs.select(*C.intake_columns(id_col, text_col), flag.alias("_flag"))
     pairs = byte_pairs(flagged)
     bits = C.shard_bits(docs)
     blocks = C.in_blocks(flagged, block_bytes)

@@ -30,7 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from greenledger.llm import common as C
 
@@ -42,9 +42,11 @@ ANSWER = "_blk long, _shard int, kind int, bits binary, copies binary, own binar
 
 
 def _by_id(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    block = block.take(pc.sort_indices(block.column("_id")))
-    data, off = C.text_bytes(block.column("_text"))
-    return data, off, block.column("_id").to_numpy()
+    data, off, ids, _ = C.unbundle(block)
+    order = np.argsort(ids, kind="stable")
+    if (order[1:] < order[:-1]).any():
+        data, off = C.text_bytes(C.binaries(data, off).cast(pa.large_binary()).take(pa.array(order)))
+    return data, off, ids[order]
 
 
 def _offsets(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +231,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gram = width - PERIOD + 1
     if gram < 8:
         raise ValueError(f"width must be at least {PERIOD + 7}")
-    blocks = C.in_blocks(C.intake(docs, id_col, text_col), block_bytes, ordered=True)
+    blocks = C.in_blocks(C.intake(docs, id_col, text_col).withColumn("_flag", F.lit(False)), block_bytes, ordered=True)
     bits = C.shard_bits(docs)
     sample = blocks.groupBy("_blk").applyInArrow(_ask_sample(gram, bits), ASKED).groupBy("_shard").applyInArrow(_answer_sample, ANSWER)
     asked = blocks.groupBy("_blk").cogroup(sample.groupBy("_blk")).applyInArrow(_ask_suffixes(width, gram, bits), ASKED)
