@@ -273,15 +273,16 @@ def in_blocks(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataF
     return _dealt(rows, block_bytes, ordered).select("_blk", "_rank", "_id", "_flag", "_text").mapInArrow(_bundle, BLOCKS)
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join of ``many`` rows with at most one row of ``one`` per key, with hot keys split.
 
     A key with more than a thousandth of all rows (there are at most a thousand) is spread over as many
-    salts as it has thousandths; its one row is repeated for each salt.
+    salts as it has thousandths; its one row is repeated for each salt. ``counts``: rows by key (keys
+    and ``count``) where they are known already.
     """
-    total = many.count()
-    limit = max(1000, total // 1000)
-    counts = many.groupBy(*keys).count().filter(F.col("count") > limit)
+    counts = counts if counts is not None else cut(many.groupBy(*keys).count())
+    limit = max(1000, (counts.agg(F.sum("count")).first()[0] or 0) // 1000)
+    counts = counts.filter(F.col("count") > limit)
     hot = cut(counts.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.ceil(F.col("count") / limit).cast("int").alias("_parts")))
     if hot.isEmpty():
         return many.join(one, keys, how)

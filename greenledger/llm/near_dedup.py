@@ -4,18 +4,18 @@
    become one class at once, combined before the shuffle.
 2. *Prefix.* Two sets that reach the threshold agree, but for a chance under one in a million, on
    ``MATCHES`` coordinates. Hence they share one of any COORDINATES - MATCHES + 1 coordinates that both take
-   first in one common order; a class is posted under its rarest ones only. Counts of
-   coordinate-value pairs that many classes hold (at most ``FREQUENT``) order the rest.
+   first in one common order; a class is posted under its rarest ones only, by the count of classes
+   that hold a coordinate-value pair.
 3. *Skip.* The long lists are not merged: a pair found in a short list is counted by comparing the two
    signatures, and is kept from MATCHES equal coordinates on.
 4. *Confirm.* Kept pairs are confirmed on the full sets, read again from the texts.
 
-No list is expanded into all its pairs while it is crowded. Each round compares the members of a list
-with its first member only, unites what links, and drops the first member and lists that have
-become one component. What is left is expanded, between different components alone, once
-that takes at most ``THIN`` pairs a posting, or when a round has united nothing. Every colliding pair is so compared or
-already united, so the components are those of all confirmed links. Hot lists, components and groups of
-copies are split by salts.
+A list of at most ``CROWD`` classes is expanded into its pairs, at most CROWD / 2 a posting. Longer lists are
+never: those that share a class form a family, and the family's sets meet in tiles of at most 2 x ``TILE`` full
+sets, compared by products of their membership matrices; a tile returns a forest of links. Both ways compare every
+colliding pair, so the components are those of all confirmed links. Work is in proportion to the postings
+but for families, where it is the square of the family over TILE. Hot lists, components and groups of copies
+are split by salts.
 
 Nulls: a null text, like one without words, has an empty set and is alone. Texts with fewer words
 than a shingle have their whole sequence as the one shingle. A null id is the largest id. Rows that share
@@ -28,14 +28,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from greenledger.llm import common as C
 from greenledger.session import cut
 
 COORDINATES = 40
-FREQUENT = 1 << 18
-THIN = 16
+CROWD = 64
+TILE = 768
+COLUMNS = 2048
 PACK = 1 << 10  # texts handled together: their number takes 10 bits beside 54 bits of a shingle
 U = C.U64
 NODE = "struct<id: long, f: long>"
@@ -124,24 +125,11 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return (np.arange(COORDINATES, dtype=U) << U(32)) | sig
 
 
-def _values(batches):
+def _postings(batches):
+    """Every class under each of its coordinate-value pairs."""
     for batch in batches:
-        keys, counts = np.unique(_keys(_matrix(batch.column("sig"))), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], names=["key", "n"])
-
-
-def _postings(keys: np.ndarray, counts: np.ndarray, prefix: int):
-    """The rarest coordinate-value pairs of each class."""
-    def postings(batches):
-        for batch in batches:
-            mine = _keys(_matrix(batch.column("sig")))
-            at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-            often = np.where(keys[at] == mine, counts[at], 0) if len(keys) else np.zeros(mine.shape, np.int64)
-            first = np.argsort(often, axis=1, kind="stable")[:, :prefix]
-            chosen = np.take_along_axis(mine, first, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), prefix)))], names=["key", "node"])
-
-    return postings
+        keys = _keys(_matrix(batch.column("sig")))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), COORDINATES)))], names=["key", "node"])
 
 
 def _alike(least: int):
@@ -165,6 +153,50 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
+def _full_sets(width: int):
+    def full_sets(batches):
+        for batch in _small(batches):
+            packed, begin = shingle_sets(batch.column("_text"), width)
+            body = [C.pack_sorted(packed[i:j] & U((1 << 54) - 1)) for i, j in zip(begin, begin[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(body, pa.binary())], names=["node", "body"])
+
+    return full_sets
+
+
+def _tile(percent: int):
+    """All sets of one or two parts against each other by products of their membership matrices."""
+    def tile(key, rows):
+        sets = [C.unpack_sorted(x) for x in C.cells(rows, "body")]
+        sizes = np.array([len(x) for x in sets])
+        order = np.argsort(np.concatenate(sets), kind="stable")
+        begin, run = C.runs(np.concatenate(sets)[order])
+        column, owner = np.empty(len(order), np.int64), np.repeat(np.arange(len(sets)), sizes)
+        column[order] = run
+        shared = np.diff(np.append(begin, len(order))) > 1  # what one set alone holds is in no intersection
+        number = np.cumsum(shared) - 1
+        inside = shared[column]
+        column, owner = number[column[inside]], owner[inside]
+        by = np.argsort(column, kind="stable")
+        column, owner = column[by], owner[by]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[owner[i:j], column[i:j] - lo] = 1
+            both += part @ part.T
+        linked = (100 * both >= percent * (sizes[:, None] + sizes - both)) & (both > 0)
+        label, last = np.arange(len(sets)), None
+        while last is None or (label != last).any():  # the least number reachable
+            last = label
+            label = np.array([label[row].min(initial=label[i]) for i, row in enumerate(linked)])
+            label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(sets)))
+        nodes = rows.column("node").combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(moved)), "b": nodes.take(pa.array(label[moved]))})
+
+    return tile
+
+
 class _Groups:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.width, self.percent = width, percent
@@ -175,54 +207,62 @@ class _Groups:
         self.classes = cut(first.select(F.struct(F.col("r._id").alias("id"), F.col("f1").alias("f")).alias("node"), "f1", "f2", "n", F.col("r._same").alias("_same"), "sig"))
 
     def lists(self) -> DataFrame:
-        """Postings (key, node) of coordinate-value pairs that at least two classes are posted under."""
-        counted = self.classes.select("sig").mapInArrow(_values, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        total = self.classes.count() * COORDINATES
-        frequent = counted.filter(F.col("n") > max(2, total // FREQUENT)).toArrow().sort_by("key")  # at most FREQUENT rows
-        keys, counts = frequent.column("key").to_numpy().view(U), frequent.column("n").to_numpy()
+        """Postings (key, node) of every class under the rarest of its coordinate-value pairs, as many as the
+        prefix has. Pairs that one class alone holds come first and meet nobody, so they only use up places."""
+        posted = self.classes.select("node", "sig").mapInArrow(_postings, f"key long, node {NODE}")
+        counted = cut(posted.groupBy("key").count().filter("count > 1"))
+        shared = C.salted_join(posted, counted.withColumn("n", F.col("count")).drop("count"), ["key"], F.col("node"), counts=counted)
+        own = W.partitionBy("node")
+        ranked = shared.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("held", F.count(F.lit(1)).over(own))
         prefix = COORDINATES - self.least + 1
-        posted = self.classes.select("node", "sig").mapInArrow(_postings(keys, counts, prefix), f"key long, node {NODE}")
-        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        return cut(posted.join(shared, "key"))
+        return cut(ranked.filter(F.col("place") <= prefix - (COORDINATES - F.col("held"))).select("key", "node"))
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, _text): a text of each class."""
+        where = self.classes.join(nodes, "node").select("node", F.col("node.id").alias("_id"), "_same")
+        text = self.texts.join(where.select("_id", "_same"), ["_id", "_same"], "left_semi").groupBy("_id", "_same").agg(F.first("_text").alias("_text"))
+        return where.join(text, ["_id", "_same"]).select("node", "_text")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that agree on enough coordinates and whose full sets reach the threshold."""
         sig = self.classes.select("node", "sig")
         found = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        found = C.salted_join(cut(found), sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), ["b"], F.col("a"))
+        counts = cut(pairs.groupBy("b").count())
+        found = C.salted_join(found, sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), ["b"], F.col("a"), counts=counts)
         near = cut(found.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.least), f"a {NODE}, b {NODE}"))
-        nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-        where = self.classes.join(nodes, "node").select("node", F.col("node.id").alias("_id"), "_same")
-        text = self.texts.join(where.select("_id", "_same"), ["_id", "_same"], "left_semi").groupBy("_id", "_same").agg(F.first("_text").alias("_text"))
-        text = cut(where.join(text, ["_id", "_same"]).select("node", "_text"))
+        text = self.texts_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
         found = near.join(text.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-        found = C.salted_join(found, text.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), ["b"], F.col("a"))
+        found = C.salted_join(found, text.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), ["b"], F.col("a"), counts=cut(near.groupBy("b").count()))
         return cut(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {NODE}, b {NODE}"))
 
+    def linked_in_tiles(self, crowded: DataFrame) -> DataFrame:
+        """Links (a, b) that connect, within each family of crowded lists, what is linked there.
+
+        Lists that share a class are one family. Its classes are dealt to parts of ``TILE`` and every two parts meet
+        in one task with their full sets; a tile gives at most one link per class, not its pairs.
+        """
+        first = crowded.groupBy("key").agg(F.min("node").alias("b"))
+        star = cut(C.salted_join(crowded, first, ["key"], F.col("node")).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+        family = unite(cut(crowded.select("node").distinct().withColumn("comp", F.col("node"))), star)
+        sizes = family.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+        parted = C.salted_join(family, sizes, ["comp"], F.col("node")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        full = cut(self.texts_of(family.select("node")).mapInArrow(_full_sets(self.width), f"node {NODE}, body binary"))
+        dealt = parted.join(full, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tiles = dealt.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "body")
+        return cut(tiles.groupBy("comp", "i", "j").applyInArrow(_tile(self.percent), f"a {NODE}, b {NODE}"))
+
     def components(self) -> DataFrame:
         """(node, comp): for every class that is posted with another one, the smallest class it is linked with."""
         lists = self.lists()
+        sizes = cut(lists.groupBy("key").count().filter("count > 1"))
         comp = cut(lists.select("node").distinct().withColumn("comp", F.col("node")))
-        stuck = False
-        while True:
-            state = cut(lists.join(comp, "node"))
-            per = state.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("comps"))
-            open_keys = cut(per.filter("comps > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross")))
-            crossing, rows = open_keys.agg(F.sum("cross"), F.sum("n")).first()
-            if not rows:
-                return comp
-            state = state.join(open_keys.select("key"), "key")
-            if stuck or crossing <= THIN * rows:
-                one, two = state.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), state.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-                pairs = one.join(two, "key").filter("a > b AND ca <> cb").select("a", "b").distinct()
-                return unite(comp, self.linked(pairs))
-            first = state.groupBy("key").agg(F.min(F.struct("node", "comp")).alias("p"))
-            with_first = C.salted_join(state, first, ["key"], F.col("node"))
-            pairs = with_first.filter("node <> p.node AND comp <> p.comp").select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-            links = self.linked(pairs)
-            stuck = links.isEmpty()
-            lists = cut(with_first.filter("node <> p.node").select("key", "node"))
-            comp = unite(comp, links)
+        crowded = cut(lists.join(sizes.filter(F.col("count") > CROWD).select("key"), "key"))
+        if not crowded.isEmpty():
+            comp = unite(comp, self.linked_in_tiles(crowded))
+        thin = cut(lists.join(sizes.filter(F.col("count") <= CROWD).select("key"), "key").join(comp, "node"))
+        one, two = thin.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), thin.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+        pairs = one.join(two, "key").filter("a > b AND ca <> cb").select("a", "b").distinct()
+        return unite(comp, self.linked(cut(pairs)))
 
 
 def unite(comp: DataFrame, links: DataFrame) -> DataFrame:
