@@ -201,7 +201,7 @@ def _nearest(k: int):
     return nearest
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", boundary: float = 1.15, ratio: float = 1.2) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", boundary: float = 1.06, ratio: float = 1.07) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k rows of largest inner product found for every row
     that ``queries`` (a condition on ``_id``) names, without the row itself."""
     rows = cut(usable(vectors, id_col, vector_col))
