@@ -30,7 +30,7 @@ from greenledger.session import cut
 
 SAMPLE = 50_000
 LISTS = 4096
-LIST_SIZE = 512
+LIST_SIZE = 256
 REPLICAS = 6
 DEGREE = 20
 BEAM = 48
