@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of an executor and ends the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder, read again: for loops of joins. A checkpoint keeps the constraints the optimizer
+    inferred, and with aliases in every round those multiply until planning takes longer than the work."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
