@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from greenledger.llm import common as C
-from greenledger.session import cut
+from greenledger.session import cut, written
 
 COORDINATES = 40
 CROWD = 64
@@ -270,18 +270,18 @@ def unite(comp: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         ends = C.salted_join(links, comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), ["b"], F.col("a"))
         ends = ends.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").filter("x <> y").select("x", "y").distinct()
-        links = cut(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        links = written(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
         if links.isEmpty():
             return comp
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).filter("b < a"))
+        hook = written(both.groupBy("a").agg(F.min("b").alias("b")).filter("b < a"))
         while True:
-            step = cut(hook.alias("h").join(hook.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+            step = written(hook.alias("h").join(hook.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
             hook = step.select("a", "b")
             if step.filter("moved").isEmpty():
                 break
         moved = C.salted_join(comp, hook.select(F.col("a").alias("comp"), F.col("b").alias("to")), ["comp"], F.col("node"), "left")
-        comp = cut(moved.select("node", F.coalesce("to", "comp").alias("comp")))
+        comp = written(moved.select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
