@@ -11,13 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def _carried(rows: DataFrame, carry: DataFrame, key: str, chunk: str) -> DataFrame:
+    """Rows with their chunk's ``_carry``; a null key or chunk (a row without time) meets its own, and comes first."""
+    side = carry.select(F.col(key).alias("_key"), F.col(chunk).alias("_chunk"), "_carry")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(chunk).eqNullSafe(F.col("_chunk"))
+    return rows.join(side, same).drop("_key", "_chunk")
+
+
 def with_previous(df: DataFrame, key: str, chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds the value of the row before, across chunk borders; null on the key's first row."""
     local = W.partitionBy(key, chunk).orderBy(*order)
     marked = df.withColumns({"_prev": F.lag(value).over(local), "_pos": F.row_number().over(local)})
     last = marked.groupBy(key, chunk).agg(F.max_by(F.col(value), F.col("_pos")).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(key).orderBy(chunk))).drop("_last")
-    joined = marked.join(carry, [key, chunk])
+    joined = _carried(marked, carry, key, chunk)
     return joined.withColumn(out, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_prev"))).drop(
         "_prev", "_pos", "_carry"
     )
@@ -30,7 +37,7 @@ def with_running_sum(df: DataFrame, key: str, chunk: str, order: list[Column], v
     before = W.partitionBy(key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     total = df.groupBy(key, chunk).agg(F.sum(value).alias("_sum"))
     carry = total.withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return marked.join(carry, [key, chunk]).withColumn(out, F.col("_local") + F.col("_carry")).drop("_local", "_carry")
+    return _carried(marked, carry, key, chunk).withColumn(out, F.col("_local") + F.col("_carry")).drop("_local", "_carry")
 
 
 def with_run_since_reset(df: DataFrame, key: str, chunk: str, order: list[Column], reset: str, out: str) -> DataFrame:
@@ -46,4 +53,4 @@ def with_run_since_reset(df: DataFrame, key: str, chunk: str, order: list[Column
         .select(key, chunk, (F.col("_done") - F.col("_from")).alias("_carry"))
     )
     run = F.when(F.col("_mark").isNotNull(), F.col("_cum") - F.col("_mark")).otherwise(F.col("_cum") + F.col("_carry"))
-    return marked.join(carry, [key, chunk]).withColumn(out, run).drop("_step", "_cum", "_mark", "_carry")
+    return _carried(marked, carry, key, chunk).withColumn(out, run).drop("_step", "_cum", "_mark", "_carry")
