@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 def _carried(rows: DataFrame, carry: DataFrame, key: str, chunk: str) -> DataFrame:
     """Rows with their chunk's ``_carry``; a null key or chunk (a row without time) meets its own, and comes first."""
-    side = carry.select(F.col(key).alias("_key"), F.col(chunk).alias("_chunk"), "_carry")
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(chunk).eqNullSafe(F.col("_chunk"))
-    return rows.join(side, same).drop("_key", "_chunk")
+    side = carry.select(F.col(key).alias("_carry_key"), F.col(chunk).alias("_carry_chunk"), "_carry")
+    same = F.col(key).eqNullSafe(F.col("_carry_key")) & F.col(chunk).eqNullSafe(F.col("_carry_chunk"))
+    return rows.join(side, same).drop("_carry_key", "_carry_chunk")
 
 
 def with_previous(df: DataFrame, key: str, chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
