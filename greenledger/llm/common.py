@@ -13,12 +13,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
-
-from greenledger.session import cut
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 NO_ID = 2**63 - 1
 SEGMENT = 1 << 18
+HOT_KEYS = 1000
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 U64 = np.uint64
 
@@ -276,16 +275,19 @@ def in_blocks(rows: DataFrame, block_bytes: int, ordered: bool = False) -> DataF
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join of ``many`` rows with at most one row of ``one`` per key, with hot keys split.
 
-    A key with more than a thousandth of all rows (there are at most a thousand) is spread over as many
-    salts as it has thousandths; its one row is repeated for each salt. ``counts``: rows by key (keys
-    and ``count``) where they are known already.
+    A key with more than a thousandth of all rows (there are at most a thousand, so the driver may see them) is spread
+    over as many salts as it has thousandths; its one row is repeated for each salt. ``counts``: rows by key (keys
+    and ``count``) where they are known already. One job finds the hot keys and the number of rows.
     """
-    counts = counts if counts is not None else cut(many.groupBy(*keys).count())
-    limit = max(1000, (counts.agg(F.sum("count")).first()[0] or 0) // 1000)
-    counts = counts.filter(F.col("count") > limit)
-    hot = cut(counts.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.ceil(F.col("count") / limit).cast("int").alias("_parts")))
-    if hot.isEmpty():
+    counts, seen = counts if counts is not None else many.groupBy(*keys).count(), Observation()
+    top = counts.observe(seen, F.sum("count").alias("rows")).orderBy(F.desc("count")).limit(HOT_KEYS).select(*keys, "count")
+    largest = top.collect()
+    limit = max(1000, (seen.get["rows"] or 0) // HOT_KEYS)
+    largest = [(*row[:-1], -(-row[-1] // limit)) for row in largest if row[-1] > limit]
+    if not largest:
         return many.join(one, keys, how)
+    fields = [T.StructField(f"_hot_{i}", top.schema[k].dataType) for i, k in enumerate(keys)]
+    hot = many.sparkSession.createDataFrame(largest, T.StructType([*fields, T.StructField("_parts", T.IntegerType())]))
 
     def with_parts(df: DataFrame) -> DataFrame:
         match = [df[k].eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from greenledger.llm import common as C
-from greenledger.session import cut, written
+from greenledger.session import written
 
 COORDINATES = 40
 CROWD = 64
@@ -202,20 +202,20 @@ class _Groups:
         self.width, self.percent = width, percent
         self.texts = C.intake(docs, id_col, text_col).withColumn("_same", F.xxhash64("_text"))
         self.least = least_matches(percent / 100)
-        self.sets = cut(self.texts.mapInArrow(_sets(width), SETS))
+        self.sets = written(self.texts.mapInArrow(_sets(width), SETS))
         first = self.sets.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("_id", "_same")).alias("r"), F.first("sig").alias("sig"))
-        self.classes = cut(first.select(F.struct(F.col("r._id").alias("id"), F.col("f1").alias("f")).alias("node"), "f1", "f2", "n", F.col("r._same").alias("_same"), "sig"))
+        self.classes = written(first.select(F.struct(F.col("r._id").alias("id"), F.col("f1").alias("f")).alias("node"), "f1", "f2", "n", F.col("r._same").alias("_same"), "sig"))
 
     def lists(self) -> DataFrame:
         """Postings (key, node) of every class under the rarest of its coordinate-value pairs, as many as the
         prefix has. Pairs that one class alone holds come first and meet nobody, so they only use up places."""
         posted = self.classes.select("node", "sig").mapInArrow(_postings, f"key long, node {NODE}")
-        counted = cut(posted.groupBy("key").count().filter("count > 1"))
+        counted = written(posted.groupBy("key").count().filter("count > 1"))
         shared = C.salted_join(posted, counted.withColumn("n", F.col("count")).drop("count"), ["key"], F.col("node"), counts=counted)
         own = W.partitionBy("node")
         ranked = shared.withColumn("place", F.row_number().over(own.orderBy("n", "key"))).withColumn("held", F.count(F.lit(1)).over(own))
         prefix = COORDINATES - self.least + 1
-        return cut(ranked.filter(F.col("place") <= prefix - (COORDINATES - F.col("held"))).select("key", "node"))
+        return written(ranked.filter(F.col("place") <= prefix - (COORDINATES - F.col("held"))).select("key", "node"))
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
         """(node, _text): a text of each class."""
@@ -227,13 +227,13 @@ class _Groups:
         """The pairs (a, b) that agree on enough coordinates and whose full sets reach the threshold."""
         sig = self.classes.select("node", "sig")
         found = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        counts = cut(pairs.groupBy("b").count())
+        counts = written(pairs.groupBy("b").count())
         found = C.salted_join(found, sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), ["b"], F.col("a"), counts=counts)
-        near = cut(found.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.least), f"a {NODE}, b {NODE}"))
+        near = written(found.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.least), f"a {NODE}, b {NODE}"))
         text = self.texts_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct())
         found = near.join(text.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-        found = C.salted_join(found, text.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), ["b"], F.col("a"), counts=cut(near.groupBy("b").count()))
-        return cut(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {NODE}, b {NODE}"))
+        found = C.salted_join(found, text.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), ["b"], F.col("a"), counts=written(near.groupBy("b").count()))
+        return written(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.width, self.percent), f"a {NODE}, b {NODE}"))
 
     def linked_in_tiles(self, crowded: DataFrame) -> DataFrame:
         """Links (a, b) that connect, within each family of crowded lists, what is linked there.
@@ -242,35 +242,39 @@ class _Groups:
         in one task with their full sets; a tile gives at most one link per class, not its pairs.
         """
         first = crowded.groupBy("key").agg(F.min("node").alias("b"))
-        star = cut(C.salted_join(crowded, first, ["key"], F.col("node")).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-        family = unite(cut(crowded.select("node").distinct().withColumn("comp", F.col("node"))), star)
+        star = written(C.salted_join(crowded, first, ["key"], F.col("node")).filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+        family = unite(written(crowded.select("node").distinct().withColumn("comp", F.col("node"))), star, apart=True)
         sizes = family.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
         parted = C.salted_join(family, sizes, ["comp"], F.col("node")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        full = cut(self.texts_of(family.select("node")).mapInArrow(_full_sets(self.width), f"node {NODE}, body binary"))
+        full = written(self.texts_of(family.select("node")).mapInArrow(_full_sets(self.width), f"node {NODE}, body binary"))
         dealt = parted.join(full, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         tiles = dealt.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "body")
-        return cut(tiles.groupBy("comp", "i", "j").applyInArrow(_tile(self.percent), f"a {NODE}, b {NODE}"))
+        return written(tiles.groupBy("comp", "i", "j").applyInArrow(_tile(self.percent), f"a {NODE}, b {NODE}"))
 
     def components(self) -> DataFrame:
         """(node, comp): for every class that is posted with another one, the smallest class it is linked with."""
         lists = self.lists()
-        sizes = cut(lists.groupBy("key").count().filter("count > 1"))
-        comp = cut(lists.select("node").distinct().withColumn("comp", F.col("node")))
-        crowded = cut(lists.join(sizes.filter(F.col("count") > CROWD).select("key"), "key"))
-        if not crowded.isEmpty():
-            comp = unite(comp, self.linked_in_tiles(crowded))
-        thin = cut(lists.join(sizes.filter(F.col("count") <= CROWD).select("key"), "key").join(comp, "node"))
+        sizes = written(lists.groupBy("key").count().filter("count > 1"))
+        comp = written(lists.select("node").distinct().withColumn("comp", F.col("node")))
+        crowded = written(lists.join(sizes.filter(F.col("count") > CROWD).select("key"), "key"))
+        apart = crowded.isEmpty()
+        if not apart:
+            comp = unite(comp, self.linked_in_tiles(crowded), apart=True)
+        thin = written(lists.join(sizes.filter(F.col("count") <= CROWD).select("key"), "key").join(comp, "node"))
         one, two = thin.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), thin.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
         pairs = one.join(two, "key").filter("a > b AND ca <> cb").select("a", "b").distinct()
-        return unite(comp, self.linked(cut(pairs)))
+        return unite(comp, self.linked(written(pairs)), apart)
 
 
-def unite(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, comp) after adding links (a, b): roots hook to their smallest neighbour, then paths are halved."""
+def unite(comp: DataFrame, links: DataFrame, apart: bool = False) -> DataFrame:
+    """Components (node, comp) after adding links (a, b): roots hook to their smallest neighbour, then paths are halved.
+    ``apart``: every node is still its own component, so the links are those of roots already."""
     while True:
-        ends = C.salted_join(links, comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), ["b"], F.col("a"))
-        ends = ends.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").filter("x <> y").select("x", "y").distinct()
-        links = written(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        if not apart:
+            ends = C.salted_join(links, comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), ["b"], F.col("a"))
+            ends = ends.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").filter("x <> y").select("x", "y").distinct()
+            links = written(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        apart = False
         if links.isEmpty():
             return comp
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -301,6 +305,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = groups.filter("component IS NOT NULL AND _id = component.id").groupBy("component").agg(F.min(F.struct("_id", "_same")).alias("r")).select("r.*")
     rows = docs.select(F.struct("*").alias("_doc"), *C.intake_columns(id_col, text_col)).withColumn("_same", F.xxhash64("_text"))
     stays = chosen.withColumn("_once", F.lit(True)).unionByName(groups.filter("component IS NULL").select("_id", "_same").distinct().withColumn("_once", F.lit(False)))
-    kept = rows.join(cut(stays), ["_id", "_same"]).select("_doc", "_id", "_same", "_once")
+    kept = rows.join(written(stays), ["_id", "_same"]).select("_doc", "_id", "_same", "_once")
     single = kept.filter("_once").groupBy("_id", "_same").agg(F.first("_doc").alias("_doc")).select("_doc")
     return single.unionByName(kept.filter("NOT _once").select("_doc")).select("_doc.*")
