@@ -10,8 +10,10 @@ query walks the same graph and reads the lists within ``ratio`` times its least
 further ones until they hold ``FILL`` times the neighbours asked for.
 
 Equal vectors are one class with its k + 1 smallest ids: with ties to the smaller id no other can
-be among k neighbours of another vector or of one of them. A list is cut into parts of at most ``PART`` vectors,
-and its queries into parts of as many; each pair of parts is a task's group, so a hot list is spread.
+be among k neighbours of another vector or of one of them. Lists near each other share a shard of at most ``PART``
+vectors, where a query's lists are read together and give one k + 1 best. A longer list is a shard of its own, cut into
+parts of at most ``PART`` vectors, and a shard's queries into parts of as many; each pair of parts is a task's
+group, so a hot list is spread.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id
 or of another length than most. Repeated rows count once. Fewer candidates than k: all of them.
@@ -166,7 +168,23 @@ def _post(graph: Graph, norm: float, boundary: float):
     return post
 
 
-def _probe(graph: Graph, norm: float, ratio: float, sizes: np.ndarray, need: int):
+def shards(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The shard of each list: centroids are halved across their widest direction until the lists hold ``PART`` vectors or are one."""
+    shard, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= PART:
+            shard[part] = n
+            n += 1
+            continue
+        x = c[part] - c[part].mean(0)
+        order = part[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return shard
+
+
+def _probe(graph: Graph, norm: float, ratio: float, sizes: np.ndarray, need: int, shard: np.ndarray):
+    """The lists that a query reads, one row for each of their shards."""
     def probe(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -176,21 +194,39 @@ def _probe(graph: Graph, norm: float, ratio: float, sizes: np.ndarray, need: int
                 short = np.hstack([np.zeros((len(d), 1)), held[:, :-1]]) < need
                 inside = (short | (d <= ratio * np.maximum(d[:, :1], 1e-6))) & np.isfinite(d)
                 row, col = np.nonzero(inside)
-                yield pa.RecordBatch.from_arrays([pa.array(found[row, col], pa.int32()), part.column("_q").take(pa.array(row)), part.column("_v").take(pa.array(row))], names=["list", "_q", "_v"])
+                lists = found[row, col]
+                order = np.lexsort((shard[lists], row))
+                row, lists = row[order], lists[order]
+                begin = C.runs(row * (len(shard) + 1) + shard[lists])[0]
+                at = pa.array(row[begin])
+                groups = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(lists, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lists[begin]], pa.int32()), part.column("_q").take(at), part.column("_v").take(at), groups], names=["shard", "_q", "_v", "lists"])
 
     return probe
 
 
 def _nearest(k: int):
     def nearest(key, postings, queries):
-        p, q = matrix(postings.column("_v")), matrix(queries.column("_v"))
-        ids = postings.column("ids").to_pylist()
         names, out = queries.column("_q").to_numpy(), ([], [], [])
-        if len(p):
+        if postings.num_rows and queries.num_rows:
+            q = matrix(queries.column("_v"))
+            ids = postings.column("ids").to_pylist()
+            # a boundary vector is in several lists of the shard: one column, open to the queries of any of them
+            _, one, column = np.unique([x[0] for x in ids], return_index=True, return_inverse=True)
+            p, ids = matrix(postings.column("_v").take(pa.array(one))), [ids[i] for i in one]
+            lists, held = np.unique(postings.column("list").to_numpy(), return_inverse=True)
+            holds = np.zeros((len(lists), len(p)), np.float32)
+            holds[held, column] = 1
             for lo in range(0, len(q), 512):
-                score = q[lo : lo + 512] @ p.T
+                part = queries.column("lists").slice(lo, 512).combine_chunks()
+                row, read = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy())), part.flatten().to_numpy()
+                known = np.isin(read, lists)
+                reads = np.zeros((len(part), len(lists)), np.float32)
+                reads[row[known], np.searchsorted(lists, read[known])] = 1
+                score = np.where(reads @ holds > 0, q[lo : lo + 512] @ p.T, -np.inf)
                 top = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
                 for i, best in enumerate(top):
+                    best = best[np.isfinite(score[i, best])]
                     exact = (p[best] * q[lo + i]).sum(1)
                     line = sorted((-s, v) for s, b in zip(exact.tolist(), best.tolist()) for v in ids[b])[: k + 1]
                     out[0].extend([names[lo + i]] * len(line))
@@ -220,16 +256,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     sizes = np.zeros(len(graph.c), np.int64)
     for row in posted.groupBy("list").count().collect():  # at most LISTS rows
         sizes[row["list"]] = row["count"]
-    probes = cut(distinct.mapInArrow(_probe(graph, norm, ratio, sizes, FILL * (k + 1)), "list int, _q long, _v array<double>"))
-    load = np.zeros(len(graph.c), np.int64)
-    for row in probes.groupBy("list").count().collect():
-        load[row["list"]] = row["count"]
-    parts = [F.array(*[F.lit(int(max(1, -(-v // PART)))) for v in counts]) for counts in (sizes, load)]
-    p_parts, q_parts = F.get(parts[0], F.col("list")), F.get(parts[1], F.col("list"))
+    shard = shards(graph.c, sizes)
+    probes = cut(distinct.mapInArrow(_probe(graph, norm, ratio, sizes, FILL * (k + 1), shard), "shard int, _q long, _v array<double>, lists array<int>"))
+    size = np.bincount(shard, sizes).astype(np.int64)
+    load = np.zeros(len(size), np.int64)
+    for row in probes.groupBy("shard").count().collect():  # no more than lists
+        load[row["shard"]] = row["count"]
+    parts = [F.get(F.array(*[F.lit(int(max(1, -(-v // PART)))) for v in counts]), F.col("shard")) for counts in (size, load)]
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    left = posted.withColumn("pp", F.pmod(F.xxhash64("_v"), p_parts).cast("int")).withColumn("qp", every(q_parts))
-    right = probes.withColumn("qp", F.pmod(F.col("_q"), q_parts).cast("int")).withColumn("pp", every(p_parts))
-    found = left.groupBy("list", "pp", "qp").cogroup(right.groupBy("list", "pp", "qp")).applyInArrow(_nearest(k), "_q long, vec_id long, score double")
+    left = posted.withColumn("shard", F.get(F.array(*[F.lit(int(v)) for v in shard]), F.col("list")))
+    left = left.withColumn("pp", F.pmod(F.xxhash64("_v"), parts[0]).cast("int")).withColumn("qp", every(parts[1]))
+    right = probes.withColumn("qp", F.pmod(F.col("_q"), parts[1]).cast("int")).withColumn("pp", every(parts[0]))
+    found = left.groupBy("shard", "pp", "qp").cogroup(right.groupBy("shard", "pp", "qp")).applyInArrow(_nearest(k), "_q long, vec_id long, score double")
     best = found.groupBy("_q", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("_n", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k + 1)
     lists = best.groupBy("_q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("top"))
