@@ -10,9 +10,9 @@ query walks the same graph and reads the lists within ``ratio`` times its least
 further ones until they hold ``FILL`` times the neighbours asked for.
 
 Equal vectors are one class with its k + 1 smallest ids: with ties to the smaller id no other can
-be among k neighbours of another vector or of one of them. Lists near each other share a shard of at most ``PART``
-vectors, where a query's lists are read together and give one k + 1 best. A longer list is a shard of its own, cut into
-parts of at most ``PART`` vectors, and a shard's queries into parts of as many; each pair of parts is a task's
+be among k neighbours of another vector or of one of them. Lists near each other share a shard of at most ``SHARD``
+bytes of vectors, where a query's lists are read together and give one k + 1 best. A longer list is a shard of its own, cut into
+parts of as many bytes, and a shard's queries into parts of at most ``PART``; each pair of parts is a task's
 group, so a hot list is spread.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id
@@ -38,6 +38,7 @@ DEGREE = 20
 BEAM = 48
 FILL = 40
 PART = 4096
+SHARD = 16 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -168,12 +169,12 @@ def _post(graph: Graph, norm: float, boundary: float):
     return post
 
 
-def shards(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The shard of each list: centroids are halved across their widest direction until the lists hold ``PART`` vectors or are one."""
+def shards(c: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """The shard of each list: centroids are halved across their widest direction until the lists hold ``room`` vectors or are one."""
     shard, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
     while todo:
         part = todo.pop()
-        if len(part) == 1 or sizes[part].sum() <= PART:
+        if len(part) == 1 or sizes[part].sum() <= room:
             shard[part] = n
             n += 1
             continue
@@ -211,25 +212,32 @@ def _nearest(k: int):
         if postings.num_rows and queries.num_rows:
             q = matrix(queries.column("_v"))
             ids = postings.column("ids").to_pylist()
-            # a boundary vector is in several lists of the shard: one column, open to the queries of any of them
+            # a boundary vector is in several lists of the shard but is one answer
             _, one, column = np.unique([x[0] for x in ids], return_index=True, return_inverse=True)
             p, ids = matrix(postings.column("_v").take(pa.array(one))), [ids[i] for i in one]
-            lists, held = np.unique(postings.column("list").to_numpy(), return_inverse=True)
-            holds = np.zeros((len(lists), len(p)), np.float32)
-            holds[held, column] = 1
+            held = postings.column("list").to_numpy()
+            by = np.argsort(held, kind="stable")
+            begin = C.runs(held[by])[0]
+            members = dict(zip(held[by][begin].tolist(), np.split(column[by], begin[1:])))
             for lo in range(0, len(q), 512):
                 part = queries.column("lists").slice(lo, 512).combine_chunks()
                 row, read = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy())), part.flatten().to_numpy()
-                known = np.isin(read, lists)
-                reads = np.zeros((len(part), len(lists)), np.float32)
-                reads[row[known], np.searchsorted(lists, read[known])] = 1
-                score = np.where(reads @ holds > 0, q[lo : lo + 512] @ p.T, -np.inf)
-                top = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
-                for i, best in enumerate(top):
-                    best = best[np.isfinite(score[i, best])]
-                    exact = (p[best] * q[lo + i]).sum(1)
+                seen = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                for name in np.unique(read).tolist():
+                    if name not in members:
+                        continue
+                    asks, own = row[read == name], members[name]
+                    score = q[lo + asks] @ p[own].T
+                    best = np.argpartition(-score, min(k, len(own) - 1), axis=1)[:, : k + 1]
+                    seen.append((np.repeat(asks, best.shape[1]), own[best].reshape(-1), np.take_along_axis(score, best, 1).reshape(-1)))
+                asks, found, score = (np.concatenate(x) for x in zip(*seen))
+                once = np.unique(asks * len(p) + found, return_index=True)[1]
+                once = once[np.lexsort((-score[once], asks[once]))]
+                for mine in np.split(once, C.runs(asks[once])[0][1:]) if len(once) else []:
+                    i, best = lo + asks[mine[0]], found[mine[: k + 1]]
+                    exact = (p[best] * q[i]).sum(1)
                     line = sorted((-s, v) for s, b in zip(exact.tolist(), best.tolist()) for v in ids[b])[: k + 1]
-                    out[0].extend([names[lo + i]] * len(line))
+                    out[0].extend([names[i]] * len(line))
                     out[1].extend(v for _, v in line)
                     out[2].extend(-s for s, _ in line)
         return pa.table({"_q": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
@@ -256,13 +264,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     sizes = np.zeros(len(graph.c), np.int64)
     for row in posted.groupBy("list").count().collect():  # at most LISTS rows
         sizes[row["list"]] = row["count"]
-    shard = shards(graph.c, sizes)
+    room = max(1, SHARD // (8 * sample.shape[1]))
+    shard = shards(graph.c, sizes, room)
     probes = cut(distinct.mapInArrow(_probe(graph, norm, ratio, sizes, FILL * (k + 1), shard), "shard int, _q long, _v array<double>, lists array<int>"))
     size = np.bincount(shard, sizes).astype(np.int64)
     load = np.zeros(len(size), np.int64)
     for row in probes.groupBy("shard").count().collect():  # no more than lists
         load[row["shard"]] = row["count"]
-    parts = [F.get(F.array(*[F.lit(int(max(1, -(-v // PART)))) for v in counts]), F.col("shard")) for counts in (size, load)]
+    parts = [F.get(F.array(*[F.lit(int(max(1, -(-v // most)))) for v in counts]), F.col("shard")) for counts, most in ((size, room), (load, PART))]
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
     left = posted.withColumn("shard", F.get(F.array(*[F.lit(int(v)) for v in shard]), F.col("list")))
     left = left.withColumn("pp", F.pmod(F.xxhash64("_v"), parts[0]).cast("int")).withColumn("qp", every(parts[1]))
