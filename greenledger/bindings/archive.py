@@ -28,6 +28,7 @@ def snapshots(spark, d):
     old = o.filter(F.col("o_orderstatus") != "O").select(
         F.concat(F.lit("http://Orders.example.com//o/"), key, F.lit("/?utm_source=mail")).alias("url"), *[c.alias(n) for n, c in common.items()],
         F.lit("plain").alias("summary"), day.alias("first_seen"), day.alias("last_seen"),
+        T.sha_hex(common["title"], F.lit("plain"), F.concat(F.lit("https://orders.example.com/o/"), key)).alias("content_hash"),
     )
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus") == "P")
     new = o.filter(F.col("o_orderstatus") != "F").select(

@@ -98,9 +98,11 @@ SQL_FIELDS = """f AS (SELECT DISTINCT month(o_orderdate) AS m, CASE WHEN month(o
 have AS (SELECT DISTINCT o_custkey AS site, month(o_orderdate) AS m FROM orders)"""
 
 
-@query("readiness", f"""WITH {SQL_FIELDS} SELECT site, CAST(floor(sum(w) / (SELECT sum(w) FROM f) * 100 + 0.5) AS INTEGER) AS score, CAST((SELECT count(*) FROM f WHERE w = 3) - count(*) FILTER (WHERE w = 3) AS INTEGER) AS missing_p0 FROM have JOIN f USING (m) GROUP BY site""")
+@query("readiness", f"""WITH {SQL_FIELDS} SELECT c_custkey AS site, CAST(floor(coalesce(sum(w), 0) / (SELECT sum(w) FROM f) * 100 + 0.5) AS INTEGER) AS score, CAST((SELECT count(*) FROM f WHERE w = 3) - count(*) FILTER (WHERE w = 3) AS INTEGER) AS missing_p0
+FROM customer LEFT JOIN have ON site = c_custkey LEFT JOIN f USING (m) GROUP BY c_custkey""")
 def readiness(spark, d):
-    return A.readiness(_fields(spark, d), _provided(spark, d), "site")
+    who = table(spark, d, "customer").select(F.col("c_custkey").alias("site"))
+    return A.readiness(_fields(spark, d), _provided(spark, d), "site", who)
 
 
 @query("data_tasks", f"""WITH {SQL_FIELDS}, t AS (SELECT c_custkey AS site, f.m, f.w FROM customer CROSS JOIN f WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.site = c_custkey AND have.m = f.m))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType, StringType, TimestampNTZType, TimestampType
 
 from greenledger.functions import text as T
 from greenledger.functions.scoring import with_columns_present
@@ -11,8 +12,11 @@ from greenledger.operators.chunked import with_previous, with_running_sum
 IDENTITY = ("url", "canonical_url", "title", "summary", "content_hash", "publisher", "published_date", "first_seen", "last_seen")
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """Rows with a canonical URL, a URL and a content hash; rows without any URL are left out."""
+def keyed(df: DataFrame, hashed: bool = True) -> DataFrame:
+    """Rows with a canonical URL, a URL and, if ``hashed``, a content hash; rows without any URL are left out.
+
+    Stored rows are not hashed anew: a stored row without a hash differs from whatever arrives.
+    """
     df = with_columns_present(df, IDENTITY)
     # The test runs on the raw columns: a filter on the key would compute the key twice.
     given = F.length(F.concat(T.collapse_space(F.col("canonical_url")), T.collapse_space(F.col("url")))) > 0
@@ -21,7 +25,7 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "url": T.first_text(F.col("url"), F.col("canonical_url")),
-            "content_hash": F.coalesce(F.col("content_hash"), recipe),
+            "content_hash": F.coalesce(F.col("content_hash"), recipe) if hashed else F.col("content_hash").cast("string"),
         }
     )
 
@@ -39,29 +43,50 @@ def merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival:
 
     ``arrival`` orders several incoming versions of one URL; without it ``first_seen`` does.
     """
-    return _merge_log(keyed(existing), keyed(incoming), as_of, arrival)
+    return _merge_log(keyed(existing, hashed=False), keyed(incoming), as_of, arrival)
+
 
+def _piece(order: DataFrame, by: Column) -> Column:
+    """A coarser value that follows the order of ``by``: the hour of a time, the day and hour of a text's date, 3600 numbers."""
+    kind = order.select(by).schema[0].dataType
+    if isinstance(kind, NumericType):
+        return F.floor(by / 3600)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.date_trunc("hour", by)
+    return F.substring(by, 1, 13) if isinstance(kind, StringType) else by
 
-def _merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None) -> DataFrame:
+
+def _merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool = False) -> DataFrame:
+    """``dated``: arriving rows keep their own last_seen and, where the URL is new, their version."""
     old = with_columns_present(existing, ("version_count",), "int").withColumn("_side", F.lit(0))
     new = with_columns_present(incoming, ("version_count",), "int").withColumn("_side", F.lit(1))
-    order_by = F.col(arrival) if arrival else F.col("first_seen")
-    old = old.withColumn("_at", F.struct(F.lit(0).alias("side"), order_by.alias("at"), F.col("content_hash").alias("tie")))
-    new = new.withColumn("_at", F.struct(F.lit(1).alias("side"), order_by.alias("at"), F.col("content_hash").alias("tie")))
+    order_by = arrival or "first_seen"
+    at = lambda df, side: F.struct(F.lit(side).alias("side"), F.col(order_by).alias("at"), F.col("content_hash").alias("tie"))
+    old, new = old.withColumn("_at", at(old, 0)), new.withColumn("_at", at(new, 1))
     # Several existing rows of one URL: the last one wins.
     keep = old.groupBy("canonical_url").agg(F.max_by(F.struct(*old.columns), F.col("_at")).alias("row")).select("row.*")
-    new = new.withColumns({"first_seen": F.coalesce(F.col("first_seen"), as_of), "last_seen": as_of, "version_count": F.lit(None).cast("int")})
-    log = keep.unionByName(new, allowMissingColumns=True)
-    # The hour of arrival cuts a hot URL into pieces that follow the order.
-    log = log.withColumn("_chunk", F.concat_ws("|", F.col("_side"), F.substring(F.col("_at.at").cast("string"), 1, 13)))
-    log = with_previous(log, "canonical_url", "_chunk", [F.col("_at")], "content_hash", "_before")
+    new = new.withColumn("first_seen", F.coalesce(F.col("first_seen"), as_of))
+    if not dated:
+        new = new.withColumns({"last_seen": as_of, "version_count": F.lit(None).cast("int")})
+    log = keep.unionByName(new, allowMissingColumns=True).withColumn("_hash", T.text_or_empty(F.col("content_hash")))
+    # Pieces that follow the order cut a hot URL.
+    log = log.withColumn("_chunk", F.struct(F.col("_side"), _piece(log, F.col("_at.at")).alias("at")))
+    log = with_previous(log, "canonical_url", "_chunk", [F.col("_at")], "_hash", "_before")
     action = (
         F.when(F.col("_side") == 0, "kept")
         .when(F.col("_before").isNull(), "added")
-        .when(F.col("_before") != F.col("content_hash"), "updated")
+        .when(F.col("_before") != F.col("_hash"), "updated")
         .otherwise("unchanged")
     )
-    return log.withColumn("action", action)
+    log = log.withColumn("action", action).withColumn("_before", F.nullif("_before", F.lit("")))
+    if dated:
+        seen = F.when(F.col("action") == "added", F.coalesce("last_seen", "first_seen")).when(F.col("action") == "updated", F.coalesce(F.col("last_seen"), as_of))
+        is_old, is_new = F.col("_side") == 0, F.col("action") == "added"
+        log = log.withColumns({
+            "last_seen": F.when(is_old, F.col("last_seen")).otherwise(seen), "version_count": F.when(is_old | is_new, F.col("version_count")),
+            "publisher": F.when(F.col("action") != "unchanged", F.col("publisher")),
+        })
+    return log
 
 
 def merge(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None = None, max_records: int | None = None) -> DataFrame:
@@ -107,12 +132,12 @@ def merge_stats(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival
 
 
 def overlay_seeds(archive: DataFrame, seeds: DataFrame, as_of: Column) -> DataFrame:
-    """Reviewed seed rows over the archive; a seed with the same hash leaves its row untouched."""
-    marked = keyed(archive)
-    known = marked.select("canonical_url", F.col("content_hash").alias("_known")).distinct()
-    same = (F.col("s.canonical_url") == F.col("k.canonical_url")) & (F.col("s.content_hash") == F.col("k._known"))
-    fresh = keyed(seeds).alias("s").join(known.alias("k"), same, "left_anti")
-    return _fold(_merge_log(marked, fresh, as_of, None))
+    """Reviewed seed rows over the archive; a seed with the same hash leaves its row untouched.
+
+    A seed's own last_seen stays, else a new one takes its first_seen and a changed one ``as_of``; a new seed
+    keeps its version.
+    """
+    return _fold(_merge_log(keyed(archive, hashed=False), keyed(seeds), as_of, None, dated=True))
 
 
 def with_fallback(archive: DataFrame, seeds: DataFrame) -> DataFrame:

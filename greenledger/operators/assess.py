@@ -170,16 +170,19 @@ def field_rows(fields: DataFrame) -> DataFrame:
     )
 
 
-def readiness(fields: DataFrame, provided: DataFrame, site: str) -> DataFrame:
+def readiness(fields: DataFrame, provided: DataFrame, site: str, sites: DataFrame | None = None) -> DataFrame:
     """Weighted share of provided fields per site, and the number of missing P0 fields.
 
-    ``provided`` has (site, field_id); the totals over the field table are scalars.
+    ``provided`` has (site, field_id); the totals over the field table are scalars. Every row of ``sites`` has a
+    score, 0 if it provided nothing; without ``sites`` only those that provided something do.
     """
     f = field_rows(fields)
     total = f.agg(F.sum("weight")).scalar()
     p0 = f.filter(F.col("priority") == "P0").agg(F.count("*")).scalar()
     have = provided.select(site, "field_id").distinct().join(f.select("field_id", "weight", "priority"), "field_id")
     per_site = have.groupBy(site).agg(F.sum("weight").alias("have"), F.count_if(F.col("priority") == "P0").alias("p0"))
+    if sites is not None:
+        per_site = sites.select(site).join(per_site, site, "left").fillna(0, ["have", "p0"])
     return per_site.select(site, F.floor(F.col("have") / total * 100 + 0.5).cast("int").alias("score"), (p0 - F.col("p0")).cast("int").alias("missing_p0"))
 
 

@@ -58,29 +58,35 @@ def balanced_select(records: DataFrame, *, days: int, limit: int, date: str = "p
                     order: list[str] = rules.DIGEST_ORDER, shares: dict[str, float] = rules.TARGET_SHARE) -> DataFrame:
     """Quota pass per category, then a fill pass by rank, up to ``limit`` distinct events.
 
+    A row without event key counts under its canonical URL, else its record id; one without category under its topic.
+
     Per-category ranks are cut inside the tasks before the shuffle, and the fill pass needs no
     more than limit + quota rows, so the last ordering runs over a handful of rows.
     """
-    windowed = recent_window(records, date, days, least=min(6, limit))
+    windowed = recent_window(with_columns_present(records, (event, category)), date, days, least=min(6, limit))
+    first_of = lambda *names: T.first_text(*[F.col(n).cast("string") for n in names if n in windowed.columns], F.lit(""))
     best = [F.col(quality).alias("q"), F.col(date).cast("string").alias("d"), F.col(title).alias("t")]
-    ranked = windowed.withColumn("_rank", F.struct(*best))
-    unique = ranked.groupBy(event).agg(F.max_by(F.struct(*ranked.columns), F.col("_rank")).alias("row")).select("row.*")
+    ranked = windowed.withColumns({
+        "_rank": F.struct(*best), "_event": first_of(event, "canonical_url", "record_id"),
+        "_category": F.coalesce(F.nullif(first_of(category, "topic"), F.lit("")), F.lit(rules.CATCH_ALL_CATEGORY)),
+    })
+    unique = ranked.groupBy("_event").agg(F.max_by(F.struct(*ranked.columns), F.col("_rank")).alias("row")).select("row.*")
     plan = quotas(limit, shares)
-    target = F.coalesce(*[F.when(F.col(category) == c, n) for c, n in plan.items()], F.lit(0))
-    spot = F.coalesce(*[F.when(F.col(category) == c, i) for i, c in enumerate(order)], F.lit(len(order)))
-    by_rank = [F.desc("_rank"), F.col(event)]
-    in_category = W.partitionBy(category).orderBy(*by_rank)
+    target = F.coalesce(*[F.when(F.col("_category") == c, n) for c, n in plan.items()], F.lit(0))
+    spot = F.coalesce(*[F.when(F.col("_category") == c, i) for i, c in enumerate(order)], F.lit(len(order)))
+    by_rank = [F.desc("_rank"), F.col(event), F.col("_event")]
+    in_category = W.partitionBy("_category").orderBy(*by_rank)
     largest = max(plan.values(), default=0)
     quota = (
         unique.withColumn("_r", F.row_number().over(in_category)).filter(F.col("_r") <= largest)
         .filter(F.col("_r") <= target).withColumns({"_phase": F.lit(0), "_cat": spot}).drop("_r")
     )
     pool = unique.orderBy(*by_rank).limit(limit + sum(plan.values()))
-    fill = pool.join(quota.select(event), event, "left_anti").withColumns({"_phase": F.lit(1), "_cat": F.lit(0)})
+    fill = pool.join(quota.select("_event"), "_event", "left_anti").withColumns({"_phase": F.lit(1), "_cat": F.lit(0)})
     both = quota.unionByName(fill)
     spotted = both.withColumn("_n", F.row_number().over(W.orderBy("_phase", "_cat", *by_rank))).filter(F.col("_n") <= limit)
     place = F.row_number().over(W.orderBy(*by_rank))
-    return spotted.withColumns({"digest_rank": place, "is_quota": F.col("_phase") == 0}).drop("_rank", "_phase", "_cat", "_n")
+    return spotted.withColumns({"digest_rank": place, "is_quota": F.col("_phase") == 0}).drop("_rank", "_event", "_category", "_phase", "_cat", "_n")
 
 
 def with_signals(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from greenledger.functions import scoring as S, text as T
-from greenledger.operators import archive as A, dedup as D
+from greenledger.operators import archive as A, dedup as D, digest as G
 
 COLUMNS = "title string, summary string, publisher string, published_date string, url string"
 
@@ -73,3 +73,28 @@ def test_archive_limit(spark):
     new = spark.createDataFrame([(f"https://example.com/{i}", str(i), "x", f"2026-08-{i + 1:02d}") for i in range(4)], "url string, title string, summary string, published_date string")
     got = A.merge(new.limit(0), new, F.lit("2026-09-01"), max_records=3).orderBy(F.desc("published_date")).collect()
     assert [r["published_date"] for r in got] == ["2026-08-04", "2026-08-03", "2026-08-02"]
+
+
+def test_merge_orders_numeric_arrivals_and_keeps_stored_rows_unhashed(spark):
+    stored = spark.createDataFrame([("https://x.example/a", "h0", 2), ("https://x.example/b", None, 3)], "url string, content_hash string, version_count int")
+    came = spark.createDataFrame([("https://x.example/a", "A", 2), ("https://x.example/a", "B", 9), ("https://x.example/a", "A", 10), ("https://x.example/b", "h", None)], "url string, content_hash string, n int")
+    for kind in ("int", "double"):
+        got = {r["canonical_url"][-1]: r for r in A.merge(stored.withColumn("n", F.lit(0).cast(kind)), came.withColumn("n", F.col("n").cast(kind)), F.lit("2026-01-01"), "n").collect()}
+        assert (got["a"]["version_count"], got["a"]["previous_content_hash"], got["a"]["content_hash"]) == (5, "B", "A")
+        assert (got["b"]["version_count"], got["b"]["previous_content_hash"]) == (4, None)
+
+
+def test_seeds_keep_their_own_dates(spark):
+    schema = "url string, title string, content_hash string, first_seen string, last_seen string, version_count int"
+    stored = spark.createDataFrame([("https://x.example/a", "old", "1", "2018", "2018", 2), ("https://x.example/c", "same", "3", "2018", "2018", 1)], schema)
+    seeds = spark.createDataFrame([("https://x.example/a", "new", "2", "2017", "2019", 9), ("https://x.example/b", "b", "5", "2019", None, 4), ("https://x.example/c", "same", "3", "2019", "2020", 7)], schema)
+    got = {r["canonical_url"][-1]: (r["title"], r["first_seen"], r["last_seen"], r["version_count"], r["previous_content_hash"]) for r in A.overlay_seeds(stored, seeds, F.lit("2021")).collect()}
+    assert got["a"][0] == "new" and got["a"][2:] == ("2019", 3, "1")
+    assert got["b"] == ("b", "2019", "2019", 4, None) and got["c"] == ("same", "2018", "2018", 1, None)
+
+
+def test_digest_rows_without_event_key_or_category(spark):
+    rows = [(None, "u1", None, "2026-08-01", 5, "t1"), (None, "u2", "园区建设", "2026-08-01", 9, "t2"), (None, None, None, "2026-08-01", 3, "t3"), ("e", "u4", None, "2026-08-01", 4, "t4"), ("e", "u5", None, "2026-08-01", 2, "t5")]
+    df = spark.createDataFrame(rows, "event_key string, canonical_url string, category string, published_date string, quality_score int, title string")
+    got = [r["title"] for r in G.balanced_select(df, days=2, limit=10).orderBy("digest_rank").collect()]
+    assert got == ["t2", "t1", "t4", "t3"]
