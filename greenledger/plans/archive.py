@@ -26,14 +26,18 @@ def collect(index_pages: DataFrame, article_pages: DataFrame, sources: DataFrame
     """Records, rejects and a log row per source from landed pages.
 
     ``index_pages`` has the source key, url, html; ``article_pages`` url, html; ``sources`` the
-    key with name, scope, type, default_category, region and enabled.
+    key with name, scope, type, default_category, region, enabled and, if known, allowed_domains. Disabled
+    sources are left out; links to hosts outside a source's list are not followed, an empty list allows all.
     """
-    chosen = sources
+    chosen = sources.filter(F.coalesce(F.col("enabled"), F.lit(True)))
     if health is not None:
-        chosen = H.due_sources(sources, health, source, as_of).filter("due")
+        chosen = H.due_sources(chosen, health, source, as_of).filter("due")
     live = index_pages.join(chosen.select(source), source, "left_semi").withColumn("page_order", F.col("url"))
+    listed = ["allowed_domains"] if "allowed_domains" in chosen.columns else []
     parsed = PG.extract_pages(readers.landed_pages(live), [source, "url", "page_order"])
-    candidates = cut(PG.link_candidates(parsed, source, "url", "page_order", keywords))
+    if listed:
+        parsed = parsed.join(chosen.select(source, *listed), source)
+    candidates = cut(PG.link_candidates(parsed, source, "url", "page_order", keywords, *map(F.col, listed)))
     # Only the pages some candidate points at are parsed.
     keyed = A.keyed(article_pages).select("canonical_url", "html", "url").join(candidates.select(F.col("url").alias("canonical_url")).distinct(), "canonical_url", "left_semi")
     one = keyed.groupBy("canonical_url").agg(F.max_by("html", "url").alias("html"))

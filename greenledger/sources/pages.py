@@ -19,7 +19,6 @@ PAGE_SCHEMA = "page_title string, meta map<string,string>, links array<struct<hr
 NO_ARTICLE = ("公开来源发布了“", "”相关信息。平台保留原文入口，并将其作为后续核验、数据补充或措施筛选的线索。")
 NO_SUMMARY = ("公开页面发布了“", "”相关信息。该记录用于发现政策、园区实践或技术线索；涉及园区绩效和项目收益时，仍需核对原文和园区台账。")
 MIN_PARAGRAPH, MIN_SUMMARY, MAX_SUMMARY, MIN_LINK_TEXT, MIN_TITLE, MAX_TITLE = 30, 50, 360, 6, 15, 180
-LINK_LIMIT, ARTICLE_LIMIT = 40, 8
 # End of fixed values.
 
 
@@ -92,21 +91,23 @@ def _resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
 
 
 def link_candidates(parsed: DataFrame, source: str, url: str, order: str, keywords: list[str] = rules.LINK_KEYWORDS,
-                    domains: Column | None = None, limit: int = LINK_LIMIT) -> DataFrame:
-    """Links worth following, per source in page order: long enough, on topic, allowed, distinct, first ``limit``.
+                    domains: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Links worth following, per source in page order: long enough, on topic, allowed, distinct; all, or the first ``limit``.
 
     The cheap text tests run before the link is resolved. Ranks per source are cut inside the tasks.
     """
-    rows = parsed.select(source, F.col(url).alias("_base"), F.col(order).alias("page_order"), F.posexplode("links").alias("pos", "link"))
+    allowed = [] if domains is None else [domains.alias("_domains")]
+    rows = parsed.select(source, F.col(url).alias("_base"), F.col(order).alias("page_order"), *allowed, F.posexplode("links").alias("pos", "link"))
     title = T.collapse_space(F.col("link.text"))
     rows = rows.withColumn("title", title).filter((F.length("title") >= MIN_LINK_TEXT) & any_term(F.col("title"), keywords))
     resolved = rows.withColumn("_abs", F.pandas_udf(_resolve, "string")("_base", F.col("link.href")))
     named = resolved.withColumn("url", T.canonical_url(F.col("_abs"))).filter(F.col("url") != "")
     if domains is not None:
-        named = named.filter(T.host_allowed(F.col("url"), domains))
+        named = named.filter(T.host_allowed(F.col("url"), F.col("_domains")))
     spot = F.struct("page_order", "pos")
     firsts = named.groupBy(source, "url").agg(F.min(spot).alias("_spot"), F.min_by("title", spot).alias("title"))
-    ranked = firsts.withColumn("position", F.row_number().over(W.partitionBy(source).orderBy("_spot"))).filter(F.col("position") <= limit)
+    ranked = firsts.withColumn("position", F.row_number().over(W.partitionBy(source).orderBy("_spot")))
+    ranked = ranked if limit is None else ranked.filter(F.col("position") <= limit)
     return ranked.select(source, "url", "position", F.substring("title", 1, MAX_TITLE).alias("title"))
 
 
@@ -119,14 +120,19 @@ def summary_of(meta: Column, paragraphs: Column, title: Column) -> Column:
     return F.coalesce(cut, F.concat(F.lit(NO_SUMMARY[0]), title, F.lit(NO_SUMMARY[1])))
 
 
-def build_records(candidates: DataFrame, articles: DataFrame, sources: DataFrame, source: str, as_of: Column, article_limit: int = ARTICLE_LIMIT) -> DataFrame:
-    """Candidates with their article page. A missing page keeps the row with a set phrase as summary.
+def build_records(candidates: DataFrame, articles: DataFrame, sources: DataFrame, source: str, as_of: Column, article_limit: int | None = None) -> DataFrame:
+    """Candidates with their article page. A missing page keeps the row with a set phrase as summary, and so do, if
+    there is an ``article_limit``, the candidates behind that position; they stay out of the join.
 
     ``articles``: canonical_url, page_title, meta, paragraphs; one row per URL.
     ``sources``: the source key with name, scope, type, default_category and region.
     """
-    wanted = candidates.withColumn("canonical_url", F.when(F.col("position") <= article_limit, F.col("url")))
-    joined = wanted.join(articles, "canonical_url", "left").withColumn("_has", F.col("paragraphs").isNotNull())
+    wanted = candidates.withColumn("canonical_url", F.col("url"))
+    near = wanted if article_limit is None else wanted.filter(F.col("position") <= article_limit)
+    joined = near.join(articles, "canonical_url", "left")
+    if article_limit is not None:
+        joined = joined.unionByName(wanted.filter(F.col("position") > article_limit), allowMissingColumns=True)
+    joined = joined.withColumn("_has", F.col("paragraphs").isNotNull())
     staged = joined.withColumn("title", F.when(F.col("_has") & (T.text_or_empty(F.col("page_title")) != "") & (F.length("title") < MIN_TITLE), F.substring("page_title", 1, MAX_TITLE)).otherwise(F.col("title")))
     staged = staged.withColumns(
         {

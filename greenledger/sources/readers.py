@@ -91,8 +91,8 @@ def first_available(spark: SparkSession, candidates: list) -> DataFrame:
     return last
 
 
-def landed_pages(pages: DataFrame, max_bytes: int = 3_000_000) -> DataFrame:
-    """Pages as text. Bytes are cut at the size limit and decoded with replacement; only HTML, XML and RSS stay.
+def landed_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Pages as text. Bytes are whole, or cut at a size limit if one is given, and decoded with replacement; only HTML, XML and RSS stay.
 
     Expects ``url`` and ``html`` (text) or ``body`` (bytes, with optional ``charset`` and ``content_type``).
     """
@@ -101,12 +101,12 @@ def landed_pages(pages: DataFrame, max_bytes: int = 3_000_000) -> DataFrame:
         out = out.filter(F.col("content_type").rlike("html|xml|rss"))
     body = F.col("body") if "body" in pages.columns else F.encode(F.col("html"), "UTF-8")
     size = F.octet_length(body)
-    capped = F.when(size > max_bytes, F.substring(body, 1, max_bytes)).otherwise(body)
+    capped = body if max_bytes is None else F.when(size > max_bytes, F.substring(body, 1, max_bytes)).otherwise(body)
     if "body" in pages.columns:
         charset = F.lower(F.coalesce(F.col("charset"), F.lit("utf-8"))) if "charset" in pages.columns else F.lit("utf-8")
         text = F.when(charset.isin("iso-8859-1", "latin-1"), F.decode(capped, "ISO-8859-1")).when(charset.startswith("utf-16"), F.decode(capped, "UTF-16")).otherwise(_utf8(capped))
         return out.withColumns({"html": text, "n_bytes": size})
-    cut = F.when(size > max_bytes, _utf8(capped)).otherwise(F.col("html"))
+    cut = F.col("html") if max_bytes is None else F.when(size > max_bytes, _utf8(capped)).otherwise(F.col("html"))
     return out.withColumns({"html": cut, "n_bytes": size})
 
 

@@ -29,3 +29,11 @@ def test_collect_update_publish(spark):
     assert [r["value"] for r in marts.funnel.orderBy("ord").collect()] == [2, 1, 1, 1, 1]
     assert marts.daily.count() == 1 and marts.weekly.count() == 1 and marts.feed.count() == 1
     assert marts.monthly.first()["name"] == "2026-08"
+
+
+def test_collect_leaves_out_foreign_hosts_and_disabled_sources(spark):
+    fields = "id string, name string, scope string, type string, default_category string, region string, enabled boolean, allowed_domains array<string>"
+    sources = spark.createDataFrame([("S1", "a", "", "", "园区建设", "", True, ["other.example"]), ("S2", "b", "", "", "园区建设", "", False, []), ("S3", "c", "", "", "园区建设", "", None, [])], fields)
+    index = spark.createDataFrame([(s, "https://x.example/list/", INDEX) for s in ("S1", "S2", "S3")], "id string, url string, html string")
+    found = PA.collect(index, index.select("url", "html").limit(0), sources, F.lit("2026-08-20"))
+    assert {r["source_id"]: r["candidates"] for r in found.log.collect()} == {"S1": 0, "S3": 2}
