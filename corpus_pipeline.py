@@ -16,7 +16,7 @@ from greenledger.llm.line_index import LineIndex
 from greenledger.llm.queries import is_contaminated
 from greenledger.session import shared_dir
 
-#: SQL cannot express the learned language stage; tests compare every stage with a plain version.
+#: SQL cannot express the learned language stage; a test follows planted documents through every stage.
 ORACLE_SQL = None
 
 
