@@ -51,4 +51,4 @@ def report_index(reports: DataFrame) -> DataFrame:
 
 def latest_reports(reports: DataFrame) -> DataFrame:
     newest = reports.groupBy("report_type").agg(F.max("report_date").alias("report_date"))
-    return reports.join(F.broadcast(newest), ["report_type", "report_date"], "left_semi")
+    return reports.join(newest, ["report_type", "report_date"], "left_semi")
