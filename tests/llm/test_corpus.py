@@ -249,6 +249,42 @@ def test_base_spans_equal_plain_patterns(spark):
         assert [(s.kind, s.start, s.end) for s in found[nid(i)] if s.base] == base_by_hand(t)
 
 
+def test_personal_data_beyond_base_formats_is_added(spark):
+    rng = random.Random(14)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    prose = lambda: " ".join(rng.choice(["lorum", "ipsa", "dolor", "amet", "magna", "velit"]) for _ in range(4))
+
+    def card(good):
+        n = digits(15)
+        last = next(c for c in "0123456789" if pii.luhn(n + c))
+        return n + (last if good else str((int(last) + 1) % 10))
+
+    dotted = lambda n: ".".join(n[i : i + 4] for i in (0, 4, 8, 12))
+    octet = lambda: str(rng.randint(1, 255))
+    cue = lambda word: rng.choice([word, ""])
+    base = [lambda: f"{cue('phone ')}+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{cue('mail ')}jo.{digits(2)}@mail{digits(1)}.example.com", lambda: cue("host ") + ".".join(octet() for _ in range(4)), lambda: f"{cue('card ')}{card(True)}"]
+    refused = [lambda: "version 1.2.300." + digits(3), lambda: f"number {card(False)}", lambda: f"2024-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"id 2024.{rng.randint(10, 12)}{rng.randint(10, 28)}.{digits(4)}", lambda: f"version v10.200.{digits(4)}", lambda: "12:30:45:10"]
+    planted = [
+        ("phone", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), ("email", lambda: f"jo.{digits(2)} at mail dot example dot com"),
+        ("ip", lambda: ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8))), ("card", lambda: dotted(card(True))),
+    ]
+    docs, want = [], {}
+    for i in range(900):
+        if i % 3 == 2:
+            kind, make = planted[i // 3 % len(planted)]
+            said = make()
+            text = f"{prose()} {said} {prose()}"
+            want[i] = [(kind, text.index(said), text.index(said) + len(said))]
+        else:
+            text = f"{prose()} {(base, refused)[i % 3][i // 3 % len((base, refused)[i % 3])]()} {prose()}"
+            want[i] = []
+        docs.append((i, text))
+    found = {r._id: r.spans for r in pii.find_personal(frame(spark, docs)).collect()}
+    added = {i: [(s.kind, s.start, s.end) for s in spans if not s.base] for i, spans in found.items()}
+    assert [i for i, _ in docs if i % 3 != 2 and added[i]] == []
+    assert sum(added[i] == want[i] for i in want if want[i]) >= 0.9 * 300 and {s[0] for i in added for s in added[i]} == set(pii.KINDS)
+
+
 def test_boosted_trees_learn_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 5)).astype(np.float32)
