@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from greenledger.llm import common as C, langid, mixing, near_dedup, pii, posting_ann, ppm, suffix_dedup, url_rules, winnowing
 from greenledger.llm.line_index import LineIndex
+from greenledger.session import written
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -67,8 +68,11 @@ SELECT doc_id, source, copies, unnest(range(1, copies + 1)) AS copy FROM t WHERE
 
 @query("op2_poisson_mix", MIX_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources in proportion to the square root of their size, as many documents as there are."""
-    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source"))
+    """Sources in proportion to the square root of their size, as many documents as there are.
+
+    Whole documents are replicated, dealt out and written; the SQL twin fixes what is returned, a listing of the written mix.
+    """
+    mixed = written(mixing.mix(table(spark, folder, "documents")))
     return mixed.select("doc_id", "source", F.col("draw.copies").alias("copies"), F.col("draw.copy").alias("copy"))
 
 

@@ -321,6 +321,21 @@ def test_mix_reaches_weights(spark):
     assert again.exceptAll(mixing.mix(df.repartition(7), {"a": 1.0}).select("doc_id", "draw.copy")).count() == 0
 
 
+def test_mix_query_writes_whole_documents(spark, tmp_path, monkeypatch):
+    from greenledger.llm import queries
+
+    docs = [(i, f"text {i} " * 50, "aa", "hot" if i % 10 else "cold", 1) for i in range(300)] + [(None, None, None, None, None)]
+    frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    mixes, keep = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df: mixes.append(keep(df)) or mixes[-1])
+    listed = queries.op2(spark, str(tmp_path))
+    assert listed.columns == ["doc_id", "source", "copies", "copy"]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, r.draw.copy, r.draw.copies) for r in mixes[0].collect()]
+    known = {d[0]: d for d in docs}
+    assert rows and all(known[r[0]] == r[:5] for r in rows) and len({(r[0], r[5]) for r in rows}) == len(rows)
+    assert sorted((r[0] or -1, r[6], r[5]) for r in rows) == sorted((r.doc_id or -1, r.copies, r.copy) for r in listed.collect())
+
+
 def test_url_parts_rules_and_mined_rules(spark):
     rows = [(i, f"http://{'bad' if i % 2 else 'fine'}.example.org/en/{i}", bool(i % 2)) for i in range(60)]
     odd = [(100, None, None), (101, "no scheme", None), (102, "HTTP://A.Net/x?y#z", None), (103, "http://m.example.net/en/7", None), (104, "http://example.com/de/1", None), (105, "http://x.org/fr/", None), (106, "http://a.net", None)]
