@@ -7,7 +7,8 @@ sample, centroids and their graph have a fixed bound and travel with the tasks.
 is indexed: a best-first walk over the centroid graph finds its nearest centroids, and it is posted to all whose
 distance is within ``boundary`` times the least (boundary vectors are in several lists, at most ``REPLICAS``). A
 query walks the same graph and reads the lists within ``ratio`` times its least distance, and
-further ones until they hold ``FILL`` times the neighbours asked for.
+further ones until they hold ``FILL`` times the neighbours asked for; where the walk's farthest list
+still counts, all centroids are compared, so no number of lists is a limit.
 
 Equal vectors are one class with its k + 1 smallest ids: with ties to the smaller id no other can
 be among k neighbours of another vector or of one of them. Lists near each other share a shard of at most ``SHARD``
@@ -184,18 +185,35 @@ def shards(c: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return shard
 
 
+def reach(graph: Graph, x: np.ndarray, ratio: float, sizes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of every list that a query reads. Queries for which the farthest list found still counts are compared with all."""
+    rows, lists, todo = [], [], np.arange(len(x))
+    for every in (False, True):
+        if every:
+            d = np.sqrt(distances(x[todo], graph.c))
+            found = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, found, 1)
+        else:
+            found, d = graph.search(x, BEAM)
+        held = np.cumsum(np.where(np.isfinite(d), sizes[found], 0), axis=1)
+        short = np.hstack([np.zeros((len(d), 1)), held[:, :-1]]) < need
+        inside = (short | (d <= ratio * np.maximum(d[:, :1], 1e-6))) & np.isfinite(d)
+        row, col = np.nonzero(inside & (every | ~inside[:, -1:]))
+        rows.append(todo[row])
+        lists.append(found[row, col])
+        todo = todo[inside[:, -1]]
+        if every or not len(todo):
+            break
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def _probe(graph: Graph, norm: float, ratio: float, sizes: np.ndarray, need: int, shard: np.ndarray):
     """The lists that a query reads, one row for each of their shards."""
     def probe(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                found, d = graph.search(lift(matrix(part.column("_v")), norm, True), BEAM)
-                held = np.cumsum(np.where(np.isfinite(d), sizes[found], 0), axis=1)
-                short = np.hstack([np.zeros((len(d), 1)), held[:, :-1]]) < need
-                inside = (short | (d <= ratio * np.maximum(d[:, :1], 1e-6))) & np.isfinite(d)
-                row, col = np.nonzero(inside)
-                lists = found[row, col]
+                row, lists = reach(graph, lift(matrix(part.column("_v")), norm, True), ratio, sizes, need)
                 order = np.lexsort((shard[lists], row))
                 row, lists = row[order], lists[order]
                 begin = C.runs(row * (len(shard) + 1) + shard[lists])[0]
@@ -245,7 +263,7 @@ def _nearest(k: int):
     return nearest
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", boundary: float = 1.06, ratio: float = 1.07) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", boundary: float = 1.15, ratio: float = 1.4) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k rows of largest inner product found for every row
     that ``queries`` (a condition on ``_id``) names, without the row itself."""
     rows = cut(usable(vectors, id_col, vector_col))

@@ -374,6 +374,25 @@ def test_neighbours_have_recall_and_order(spark):
     assert few.count() == 3
 
 
+def test_neighbours_have_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(posting_ann, "LIST_SIZE", 4)  # 1000 lists
+    x = np.random.default_rng(6).normal(size=(4000, 32)).astype(np.float32)
+    found = posting_ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("_id") % 80 == 0).collect()
+    by, hit = defaultdict(set), 0
+    for r in found:
+        by[r.query_id].add(r.vec_id)
+    for q in range(0, 4000, 80):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hit += len(by[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (20 * 50) >= 0.9
+    graph = posting_ann.Graph(x[:1000])
+    row, lists = posting_ann.reach(graph, x[3000:3050], 1.3, np.ones(1000, int), 1)
+    d = np.sqrt(posting_ann.distances(x[3000:3050], x[:1000]))
+    near = {(i, j) for i, j in np.argwhere(d <= 1.3 * d.min(1, keepdims=True) * (1 - 1e-5)).tolist()}
+    assert len(near & set(zip(row.tolist(), lists.tolist()))) >= 0.99 * len(near)
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
