@@ -5,8 +5,11 @@ signs as spaces), hashed into ``BUCKETS`` rows; a linear layer and a softmax giv
 and layer are trained by stochastic gradient descent in numpy on at most ``per_language`` labelled
 documents of each of the ``max_languages`` most frequent labels, chosen by a hash of the id: only their
 gram counts reach the driver, at most BUCKETS numbers a document. A fifth of them is held back to
-calibrate: a temperature for the probabilities, and a rejection threshold at half the least score
-that a rightly predicted held-back document has, so that rejection costs no document like these.
+calibrate a temperature for the probabilities. Beside the languages the model has a class for no language, learned from a
+copy of each document whose bytes are shuffled; its share lowers the scores of the languages, so a score can fall
+under 1 / languages. Rejection thresholds, one by class of length (``CLASSES`` in grams), part held-back documents
+and their first words from shuffled copies of both: of the bounds that cost at most ``LOSS`` of the rightly
+predicted texts, the one with the fewest errors, amid the widest gap.
 
 Prediction reads whole texts in one pass without a shuffle; embeddings times layer is one table
 of BUCKETS x languages (its size is set by the parameters) that travels with the task.
@@ -18,6 +21,7 @@ document every text is ``und``. Equal texts get equal predictions.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +33,9 @@ from greenledger.llm import common as C
 BUCKETS = 1 << 14
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
+CLASSES = (16, 64, 256, 1024)  # grams: about 1 word, 4 words, 15 words, a paragraph, more
+FIRST = (8, 28, 100)  # bytes of a document's beginning, to calibrate short texts
+LOSS = 0.01
 EMBEDDING_RATE = 50  # a gram's share of a text is small, and so is its gradient
 
 
@@ -65,33 +72,53 @@ def has_letter(texts, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return found
 
 
+def shuffled(part: np.ndarray) -> np.ndarray:
+    """The bytes between spaces in any order, so that lengths of words stay."""
+    out = part.copy()
+    at = np.flatnonzero(_signs()[part] != 32)
+    out[at] = part[np.random.default_rng(zlib.crc32(part.tobytes())).permutation(at)]
+    return out
+
+
+def _beginning(part: np.ndarray, size: int) -> np.ndarray:
+    """The whole words of the first ``size`` bytes, or the first word."""
+    gaps = np.flatnonzero(_signs()[part] == 32)
+    gaps = gaps[gaps > 0]
+    k = int(np.searchsorted(gaps, size, "right"))
+    return part[: gaps[max(k - 1, 0)]] if len(gaps) and len(part) > size else part
+
+
 def _counts(batches):
-    """Gram counts of each text, as packed bucket numbers and counts."""
+    """Gram counts of each text, of its beginnings and of shuffled copies (``real`` is false), as packed bucket numbers and counts."""
     for batch in C.pieces(batches):
-        texts = batch.column("_text")
-        data, off = C.text_bytes(texts)
-        rows = [gram_rows(data, off, w) for w in WIDTHS]
-        which, counts = [], []
+        data, off = C.text_bytes(batch.column("_text"))
+        langs, out = batch.column("_lang").to_pylist(), ([], [], [], [], [])
         for i in range(batch.num_rows):
-            n = np.bincount(np.concatenate([r[off[i] : off[i + 1]] for r in rows]), minlength=BUCKETS + 1)[:BUCKETS]
-            at = np.flatnonzero(n)
-            which.append(C.pack_sorted(at.astype(np.uint64)))
-            counts.append(C.pack(n[at].astype(np.uint64)))
-        yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(which, pa.binary()), pa.array(counts, pa.binary())], names=["_lang", "which", "counts"])
+            whole = data[off[i] : off[i + 1]]
+            for size in (0, *FIRST):
+                real = _beginning(whole, size) if size else whole
+                for part in (real, shuffled(real)):
+                    ends = np.array([0, len(part)])
+                    n = np.bincount(np.concatenate([gram_rows(part, ends, w) for w in WIDTHS]), minlength=BUCKETS + 1)[:BUCKETS]
+                    at = np.flatnonzero(n)
+                    for column, v in zip(out, (langs[i], size, part is real, C.pack_sorted(at.astype(np.uint64)), C.pack(n[at].astype(np.uint64)))):
+                        column.append(v)
+        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["_lang", "size", "real", "which", "counts"])
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # (BUCKETS + 1, languages): embedding times layer over temperature; the last row is 0
+    table: np.ndarray  # (BUCKETS + 1, languages + 1): embedding times layer over temperature; the last row is 0, the last column no language
     bias: np.ndarray
-    threshold: float
+    thresholds: np.ndarray  # by class of length
 
     def scores(self, data: np.ndarray, off: np.ndarray, positions: int = 1 << 16) -> np.ndarray:
-        """Probabilities by text and language."""
+        """Probabilities by text and language; what lacks to 1 is no language."""
         m = len(off) - 1
-        total = np.zeros((m, len(self.languages)))
-        step = max(1024, positions * 4 // max(4, len(self.languages)))
+        total = np.zeros((m, len(self.bias)))
+        step = max(1024, positions * 4 // max(4, len(self.bias)))
         for width in WIDTHS:
             rows = gram_rows(data, off, width)
             for lo in range(0, len(rows), step):
@@ -100,8 +127,25 @@ class Model:
                 texts = np.arange(first, last)
                 texts = texts[(np.minimum(off[texts + 1], hi) > np.maximum(off[texts], lo))]
                 total[texts] += np.add.reduceat(self.table[rows[lo:hi]], np.maximum(off[texts], lo) - lo, axis=0)
-        n = sum(np.maximum(np.diff(off) - w + 1, 0) for w in WIDTHS)
-        return softmax(total / np.maximum(n, 1)[:, None] + self.bias)
+        return softmax(total / np.maximum(grams(off), 1)[:, None] + self.bias)[:, :-1]
+
+
+def grams(off: np.ndarray) -> np.ndarray:
+    return sum(np.maximum(np.diff(off) - w + 1, 0) for w in WIDTHS)
+
+
+def _threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """The bound on scores with the fewest errors among those that cost at most LOSS of the good ones."""
+    if not len(good):
+        return 0.0
+    values = np.unique(np.r_[0.0, good, bad])
+    lost, passed = np.searchsorted(np.sort(good), values), len(bad) - np.searchsorted(np.sort(bad), values)  # for a bound at the value
+    fits = np.flatnonzero(lost <= LOSS * len(good))
+    errors = lost[fits] / len(good) + passed[fits] / max(len(bad), 1)
+    best = fits[np.flatnonzero(errors <= errors.min() + 1e-12)]
+    gap = values[best] - np.r_[0.0, values][best]
+    i = best[int(gap.argmax())]
+    return float(values[i] + np.r_[0.0, values][i]) / 2
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -137,26 +181,33 @@ def _fit(found: pa.Table, dims: int, epochs: int, rate: float, batch: int, seed:
     if not labels:
         return None
     languages = tuple(sorted(set(labels)))
-    y = np.array([languages.index(v) for v in labels])
-    x = []
-    for which, counts in zip(C.cells(found, "which"), C.cells(found, "counts")):
-        n = C.unpack(counts).astype(np.float32)
-        x.append((C.unpack_sorted(which).astype(np.int64), n / max(n.sum(), 1)))
-    held = np.arange(len(y)) % 5 == 4
-    if len(y) < 20:
+    at = {v: i for i, v in enumerate(languages)}
+    size, real = found.column("size").to_numpy(), found.column("real").to_numpy(zero_copy_only=False)
+    own = np.array([at[v] for v in labels])
+    y = np.where(real, own, len(languages))
+    x, n = [], np.zeros(len(y))
+    for i, (which, counts) in enumerate(zip(C.cells(found, "which"), C.cells(found, "counts"))):
+        count = C.unpack(counts).astype(np.float32)
+        n[i] = count.sum()
+        x.append((C.unpack_sorted(which).astype(np.int64), count / max(n[i], 1)))
+    doc = np.cumsum((size == 0) & real) - 1  # a document's copies follow it
+    held = doc % 5 == 4
+    if doc[-1] + 1 < 20:
         held[:] = False
-    train = np.flatnonzero(~held)
-    emb, out, bias = descend([x[i] for i in train], y[train], len(languages), dims, epochs, rate, batch, seed)
+    train = np.flatnonzero(~held & (size == 0))
+    emb, out, bias = descend([x[i] for i in train], y[train], len(languages) + 1, dims, epochs, rate, batch, seed)
     table = (emb @ out).astype(np.float64)
-    check = np.flatnonzero(held) if held.any() else train
+    check = np.flatnonzero(held) if held.any() else np.arange(len(y))
     logits = np.stack([(table[x[i][0]] * x[i][1][:, None]).sum(0) + bias for i in check])
+    whole = size[check] == 0
     heats = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in heats]
+    loss = [-np.log(np.maximum(softmax(logits[whole] / t)[np.arange(whole.sum()), y[check][whole]], 1e-12)).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
-    p = softmax(logits / heat)
-    right = p.argmax(1) == y[check]
-    threshold = float(p.max(1)[right].min()) / 2 if right.any() else 0.0
-    return Model(languages, np.vstack([table / heat, np.zeros((1, len(languages)))]).astype(np.float32), bias / heat, threshold)
+    p = softmax(logits / heat)[:, :-1]
+    score, right = p.max(1), real[check] & (p.argmax(1) == own[check])
+    group = np.searchsorted(CLASSES, n[check], "right")
+    thresholds = np.array([_threshold(score[right & (group == k)], score[~real[check] & (group == k)]) for k in range(len(CLASSES) + 1)])
+    return Model(languages, np.vstack([table / heat, np.zeros((1, len(languages) + 1))]).astype(np.float32), bias / heat, thresholds)
 
 
 def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 600, max_languages: int = 200, dims: int = 16, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 1) -> Model | None:
@@ -169,7 +220,7 @@ def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
     cut = ranked.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_place"))).filter(F.col("_n") <= per_language)
     limits = cut.groupBy("_lang").agg(F.max("_place").alias("_last"))
     chosen = rows.withColumn("_place", place).join(F.broadcast(limits), "_lang").filter("_place <= _last")
-    found = chosen.select("_place", "_lang", "_text").orderBy("_place", "_text").mapInArrow(_counts, "_lang string, which binary, counts binary").toArrow()
+    found = chosen.select("_place", "_lang", "_text").orderBy("_place", "_text").mapInArrow(_counts, "_lang string, size int, real boolean, which binary, counts binary").toArrow()
     return _fit(found, dims, epochs, rate, batch, seed)
 
 
@@ -186,7 +237,7 @@ def _predict(model: Model | None):
                 score = np.where(known, p[np.arange(len(best)), best], 0.0)
             else:
                 names, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            rejected = ~known | (score < (model.threshold if model else 1))
+            rejected = ~known | (score < (model.thresholds[np.searchsorted(CLASSES, grams(off), "right")] if model else 1))
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=["_doc", "lang_pred", "score", "rejected"])
 
     return predict

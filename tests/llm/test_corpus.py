@@ -311,6 +311,17 @@ def test_language_is_learned_and_letters_are_needed(spark):
     assert langid.train(df.limit(0)) is None and langid.identify(df, None).filter("language.lang_pred <> 'und'").count() == 0
 
 
+def test_gibberish_is_rejected_and_clean_documents_stay(spark):
+    rng = random.Random(21)
+    words = {lang: ["".join(rng.choice(c) + rng.choice(v) for _ in range(rng.randint(1, 3))) for _ in range(60)] for lang, c, v in (("aa", "bdg", "ae"), ("bb", "kpt", "iy"), ("cc", "lmn", "ou"), ("dd", "fsv", "äö"))}
+    clean = [(i, " ".join(rng.choice(words[lang]) for _ in range(1 if i % 40 < 4 else rng.randint(5, 80))), lang) for i, lang in enumerate(list(words) * 250)]
+    junk = [(5000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(10, 80))), None) for i in range(100)]
+    df = frame(spark, clean + junk, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in langid.identify(df, langid.train(df, learn=F.col("doc_id") < 800)).collect()}
+    assert sum(got[i].rejected for i, _, _ in junk) >= 95
+    assert sum(got[i].rejected for i, _, _ in clean) <= 30 and sum(got[i].lang_pred == lang for i, _, lang in clean) >= 980
+
+
 def test_mix_reaches_weights(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").alias("source"))
     n = {r.source: r["count"] for r in mixing.mix(df, {"a": 1.0, "b": 1.0, "": 2.0}).groupBy("source").count().collect()}
