@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from greenledger.llm import common as C, langid, mixing, near_dedup, pii, posting_ann, ppm, suffix_dedup, url_rules, winnowing
+from greenledger.llm import alignment, common as C, langid, mixing, near_dedup, pii, posting_ann, ppm, ranked_search, suffix_dedup, toxicity, url_rules, winnowing
 from greenledger.llm.line_index import LineIndex
 from greenledger.session import written
 
@@ -187,3 +187,37 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     texts = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(C.given_id().alias("doc_id"), *map(count, pii.KINDS), digest(texts(base)).alias("base_sha256"), F.array_join(texts(F.col("spans")), ",").alias("spans"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.link_scores(alignment.align(table(spark, folder, "documents")))
+    notation = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select(C.given_id().alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", notation.alias("groups_sha256"))
+
+
+TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERMS}') AS w FROM documents),
+t AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+z AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{TERMS}')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+f AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, z GROUP BY term, docs),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score FROM q JOIN f USING (term) JOIN g USING (term), z GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, folder, "documents"))
+    return ranked_search.search(index, table(spark, folder, "benchmark")).select("item_id", "rank", C.given_id().alias("doc_id"), "score")
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), C.remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, table(spark, folder, "labels").filter(~held))
+    return toxicity.score_texts(docs, model).select(C.given_id().alias("doc_id"), (C.remainder(C.given_id(), 5) == 0).alias("held_out"), "score", "predicted", "hits")
