@@ -25,7 +25,7 @@ import base64
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 from pathlib import Path
 
@@ -42,6 +42,7 @@ A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: How a byte-level vocabulary of this kind cuts a text before merging. Fixed value of the public format.
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+NOTHING = [np.zeros(0, np.uint32)] * 4
 LONG_SPACE = re.compile(r"\s{1000}")
 
 PACKED = "_blk long, ids binary, n_a binary, n_b binary, n_groups binary, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary"
@@ -67,10 +68,7 @@ class ByteLevel:
         self.pieces = [b""] * (max(model["vocab"].values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = token
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_str(body)
-        self.slow.encode_special_tokens = True
+        self.body = body
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         in_order = [model["vocab"].get(a + b) for a, b in merges] == list(range(256, 256 + len(merges)))
         self.fast = None
@@ -80,6 +78,14 @@ class ByteLevel:
             ranks = {token: i for token, i in vocab.items() if i < 256 + len(merges)}
             self.fast = tiktoken.Encoding("bytes", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_str(self.body)
+        found.encode_special_tokens = True
+        return found
+
     def encode(self, text: str) -> list[int]:
         if self.fast is not None and not LONG_SPACE.search(text):
             return self.fast.encode_ordinary(text)
@@ -124,19 +130,20 @@ class Aligner:
         self.a, self.b = encoders(a, b)
         self.a_lengths, self.b_lengths = [len(p) for p in self.a.pieces], [len(p) for p in self.b.pieces]
 
-    def align(self, raw: bytes) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        """Ids of A and of B, and the numbers of tokens before each common end; None for a text without tokens."""
+    def align(self, raw: bytes) -> list[np.ndarray]:
+        """Ids of A and of B, and the numbers of tokens before each common end; nothing for a text without tokens."""
         try:
             text = raw.decode()
         except UnicodeDecodeError:
-            return None
+            return NOTHING
         if not text:
-            return None
+            return NOTHING
         a, b = self.a.encode(" " + text), self.b.encode(text)
         whole = b" " + raw
         if b"".join([self.a.pieces[i] for i in a]) != whole or b"".join([self.b.pieces[i] for i in b]) != whole:
-            return None
-        return a, b, *cut_together([self.a_lengths[i] for i in a], [self.b_lengths[i] for i in b])
+            return NOTHING
+        found = a, b, *cut_together([self.a_lengths[i] for i in a], [self.b_lengths[i] for i in b])
+        return [np.array(x, np.uint32) for x in found]
 
 
 def _pack32(lists: list) -> bytes:
@@ -152,11 +159,11 @@ def _encode(a: str, b: str, block_bytes: int):
         aligner, block = Aligner(a, b), TaskContext.get().partitionId() << 33
         names = [field.split(" ")[0] for field in PACKED.split(", ")]
         for batch in C.pieces(batches, limit=block_bytes):
-            found = [aligner.align(raw) or ([], [], [], []) for raw in batch.column("_text").cast(pa.large_binary()).to_pylist()]
+            found = [aligner.align(raw.as_py()) for raw in batch.column("_text").cast(pa.large_binary())]
             sizes = [[len(f[k]) for f in found] for k in (0, 1, 2)]
             columns = [
                 C.pack(batch.column("_id").to_numpy().view(np.uint64)), *[_pack32([s]) for s in sizes], _pack32([f[0] for f in found]), _pack32([f[1] for f in found]),
-                _pack32([np.diff(f[2], prepend=0) for f in found]), _pack32([np.diff(f[3], prepend=0) for f in found]),
+                _pack32([np.diff(f[2], prepend=np.uint32(0)) for f in found]), _pack32([np.diff(f[3], prepend=np.uint32(0)) for f in found]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], names=names)
             block += 1
