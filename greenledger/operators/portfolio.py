@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from greenledger import rules
 from greenledger.functions import finance, text as T
 from greenledger.functions.scoring import with_columns_present
+from greenledger.operators import subsets
+from greenledger.session import written
 
 PROJECT_FIELDS = (
     "project_id", "id", "name", "项目名称", "category", "类别", "capex_10k_cny", "投资_万元", "annual_abatement_tco2", "年减排_tCO2",
@@ -107,83 +109,104 @@ def totals(metrics: DataFrame, scenario: str) -> DataFrame:
 
 # --- selection --------------------------------------------------------------
 
-LOW_BITS = 12  # a scan row covers 2**12 masks
-MASKS_AT_ONCE = 1 << 19  # masks held in memory at once, over all rows of a step
+LOW = 12  # scenarios of at most so many projects are searched by listing their subsets, many scenarios at once
+MASKS_AT_ONCE = 1 << 19  # masks held in memory at once, over all scenarios of a step
 SCALE = 10000  # published numbers have four decimals, so integer sums are exact
 
-OPTION = "struct<meets:boolean,key1:bigint,key2:bigint,key3:bigint,size:int,mask:bigint,capex:bigint,abatement:bigint,npv:bigint>"
-
 
 def _bits(n: int) -> np.ndarray:
-    return (np.arange(1 << n, dtype=np.int64)[:, None] >> np.arange(n)) & 1
+    return (np.arange(1 << n, dtype=np.int64)[:, None] >> np.arange(n)[::-1]) & 1
 
 
-def _best_options(n: int, items: list, highs: np.ndarray, budget: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Best subset for each (scenario, high mask) row; all rows have n projects.
+def _best_options(n: int, items: list, budget: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Best subset for each of some scenarios of n projects: whether there is one, whether it meets the target, keys, mask and sums.
 
-    Integer arrays of (rows x masks); returns one line per row in the order of OPTION, mask -1
-    when nothing is feasible.
+    Integer arrays of (scenarios x masks); the first project is the highest bit.
     """
-    low = min(n, LOW_BITS)
-    table = _bits(low)
+    table = _bits(n)
     field = lambda name: np.array([[p[name] for p in row] for row in items], dtype=np.int64).reshape(len(items), n)
-    capex, abate, npv, need, group = (field(f) for f in ("capex", "abatement", "npv", "need", "group"))
-    upper = (highs[:, None] >> np.arange(n - low)) & 1
-    total = lambda cost: cost[:, :low] @ table.T + (cost[:, low:] * upper).sum(axis=1)[:, None]
-    capex, abate, npv = total(capex), total(abate), total(npv)
-    whole = np.arange(1 << low, dtype=np.int64)[None, :] | (highs << low)[:, None]
-    size = table.sum(axis=1)[None, :] + upper.sum(axis=1)[:, None]
-    ok = capex <= budget[:, None]
+    value = lambda k: -1 if k is None or k < 0 else 1 << (n - 1 - k)
+    need = np.array([[-1 if any(value(k) < 0 for k in p["need"]) else sum(value(k) for k in set(p["need"])) for p in row] for row in items], np.int64).reshape(len(items), n)
+    capex, abate, npv, group = (field(f) for f in ("capex", "abatement", "npv", "group"))
+    total = lambda cost: cost @ table.T
+    whole = np.arange(1 << n, dtype=np.int64)[None, :]
+    ok = total(capex) <= budget[:, None]
     for j in np.flatnonzero(need.any(axis=0)):
         wanted = need[:, j][:, None]
-        held = (whole >> j) & 1 == 1
+        held = (whole >> (n - 1 - j)) & 1 == 1
         ok &= ~held | (wanted == 0) | ((wanted > 0) & ((whole & wanted) == wanted))
     for g in range(1, int(group.max(initial=0)) + 1):
         ok &= total((group == g).astype(np.int64)) <= 1
+    capex, abate, npv = total(capex), total(abate), total(npv)
     meets = ok & (abate >= target[:, None])
     reached = meets.any(axis=1)
     left = np.where(reached[:, None], meets, ok)
     pick = lambda a, b: np.where(reached[:, None], a, b)
-    keys = [pick(npv, -abate), pick(capex, npv), pick(-abate, capex), size, -whole]
-    far = np.iinfo(np.int64).max
+    size = np.broadcast_to(table.sum(axis=1)[None, :], ok.shape)
+    keys = [pick(npv, -abate), pick(capex, npv), pick(-abate, capex), size, -np.broadcast_to(whole, ok.shape)]
     for key in keys:
-        lowest = np.where(left, key, far).min(axis=1)
+        lowest = np.where(left, key, subsets.FAR).min(axis=1)
         left &= key == lowest[:, None]
-    spot, found = left.argmax(axis=1), left.any(axis=1)
-    rows = np.arange(len(items))
-    at = lambda values: np.where(found, values[rows, spot], 0)
-    return np.column_stack([reached & found, *[at(k) for k in keys[:3]], at(size + 0 * whole), np.where(found, whole[rows, spot], -1), at(capex), at(abate), at(npv)])
+    spot, found, rows = left.argmax(axis=1), left.any(axis=1), np.arange(len(items))
+    return found, reached, *[k[rows, spot] for k in keys[:4]], spot, *[x[rows, spot] for x in (capex, abate, npv)]
 
 
-def _scan_batch(items: pd.Series, high: pd.Series, budget: pd.Series, target: pd.Series) -> pd.DataFrame:
-    names = ["meets", "key1", "key2", "key3", "size", "mask", "capex", "abatement", "npv"]
+def _listed(items: pd.Series, budget: pd.Series, target: pd.Series) -> pd.DataFrame:
+    names = ["found", "meets", "key1", "key2", "key3", "size", "mask", "capex", "abatement", "npv"]
     out = np.empty((len(items), len(names)), dtype=np.int64)
     sizes = items.map(len).to_numpy()
     for n in np.unique(sizes):
         spots = np.flatnonzero(sizes == n)
-        step = max(1, MASKS_AT_ONCE >> min(int(n), LOW_BITS))
+        step = max(1, MASKS_AT_ONCE >> int(n))
         for start in range(0, len(spots), step):
             s = spots[start : start + step]
-            out[s] = _best_options(int(n), [items.iloc[i] for i in s], high.to_numpy()[s], budget.to_numpy()[s], target.to_numpy()[s])
+            out[s] = np.column_stack(_best_options(int(n), [items.iloc[i] for i in s], budget.to_numpy()[s], target.to_numpy()[s]))
     frame = pd.DataFrame(out, columns=names)
-    return frame.astype({"meets": bool, "size": "int32"})
+    bits = [np.packbits((mask >> np.arange(n)[::-1]) & 1 ^ 1).tobytes() for mask, n in zip(out[:, 6].tolist(), sizes.tolist())]
+    frame["tie"] = bits
+    return frame.drop(columns=["mask"]).astype({"found": bool, "meets": bool, "size": "int32"})
+
+
+LISTED = "struct<found:boolean,meets:boolean,key1:bigint,key2:bigint,key3:bigint,size:int,capex:bigint,abatement:bigint,npv:bigint,tie:binary>"
 
 
 def _scaled(c: Column) -> Column:
     return F.round(c * SCALE).cast("long")
 
 
-def select_portfolio(projects: DataFrame, scenarios: DataFrame, scenario: str, max_projects: int = 24) -> tuple[DataFrame, DataFrame]:
+def _taken(tie: Column, ids: Column) -> Column:
+    """The ids whose bit is 0, in order."""
+    byte = lambda i: F.conv(F.hex(F.substring(tie, F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = lambda i: F.floor(byte(i) / F.pow(F.lit(2), 7 - i % 8)).cast("int") % 2
+    return F.filter(F.transform(ids, lambda x, i: F.when(bit(i) == 0, x)), lambda x: x.isNotNull())
+
+
+def scenario_lists(priced: DataFrame, settings: DataFrame, scenario: str) -> DataFrame:
+    """One row per scenario: its projects in the order of abatement per capex, coded for the search."""
+    ratio = F.col("annual_abatement_tco2") / F.greatest(F.col("capex_10k_cny"), F.lit(1e-6))
+    item = F.struct(
+        (-ratio).alias("spot"), F.col("project_id").alias("id"), _scaled(F.col("capex_10k_cny")).alias("capex"), _scaled(F.col("annual_abatement_tco2")).alias("abatement"),
+        _scaled(F.col("npv_cost_10k_cny")).alias("npv"), F.coalesce("prerequisites", F.array().cast("array<string>")).alias("pre"), F.coalesce("mutex_group", F.lit("")).alias("mutex"),
+    )
+    lists = priced.groupBy(scenario).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    lists = lists.withColumn("ids", F.transform("items", lambda p: p["id"])).withColumn("_groups", F.array_distinct(F.filter(F.transform("items", lambda p: p["mutex"]), lambda g: g != "")))
+    place = lambda x: (F.array_position(F.col("ids"), x) - 1).cast("int")  # a prerequisite outside the scenario can never hold: -1
+    coded = F.transform("items", lambda p: F.struct(p["capex"].alias("capex"), p["abatement"].alias("abatement"), p["npv"].alias("npv"),
+                                                    F.transform(F.array_distinct(p["pre"]), place).alias("need"), F.coalesce(F.array_position(F.col("_groups"), p["mutex"]), F.lit(0)).cast("int").alias("group")))
+    return lists.withColumn("items", coded).drop("_groups").join(
+        settings.select(scenario, _scaled(F.col("budget_10k_cny")).alias("budget"), _scaled(F.col("annual_target_tco2")).alias("target")), scenario)
+
+
+def select_portfolio(projects: DataFrame, scenarios: DataFrame, scenario: str) -> tuple[DataFrame, DataFrame]:
     """(one row per scenario, the selected projects).
 
     Among the subsets within budget whose prerequisites and exclusive groups hold: if any meets
     the target, least (NPV cost, capex, -abatement, size), else least (-abatement, NPV cost,
     capex, size); what is left goes to the subset with the better abatement-to-capex projects.
-    Scenarios over ``max_projects`` are
-    reported, not searched.
+    Projects with negative capex or abatement take no part. Exact for any number of projects: small scenarios are searched by listing, many
+    at a time, larger ones by bounds (``subsets``).
 
     ``scenarios`` has the key, ``budget_10k_cny``, ``annual_target_tco2`` and ``discount_rate``.
-    A scenario of n projects becomes 2**(n-12) scan rows, so a large one spreads over tasks.
     """
     settings = scenarios.select(
         scenario, F.coalesce("budget_10k_cny", F.lit(0.0)).alias("budget_10k_cny"), F.coalesce("annual_target_tco2", F.lit(0.0)).alias("annual_target_tco2"),
@@ -191,43 +214,21 @@ def select_portfolio(projects: DataFrame, scenarios: DataFrame, scenario: str, m
     )
     usable = projects.filter((F.col("capex_10k_cny") >= 0) & (F.col("annual_abatement_tco2") >= 0))
     priced = with_metrics(usable.join(settings.select(scenario, "discount_rate"), scenario), F.col("discount_rate"))
-    ratio = F.col("annual_abatement_tco2") / F.greatest(F.col("capex_10k_cny"), F.lit(1e-6))
-    item = F.struct(
-        (-ratio).alias("spot"), F.col("project_id").alias("id"), _scaled(F.col("capex_10k_cny")).alias("capex"), _scaled(F.col("annual_abatement_tco2")).alias("abatement"),
-        _scaled(F.col("npv_cost_10k_cny")).alias("npv"), F.col("prerequisites").alias("pre"), F.col("mutex_group").alias("mutex"),
-    )
-    # Sizes first, on counts alone: an oversized scenario never reaches a list.
-    sized = priced.groupBy(scenario).agg(F.count("*").alias("n"))
-    small = priced.join(sized.filter(F.col("n") <= max_projects).select(scenario), scenario, "left_semi")
-    lists = small.groupBy(scenario).agg(F.sort_array(F.collect_list(item), False).alias("items"))
-    ids = F.transform("items", lambda p: p["id"])
-    groups = F.array_distinct(F.filter(F.transform("items", lambda p: p["mutex"]), lambda g: g != ""))
-    # A prerequisite outside the scenario can never hold: -1 says so.
-    need = lambda pre: F.when(F.exists(pre, lambda x: ~F.array_contains(F.col("_ids"), x)), F.lit(-1).cast("long")).otherwise(
-        F.aggregate(F.array_distinct(pre), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.col("_ids"), x) - 1).cast("int"))))
-    )
-    coded = lists.withColumns({"_ids": ids, "_groups": groups}).withColumn(
-        "scan",
-        F.transform("items", lambda p: F.struct(p["capex"].alias("capex"), p["abatement"].alias("abatement"), p["npv"].alias("npv"),
-                                                need(p["pre"]).alias("need"), F.coalesce(F.array_position(F.col("_groups"), p["mutex"]), F.lit(0)).alias("group"))),
-    )
     bad = (F.col("budget_10k_cny") < 0) | (F.col("annual_target_tco2") < 0)
-    ready = coded.join(settings.filter(~bad), scenario)
-    spread = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.size("scan") - LOW_BITS)) - 1)
-    scans = ready.withColumn("high", F.explode(spread))
-    found = scans.withColumn("o", F.pandas_udf(_scan_batch, OPTION)("scan", F.col("high").cast("long"), _scaled(F.col("budget_10k_cny")), _scaled(F.col("annual_target_tco2")))).filter("o.mask >= 0")
-    key = F.struct((~F.col("o.meets")).alias("miss"), *[F.col("o." + k) for k in ("key1", "key2", "key3", "size")], (-F.col("o.mask")).alias("tie"))
-    best = found.groupBy(scenario).agg(F.min_by("o", key).alias("o"), F.first("_ids").alias("_ids"))
-    value = lambda c: F.coalesce(F.col("o." + c), F.lit(0)) / SCALE
-    picked = F.filter(F.transform("_ids", lambda x, i: F.when(F.call_function("shiftright", F.col("o.mask"), i).bitwiseAND(F.lit(1)) == 1, x)), lambda x: x.isNotNull())
-    summary = settings.join(sized, scenario, "left").join(best, scenario, "left")
-    status = F.when(F.col("n") > max_projects, "too_many_projects").when(bad, "negative_budget_or_target").otherwise("ok")
+    lists = written(scenario_lists(priced, settings.filter(~bad), scenario))
+    small = lists.filter(F.size("items") <= LOW).withColumn("best", F.pandas_udf(_listed, LISTED)("items", "budget", "target")).filter("best.found")
+    fields = [f.split(" ")[0] for f in subsets.FOUND.split(", ")]
+    best = small.select(scenario, "ids", F.struct(*[F.col("best." + f) for f in fields]).alias("best"))
+    large = lists.filter(F.size("items") > LOW)
+    if not large.isEmpty():
+        best = best.unionByName(subsets.search(large, scenario).join(large.select(scenario, "ids"), scenario))
+    value = lambda c: F.coalesce(F.col("best." + c), F.lit(0)) / SCALE
     ok = F.col("status") == "ok"
-    result = summary.withColumn("status", status).select(
+    result = settings.join(best, scenario, "left").withColumn("status", F.when(bad, "negative_budget_or_target").otherwise("ok")).select(
         scenario, "status", "budget_10k_cny", "annual_target_tco2", "discount_rate",
-        F.when(ok, F.coalesce("o.meets", F.col("annual_target_tco2") <= 0)).alias("meets_target"),
-        F.when(ok, F.coalesce("o.size", F.lit(0))).alias("selected"),
-        F.when(ok, F.coalesce(F.reverse(picked), F.array().cast("array<string>"))).alias("project_ids"),
+        F.when(ok, F.coalesce("best.meets", F.col("annual_target_tco2") <= 0)).alias("meets_target"),
+        F.when(ok, F.coalesce("best.size", F.lit(0))).alias("selected"),
+        F.when(ok, F.coalesce(_taken(F.col("best.tie"), F.col("ids")), F.array().cast("array<string>"))).alias("project_ids"),
         F.when(ok, value("capex")).alias("capex_10k_cny"), F.when(ok, value("abatement")).alias("annual_abatement_tco2"), F.when(ok, value("npv")).alias("npv_cost_10k_cny"),
         F.when(ok, F.round(F.greatest(F.lit(0.0), F.col("annual_target_tco2") - value("abatement")), 4)).alias("target_gap_tco2"),
     )

@@ -82,7 +82,7 @@ def test_portfolio_rules(spark):
     schema = "sid string, project_id string, capex_10k_cny double, annual_abatement_tco2 double, annual_saving_10k_cny double, prerequisites string, mutex_group string"
     rows = [("s1", "A", 100.0, 60.0, 30.0, "", ""), ("s1", "B", 100.0, 60.0, 10.0, "", ""), ("s1", "C", 170.0, 120.0, 5.0, "", ""), ("s2", "A", 40.0, 40.0, 1.0, "", ""), ("s2", "B", 40.0, 35.0, 1.0, "", ""), ("s2", "C", 70.0, 50.0, 1.0, "", ""),
             ("s3", "BASE", 10.0, 5.0, 1.0, "", ""), ("s3", "UP", 20.0, 40.0, 2.0, "BASE", ""), ("s3", "X1", 15.0, 30.0, 2.0, "", "x"), ("s3", "X2", 15.0, 35.0, 2.0, "", "x"), ("s4", "Z", 1.0, 9.0, 1.0, "NOWHERE", "")]
-    rows += [("s5", f"P{i:02d}", 1.0, 1.0, 1.0, "", "") for i in range(25)]
+    rows += [("s5", f"P{i:02d}", 1.0, 1.0, 1.0, "", "") for i in range(25)]  # more than are listed; equal ones
     settings = spark.createDataFrame([("s1", 200.0, 120.0, 0.05), ("s2", 80.0, 100.0, 0.05), ("s3", 45.0, 70.0, 0.05), ("s4", 9.0, 1.0, 0.05), ("s5", 9.0, 1.0, 0.05)], "sid string, budget_10k_cny double, annual_target_tco2 double, discount_rate double")
     best, _ = P.select_portfolio(P.parse_projects(spark.createDataFrame(rows, schema), "sid"), settings, "sid")
     got = {r["sid"]: r for r in best.collect()}
@@ -90,7 +90,7 @@ def test_portfolio_rules(spark):
     assert set(got["s2"]["project_ids"]) == {"A", "B"} and not got["s2"]["meets_target"] and got["s2"]["annual_abatement_tco2"] == 75
     assert "BASE" in got["s3"]["project_ids"] and not {"X1", "X2"} <= set(got["s3"]["project_ids"])
     assert got["s4"]["project_ids"] == []
-    assert got["s5"]["status"] == "too_many_projects"
+    assert got["s5"]["project_ids"] == [f"P{i:02d}" for i in range(9)]
 
 
 def test_portfolio_over_several_scan_rows(spark):
