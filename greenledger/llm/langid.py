@@ -3,8 +3,8 @@
 A text is the mean of the embeddings of its byte 2-, 3- and 4-grams (A-Z lower-cased, other ASCII
 signs as spaces), hashed into ``BUCKETS`` rows; a linear layer and a softmax give the language. Embeddings
 and layer are trained by stochastic gradient descent in numpy on at most ``per_language`` labelled
-documents of each of the ``max_languages`` most frequent labels, chosen by a hash of the id: only their
-gram counts reach the driver, at most BUCKETS numbers a document. A fifth of them is held back to
+documents of each label, chosen by a hash of the id. Tasks count their grams, at most BUCKETS numbers a document;
+one task fits the model on these counts, and the driver receives the finished table alone. A fifth of the sample is held back to
 calibrate a temperature for the probabilities. Beside the languages the model has a class for no language, learned from a
 copy of each document whose bytes are shuffled; its share lowers the scores of the languages, so a score can fall
 under 1 / languages. Rejection thresholds, one by class of length (``CLASSES`` in grams), part held-back documents
@@ -36,6 +36,9 @@ UNKNOWN = "und"
 CLASSES = (16, 64, 256, 1024)  # grams: about 1 word, 4 words, 15 words, a paragraph, more
 FIRST = (8, 28, 100)  # bytes of a document's beginning, to calibrate short texts
 LOSS = 0.01
+COUNTED = "_place long, _same long, _row long, copy int, _lang string, size int, real boolean, which binary, counts binary"
+MODEL = "languages array<string>, cells binary, bias binary, thresholds binary"
+SALTS = 64
 EMBEDDING_RATE = 50  # a gram's share of a text is small, and so is its gradient
 
 
@@ -93,6 +96,7 @@ def _counts(batches):
     for batch in C.pieces(batches):
         data, off = C.text_bytes(batch.column("_text"))
         langs, out = batch.column("_lang").to_pylist(), ([], [], [], [], [])
+        copies = 2 * (1 + len(FIRST))
         for i in range(batch.num_rows):
             whole = data[off[i] : off[i + 1]]
             for size in (0, *FIRST):
@@ -104,7 +108,9 @@ def _counts(batches):
                     for column, v in zip(out, (langs[i], size, part is real, C.pack_sorted(at.astype(np.uint64)), C.pack(n[at].astype(np.uint64)))):
                         column.append(v)
         kinds = (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["_lang", "size", "real", "which", "counts"])
+        own = np.repeat(np.arange(batch.num_rows), copies)
+        places = [batch.column(name).take(pa.array(own)) for name in ("_place", "_same", "_row")] + [pa.array(np.tile(np.arange(copies), batch.num_rows), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*places, *[pa.array(v, t) for v, t in zip(out, kinds)]], names=[field.split(" ")[0] for field in COUNTED.split(", ")])
 
 
 @dataclass(frozen=True)
@@ -176,10 +182,8 @@ def descend(x: np.ndarray, y: np.ndarray, languages: int, dims: int, epochs: int
     return emb, out, bias
 
 
-def _fit(found: pa.Table, dims: int, epochs: int, rate: float, batch: int, seed: int) -> Model | None:
+def _fit(found: pa.Table, dims: int, epochs: int, rate: float, batch: int, seed: int) -> Model:
     labels = found.column("_lang").to_pylist()
-    if not labels:
-        return None
     languages = tuple(sorted(set(labels)))
     at = {v: i for i, v in enumerate(languages)}
     size, real = found.column("size").to_numpy(), found.column("real").to_numpy(zero_copy_only=False)
@@ -210,18 +214,37 @@ def _fit(found: pa.Table, dims: int, epochs: int, rate: float, batch: int, seed:
     return Model(languages, np.vstack([table / heat, np.zeros((1, len(languages) + 1))]).astype(np.float32), bias / heat, thresholds)
 
 
-def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 600, max_languages: int = 200, dims: int = 16, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 1) -> Model | None:
+def _fitted(dims: int, epochs: int, rate: float, batch: int, seed: int):
+    """The whole sample to a model, as one row; no row without a sample."""
+
+    def fitted(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        model = _fit(pa.Table.from_batches(batches), dims, epochs, rate, batch, seed)
+        cells = [[list(model.languages)], *[[x.astype(np.float64).tobytes()] for x in (model.table, model.bias, model.thresholds)]]
+        kinds = [pa.list_(pa.string()), *[pa.binary()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["languages", "cells", "bias", "thresholds"])
+
+    return fitted
+
+
+def train(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 600, dims: int = 16, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 1) -> Model | None:
     """A model from the labelled rows for which ``learn`` holds (by default all)."""
     rows = docs.select(*C.intake_columns(id_col, text_col), C.named(label_col).cast("string").alias("_lang"), (F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)).alias("_learn"))
     rows = rows.filter("_learn AND _lang IS NOT NULL").filter(F.col("_text").rlike(r"\p{L}"))
-    place = F.xxhash64("_id", "_lang")
-    top = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).select("_lang")
-    ranked = rows.select("_lang", place.alias("_place")).join(F.broadcast(top), "_lang")
-    cut = ranked.withColumn("_n", F.row_number().over(W.partitionBy("_lang").orderBy("_place"))).filter(F.col("_n") <= per_language)
-    limits = cut.groupBy("_lang").agg(F.max("_place").alias("_last"))
+    place, cut = F.xxhash64("_id", "_lang"), rows.select("_lang", F.xxhash64("_id", "_lang").alias("_place"))
+    for keys in ([F.col("_lang"), F.pmod("_place", F.lit(SALTS))], [F.col("_lang")]):  # the least places of a label, in two steps
+        cut = cut.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_place"))).filter(F.col("_n") <= per_language)
+    limits = cut.groupBy("_lang").agg(F.max("_place").alias("_last"))  # a row per label
     chosen = rows.withColumn("_place", place).join(F.broadcast(limits), "_lang").filter("_place <= _last")
-    found = chosen.select("_place", "_lang", "_text").orderBy("_place", "_text").mapInArrow(_counts, "_lang string, size int, real boolean, which binary, counts binary").toArrow()
-    return _fit(found, dims, epochs, rate, batch, seed)
+    chosen = chosen.select("_place", F.xxhash64("_text").alias("_same"), F.monotonically_increasing_id().alias("_row"), "_lang", "_text")
+    counted = chosen.mapInArrow(_counts, COUNTED).repartition(1).sortWithinPartitions("_place", "_same", "_row", "copy")
+    found = counted.mapInArrow(_fitted(dims, epochs, rate, batch, seed), MODEL).first()
+    if found is None:
+        return None
+    bias = np.frombuffer(found["bias"])
+    return Model(tuple(found["languages"]), np.frombuffer(found["cells"]).reshape(-1, len(bias)).astype(np.float32), bias, np.frombuffer(found["thresholds"]))
 
 
 def _predict(model: Model | None):
