@@ -11,7 +11,8 @@ further ones until they hold ``FILL`` times the neighbours asked for; where the
 still counts, all centroids are compared, so no number of lists is a limit.
 
 Equal vectors are one class with its k + 1 smallest ids: with ties to the smaller id no other can
-be among k neighbours of another vector or of one of them. Lists near each other share a shard of at most ``SHARD``
+be among k neighbours of another vector or of one of them. Different vectors with equal scores go by their smallest ids, also where a
+list or a shard is cut to its k + 1 best. Lists near each other share a shard of at most ``SHARD``
 bytes of vectors, where a query's lists are read together and give one k + 1 best. A longer list is a shard of its own, cut into
 parts of as many bytes, and a shard's queries into parts of at most ``PART``; each pair of parts is a task's
 group, so a hot list is spread.
@@ -224,6 +225,21 @@ def _probe(graph: Graph, norm: float, ratio: float, sizes: np.ndarray, need: int
     return probe
 
 
+def _leading(score: np.ndarray, q: np.ndarray, p: np.ndarray, first: np.ndarray, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, vector) of all that can be among the k + 1 best by score, then smallest id. Where more than k + 1 are within rounding of
+    the last place, exact scores and ids decide."""
+    if score.shape[1] <= k + 1:
+        at, which = np.divmod(np.arange(score.size), score.shape[1])
+        return at, which
+    least = -np.partition(-score, k, axis=1)[:, k] - slack
+    inside = score >= least[:, None]
+    for i in np.flatnonzero(inside.sum(1) > k + 1):
+        tied = np.flatnonzero(inside[i])
+        order = np.lexsort((first[tied], -(p[tied] * q[i]).sum(1)))
+        inside[i, tied[order[k + 1 :]]] = False
+    return np.nonzero(inside)
+
+
 def _nearest(k: int):
     def nearest(key, postings, queries):
         names, out = queries.column("_q").to_numpy(), ([], [], [])
@@ -233,6 +249,8 @@ def _nearest(k: int):
             # a boundary vector is in several lists of the shard but is one answer
             _, one, column = np.unique([x[0] for x in ids], return_index=True, return_inverse=True)
             p, ids = matrix(postings.column("_v").take(pa.array(one))), [ids[i] for i in one]
+            first = np.array([x[0] for x in ids], np.int64)
+            slack = 1e-12 * np.sqrt((q**2).sum(1)) * np.sqrt((p**2).sum(1).max())  # scores closer than this may tie
             held = postings.column("list").to_numpy()
             by = np.argsort(held, kind="stable")
             begin = C.runs(held[by])[0]
@@ -246,15 +264,17 @@ def _nearest(k: int):
                         continue
                     asks, own = row[read == name], members[name]
                     score = q[lo + asks] @ p[own].T
-                    best = np.argpartition(-score, min(k, len(own) - 1), axis=1)[:, : k + 1]
-                    seen.append((np.repeat(asks, best.shape[1]), own[best].reshape(-1), np.take_along_axis(score, best, 1).reshape(-1)))
+                    at, which = _leading(score, q[lo + asks], p[own], first[own], k, slack[lo + asks])
+                    seen.append((asks[at], own[which], score[at, which]))
                 asks, found, score = (np.concatenate(x) for x in zip(*seen))
                 once = np.unique(asks * len(p) + found, return_index=True)[1]
                 once = once[np.lexsort((-score[once], asks[once]))]
                 for mine in np.split(once, C.runs(asks[once])[0][1:]) if len(once) else []:
-                    i, best = lo + asks[mine[0]], found[mine[: k + 1]]
+                    i = lo + asks[mine[0]]
+                    best = found[mine[score[mine] >= score[mine[min(k, len(mine) - 1)]] - slack[i]]]
                     exact = (p[best] * q[i]).sum(1)
-                    line = sorted((-s, v) for s, b in zip(exact.tolist(), best.tolist()) for v in ids[b])[: k + 1]
+                    top = np.lexsort((first[best], -exact))[: k + 1]
+                    line = sorted((-s, v) for s, b in zip(exact[top].tolist(), best[top].tolist()) for v in ids[b])[: k + 1]
                     out[0].extend([names[i]] * len(line))
                     out[1].extend(v for _, v in line)
                     out[2].extend(-s for s, _ in line)

@@ -385,6 +385,25 @@ def test_neighbours_have_recall_and_order(spark):
     assert few.count() == 3
 
 
+def test_tied_neighbours_go_by_id(spark, monkeypatch):
+    """Different 0/1 vectors with few different scores: ids must be those of brute force."""
+    rng = np.random.default_rng(11)
+    x = np.unique((rng.random((900, 12)) < 0.4).astype(float), axis=0)
+    x = x[(x.sum(1) > 0)]
+    ids = rng.permutation(len(x) * 3)[: len(x)]
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(int(ids[0]) + 100000, x[0].tolist()), (int(ids[0]), x[0].tolist())]
+    monkeypatch.setattr(posting_ann, "LIST_SIZE", 128)
+    found = posting_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("_id") % 20 == 0, k=20, ratio=100.0).collect()
+    all_ids, all_x = np.array([r[0] for r in rows[:-1]]), np.array([r[1] for r in rows[:-1]])
+    want = []
+    for i, v in zip(all_ids, all_x):
+        if i % 20 == 0:
+            score = (all_x * v).sum(1)
+            order = [j for j in np.lexsort((all_ids, -score)) if all_ids[j] != i][:20]
+            want += [(int(i), r, int(all_ids[j]), float(score[j])) for r, j in enumerate(order, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == sorted(want)
+
+
 def test_neighbours_have_recall_with_many_lists(spark, monkeypatch):
     monkeypatch.setattr(posting_ann, "LIST_SIZE", 4)  # 1000 lists
     x = np.random.default_rng(6).normal(size=(4000, 32)).astype(np.float32)
