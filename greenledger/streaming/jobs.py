@@ -1,9 +1,9 @@
 """The stateful jobs under Structured Streaming.
 
-The archive and the health table are written as numbered versions in a shared folder. Each
+The archive and the health table are written as numbered versions in a shared folder, the archive bucket by bucket. Each
 micro-batch reads the version before it and writes its own, so a batch that is run again after a
 failure writes the same version again. Batches are reduced per key before they meet the state,
-so a source or URL with a third of all rows is still spread over tasks.
+so a source or URL with a third of all rows is still spread over tasks. ``keyed_health`` keeps health as keyed state with timers.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from greenledger.operators import archive as A
 from greenledger.operators.health import status_of
+from greenledger.session import cut
 from greenledger.sources.readers import path_exists
 
 
@@ -42,18 +43,82 @@ def _run(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame |
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", folder + "/progress").trigger(**trigger).start()
 
 
-def merge_step(as_of: Column, arrival: str | None) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
-    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        existing = before if before is not None else batch.limit(0)
-        return A.merge(existing, batch, as_of, arrival)
+# --- the archive in buckets ----------------------------------------------------
 
-    return step
+BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("canonical_url"), F.lit(buckets)).cast("int")
+
+
+def bucket_versions(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, list[int]]:
+    """The complete versions of each bucket, oldest first. A version holds the buckets its batch touched; the listing has at most
+    the buckets times the few versions that are not retired yet."""
+    out: dict[int, list[int]] = {}
+    if not path_exists(spark, folder):
+        return out
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda path: [s.getPath().getName() for s in fs.listStatus(path)]
+    for number in sorted(int(n.split("=")[1]) for n in names(root) if n.startswith("version=")):
+        if (before is None or number < before) and path_exists(spark, _version(folder, number) + "/_SUCCESS"):
+            for name in names(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_version(folder, number))):
+                if name.startswith("bucket="):
+                    out.setdefault(int(name.split("=")[1]), []).append(number)
+    return out
+
+
+def _read_buckets(spark: SparkSession, folder: str, versions: dict[int, list[int]]) -> DataFrame | None:
+    paths = [f"{_version(folder, numbers[-1])}/bucket={bucket}" for bucket, numbers in sorted(versions.items())]
+    return spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+
+
+def archive_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The streamed archive: the newest complete version of every bucket."""
+    return _read_buckets(spark, folder + "/state", bucket_versions(spark, folder + "/state"))
+
+
+def retire(spark: SparkSession, folder: str, before: int) -> int:
+    """Deletes bucket versions that a newer one, complete before batch ``before``, replaces: that batch can still be run again. Returns how many went."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [(bucket, number) for bucket, numbers in bucket_versions(spark, folder, before).items() for number in numbers[:-1]]
+    for bucket, number in old:
+        fs.delete(path(f"{_version(folder, number)}/bucket={bucket}"), True)
+    return len(old)
+
+
+def merge_batch(batch: DataFrame, number: int, folder: str, as_of: Column, arrival: str | None = None, buckets: int = BUCKETS) -> int:
+    """Merges a micro-batch into the archive at ``folder`` and returns the number of buckets written.
+
+    Only buckets that hold an arriving URL are read, merged and written, as a new version beside the old one. A batch that
+    is run again reads what was there before it and writes the same version again.
+    """
+    spark, state = batch.sparkSession, folder + "/state"
+    incoming = cut(A.keyed(batch)).withColumn("bucket", _bucket(buckets))
+    touched = {row["bucket"] for row in incoming.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+    if not touched:
+        return 0
+    versions = {b: v for b, v in bucket_versions(spark, state, number).items() if b in touched}
+    existing = _read_buckets(spark, state, versions)
+    rows = incoming.drop("bucket")
+    merged = A.merge_keyed(A.with_identity(rows.limit(0) if existing is None else existing), rows, as_of, arrival)
+    merged.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_version(state, number))
+    return len(touched)
+
+
+def stream_archive(stream: DataFrame, folder: str, as_of: Column, arrival: str | None = None, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Versioned upsert of arriving records; the state, cut by the hash of the canonical URL, is the archive. ``buckets`` stays as it was first."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        merge_batch(df, number, folder, as_of, arrival, buckets)
+        retire(df.sparkSession, folder + "/state", number)
 
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", folder + "/progress").trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
-def stream_archive(stream: DataFrame, folder: str, as_of: Column, arrival: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Versioned upsert of arriving records; the state table is the archive."""
-    return _run(stream, folder, merge_step(as_of, arrival), trigger or {"processingTime": "1 minute"})
 
+# --- health by versions --------------------------------------------------------
 
 def health_step(source: str, at: str, ok: str, tie: str) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
     """Folds a batch of attempts into the health state.
