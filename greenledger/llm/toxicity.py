@@ -51,26 +51,37 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t"}
 
 TO_LATIN = {ord(c): letter for letter, like in LOOKALIKES.items() for c in like}
 INVISIBLE = dict.fromkeys([0x00AD, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x2060, 0x2065)])
-MIXED = re.compile(r"(?=[^\s]*[a-z])[^\s]*[0-9@$!|€+][^\s]*")
 SIGN = re.compile(r"[0-9](?=[0-9@$!|€+]*[a-z])|(?<=[a-z])[0-9]|[@$!|€+](?=[0-9@$!|€+]*[a-z])")
+BETWEEN = re.compile(r"[.\-_*·]\w[.\-_*·]")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*·][^\W\d_]){2,}(?![^\W_])")
 WORD = re.compile(r"[^\W_]+")
 HAS_LATIN = re.compile(r"[a-z]")
+HIDDEN = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
+ALIKE = re.compile("[" + "".join(LOOKALIKES.values()) + "]")
 
 
 def _latin(match: re.Match) -> str:
     """A word with Latin letters in it has its look-alikes folded; a word all in another script stays."""
     word = match.group()
-    return word.translate(TO_LATIN) if word.isascii() is False and HAS_LATIN.search(word) else word
+    return word.translate(TO_LATIN) if HAS_LATIN.search(word) else word
+
+
+def _sign(match: re.Match) -> str:
+    return DIGITS.get(match.group()) or SIGNS.get(match.group()) or match.group()
 
 
 def fold(text: str) -> list[str]:
     """The words of a text with disguises taken off."""
-    text = unicodedata.normalize("NFKC", text).translate(INVISIBLE).lower() if not text.isascii() else text.lower()
     if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+        if HIDDEN.search(text):
+            text = text.translate(INVISIBLE)
+    text = text.lower()
+    if not text.isascii() and ALIKE.search(text):
         text = WORD.sub(_latin, text)
-    text = MIXED.sub(lambda m: SIGN.sub(lambda s: DIGITS.get(s.group()) or SIGNS.get(s.group()) or s.group(), m.group()), text)
-    text = APART.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()), text)
+    text = SIGN.sub(_sign, text)
+    if BETWEEN.search(text):
+        text = APART.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()), text)
     return WORD.findall(text)
 
 
@@ -109,12 +120,15 @@ class Matcher:
                 best[start] = entry, weight
         return {at: hit for at, hit in best.items() if not any(a <= at and at + len(hit[0].rstrip()) <= b for a, b in excused)} if excused else best
 
-    def features(self, text: str) -> list[float]:
-        words = fold(text)
-        found = self.hits(words)
+    def numbers(self, words: list[str], found: dict[int, tuple[str, float]]) -> list[float]:
+        """Weight, weight by length, different words."""
         total = sum(w for _, w in found.values())
         return [total, total * self.model.per / max(len(words), 1), float(len({e for e, _ in found.values()}))]
 
+    def features(self, text: str) -> list[float]:
+        words = fold(text)
+        return self.numbers(words, self.hits(words))
+
     def score(self, text: str) -> float:
         if not len(self.model.coefficients):
             return 0.0
@@ -260,14 +274,13 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def scored(batches):
         matcher = Matcher(model)
         for batch in C.pieces(batches):
-            scores, hits = [], []
-            for text in batch.column("_text").to_pylist():
+            rows, hits = np.zeros((batch.num_rows, 3)), []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
                 words = fold(text)
                 found = matcher.hits(words)
-                total = sum(w for _, w in found.values())
-                row = [total, total * model.per / max(len(words), 1), float(len({e for e, _ in found.values()}))]
-                scores.append(float(_probability(_design(np.array([row])), model.coefficients)[0]) if len(model.coefficients) else 0.0)
+                rows[i] = matcher.numbers(words, found)
                 hits.append([found[at][0].strip() for at in sorted(found)])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(hits, pa.list_(pa.string()))], names=["_id", "score", "predicted", "hits"])
+            scores = _probability(_design(rows), model.coefficients) if len(model.coefficients) else np.zeros(len(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(hits, pa.list_(pa.string()))], names=["_id", "score", "predicted", "hits"])
 
     return C.intake(docs, id_col, text_col).mapInArrow(scored, "_id long, score double, predicted int, hits array<string>")
