@@ -170,8 +170,8 @@ def lenient_cast(spark, d):
 
 
 def sql_hits(body: str, r: rules.RelevanceRules) -> list[tuple[str, int, str]]:
-    rows = [(t, w, rules.REASON_HIT + t + rules.REASON_CLOSE) for t, w in r.positive.items()]
-    return rows + [(t, -w, rules.REASON_WEAK + t + rules.REASON_CLOSE) for t, w in r.negative.items()]
+    rows = [(t, w, rules.REASON_HIT % t) for t, w in r.positive.items()]
+    return rows + [(t, -w, rules.REASON_WEAK % t) for t, w in r.negative.items()]
 
 
 def sql_relevance(body: str, level: str, r: rules.RelevanceRules) -> tuple[str, str]:

@@ -39,8 +39,8 @@ def source_level(name: Column, scope: Column) -> Column:
 
 def _term_table(r: rules.RelevanceRules) -> Column:
     """One literal array of (term, signed weight, reason), in the order reasons are listed."""
-    rows = [(t.lower(), w, rules.REASON_HIT + t + rules.REASON_CLOSE) for t, w in r.positive.items()]
-    rows += [(t.lower(), -w, rules.REASON_WEAK + t + rules.REASON_CLOSE) for t, w in r.negative.items()]
+    rows = [(t.lower(), w, rules.REASON_HIT % t) for t, w in r.positive.items()]
+    rows += [(t.lower(), -w, rules.REASON_WEAK % t) for t, w in r.negative.items()]
     return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"), F.lit(m).alias("reason")) for t, w, m in rows])
 
 

@@ -13,7 +13,7 @@ BLANK = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 CITATION = r"\x{E200}(?:cite|filecite)\x{E202}.*?\x{E201}"
 INVISIBLE = r"[\x{200B}\x{FEFF}]"
 DATE_PREFIX = rf"^{BLANK}*(?:20[0-9]{{2}}[-/.年][0-9]{{1,2}}[-/.月][0-9]{{1,2}}日?{BLANK}*)"
-DECORATION = rf"^{BLANK}*(?:{'|'.join(rules.TITLE_PREFIXES)}){BLANK}*[丨|｜:：·—-]*{BLANK}*"
+DECORATION = rules.TITLE_PREFIX_PATTERN.replace(r"\s", BLANK)  # both engines read the published \s and \d alike only when spelled out
 DOCUMENT_NUMBER = rf"(?:[\x{{4e00}}-\x{{9fa5}}]{{1,10}})?[〔\[]{BLANK}*(20[0-9]{{2}}){BLANK}*[〕\]]{BLANK}*[0-9]+{BLANK}*号"
 PUNCTUATION = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -23,7 +23,7 @@ DATE_SEPARATED = r"(20[0-9]{2})[-/.年](1[0-2]|0?[1-9])[-/.月](3[01]|[12][0-9]|
 DATE_COMPACT = r"(20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])"
 DATE_ISO = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})(?:[T ][0-9:.,+Z-]*)?$"
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-QUANTITY = rf"(?i)(?:[0-9]+(?:\.[0-9]+)?){BLANK}*(?:{'|'.join(rules.QUANTITY_UNITS)})"
+QUANTITY = "(?i)" + rules.QUANTITY_PATTERN.replace(r"\s", BLANK).replace(r"\d", "[0-9]")
 # End of fixed values.
 
 

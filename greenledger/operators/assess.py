@@ -207,19 +207,19 @@ def data_tasks(fields: DataFrame, provided: DataFrame, sites: DataFrame, site: s
 # Findings and actions of the risk rows.
 RISK_TEXT = {
     "demo": ("示范数据", "高", "当前排放、指标和项目经济参数用于验证计算链路，并非某个园区的正式台账", "用同边界、同年度的原始台账、报价和测量验证参数替换后重新运行"),
-    "missing": ("数据与边界", "高", ("缺少", "项正式核算前置数据"), "先完成边界、企业清单、基准年和排放活动数据闭环"),
+    "missing": ("数据与边界", "高", "缺少%s项正式核算前置数据", "先完成边界、企业清单、基准年和排放活动数据闭环"),
     "complete": ("数据与边界", "低", "正式核算门槛字段已提供", "继续保留原始凭证、因子版本和复核记录"),
     "green_open": ("绿电实践", "中", "源荷匹配、网架、计量结算或责任边界未全部确认", "绿电直连仅作为条件实施型路径，先开展负荷曲线与接入条件专项核查"),
     "green_ok": ("绿电实践", "低", "已确认基本接入与责任条件", "进入电价、消纳、可靠性和合同风险测算"),
-    "weak": ("项目参数", "中", ("", "个项目仍使用指南级或未核验参数"), "取得供应商报价、能量平衡、节能量测量与验证边界后再转为投资建议"),
-    "target": ("减排目标", "高", ("当前组合仍有", " tCO₂/年缺口"), "增加候选项目、调整预算或重新确认目标年度"),
-    "gaps": ("标准差距", None, ("", "项指标仍有差距或缺数据"), "按核心指标优先、引导指标分项推进"),
+    "weak": ("项目参数", "中", "%s个项目仍使用指南级或未核验参数", "取得供应商报价、能量平衡、节能量测量与验证边界后再转为投资建议"),
+    "target": ("减排目标", "高", "当前组合仍有%s tCO₂/年缺口", "增加候选项目、调整预算或重新确认目标年度"),
+    "gaps": ("标准差距", None, "%s项指标仍有差距或缺数据", "按核心指标优先、引导指标分项推进"),
 }
 BOARD_RISK_TEXT = {
-    "demo": ("演示数据", "高", ("", "个入选项目使用演示参数，当前结果只用于验证计算链路"), "用园区台账、供应商报价、可研参数和测量验证边界替换后重新运行"),
-    "pending": ("项目参数", "中", ("", "个入选项目参数仍待核实"), "取得报价、能量平衡和节能量测量边界"),
-    "target": ("目标缺口", "高", ("当前预算内仍有 ", " tCO₂/年缺口"), "增加候选项目、调整预算或分期目标"),
-    "gaps": ("指标差距", "中", ("", "项指标仍有差距或缺数据"), "核心指标优先，引导指标逐项推进"),
+    "demo": ("演示数据", "高", "%s个入选项目使用演示参数，当前结果只用于验证计算链路", "用园区台账、供应商报价、可研参数和测量验证边界替换后重新运行"),
+    "pending": ("项目参数", "中", "%s个入选项目参数仍待核实", "取得报价、能量平衡和节能量测量边界"),
+    "target": ("目标缺口", "高", "当前预算内仍有 %s tCO₂/年缺口", "增加候选项目、调整预算或分期目标"),
+    "gaps": ("指标差距", "中", "%s项指标仍有差距或缺数据", "核心指标优先，引导指标逐项推进"),
     "clear": ("初步筛查", "低", "当前输入未触发高、中风险规则", "继续开展工程可研和法定审查"),
 }
 # End of fixed values.
@@ -227,7 +227,7 @@ BOARD_RISK_TEXT = {
 
 def _risk(spec: tuple, number: Column | None = None, level: Column | None = None) -> Column:
     dimension, fixed, finding, action = spec
-    said = F.concat(F.lit(finding[0]), number.cast("string"), F.lit(finding[1])) if isinstance(finding, tuple) else F.lit(finding)
+    said = F.lit(finding) if number is None else F.format_string(finding, number.cast("string"))
     return F.struct(F.lit(dimension).alias("dimension"), (level if level is not None else F.lit(fixed)).alias("level"), said.alias("finding"), F.lit(action).alias("action"))
 
 

@@ -22,7 +22,7 @@ NO_TASK = "补充园区建设边界、企业清单、基准年能源和排放台
 CONCENTRATED = "本期来源集中度偏高，需补充园区管委会、企业、公共设施运营方和地方主管部门的独立材料。"
 POLICY_HEAVY = "政策标准记录占比仍偏高；下一轮采集应优先补充项目进度、设施参数和运行结果。"
 UNLINKED = "部分记录含有数字，但尚未完成园区对象、统计年度和空间边界核验，不能直接写入园区指标。"
-MERGED = ("有", "份补充来源被归并到主事件下，报告不再重复列示，但原始链接继续保留。")
+MERGED = "有%s份补充来源被归并到主事件下，报告不再重复列示，但原始链接继续保留。"
 ALWAYS = "公开资料用于发现线索和形成核查任务；正式核算仍要求同一边界、同一年度、同一单位和可追溯凭证。"
 # End of fixed values.
 
@@ -172,7 +172,7 @@ def digest_rules(metrics: DataFrame, themes: DataFrame) -> DataFrame:
         F.when(F.col("top_source_share") > 0.40, item("constraint", 0, CONCENTRATED)),
         F.when(F.col("policy_share") > 0.35, item("constraint", 1, POLICY_HEAVY)),
         F.when((F.col("numeric") > 0) & (F.col("linked") == 0), item("constraint", 2, UNLINKED)),
-        F.when(F.col("related") > 0, item("constraint", 3, F.concat(F.lit(MERGED[0]), F.col("related").cast("string"), F.lit(MERGED[1])))),
+        F.when(F.col("related") > 0, item("constraint", 3, F.format_string(MERGED, F.col("related")))),
         item("constraint", 4, ALWAYS),
     ]
     return row.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r")).select("r.*")

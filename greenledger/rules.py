@@ -55,8 +55,7 @@ USAGE_NOTES = {
     "其他重要动态": "用于公开信息跟踪；正式评价前需核对对象、边界、年份和原始材料。",
 }
 EXCLUDED_NOTE = "与园区降碳建设的直接关联不足，不进入首页和周报；原记录保留在审计档案。"
-REASON_HIT, REASON_WEAK = "命中“", "弱相关“"
-REASON_CLOSE = "”"
+REASON_HIT, REASON_WEAK = "命中“%s”", "弱相关“%s”"
 REASON_IMPLEMENTATION = "含实施或量化线索"
 REASON_PARK = "来自园区公开来源"
 REASON_NATIONAL = "国家级规则来源"
@@ -65,7 +64,7 @@ REASON_NONE = "未命中零碳园区核心主题"
 
 TITLE_TOKENS = ["（试行）", "(试行)", "征求意见稿", "正式发布", "权威发布"]
 TITLE_EDGE_CHARS = " -—–_丨|｜:：·"
-TITLE_PREFIXES = ["部门图解", "政策图解", "一图读懂", "图解", "视频", "音频", "答记者问", "文字实录", "新闻发布会", "权威解读"]
+TITLE_PREFIX_PATTERN = r"^\s*(?:部门图解|政策图解|一图读懂|图解|视频|音频|答记者问|文字实录|新闻发布会|权威解读)\s*[丨|｜:：·—-]*\s*"
 TRACKING_PARAMS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "source"]
 TRUE_WORDS = ["1", "true", "yes", "y", "是", "已确认", "confirmed"]
 PREFERRED_PATHS = ["/tz/", "/ywtz/", "/zcfg/", "/zwgk/", "/xxgk/"]
@@ -82,7 +81,7 @@ THEME_TERMS = {
     "交通与物流": ["重卡", "充换电", "物流", "交通"],
     "项目与资金": ["投资", "补贴", "申报", "合同能源", "融资", "项目清单"],
 }
-QUANTITY_UNITS = ["%", "亿元", "万元", "万千瓦", "千瓦", "MW", "MWh", "GWh", "tCO.?", "吨", "万吨", "公里", "小时", "年"]
+QUANTITY_PATTERN = r"(?:\d+(?:\.\d+)?)\s*(?:%|亿元|万元|万千瓦|千瓦|MW|MWh|GWh|tCO.?|吨|万吨|公里|小时|年)"
 IMPLEMENTATION_CATEGORIES = ["园区建设", "技术与设施", "项目与投融资"]
 POLICY_CATEGORY = "政策与标准"
 

@@ -16,8 +16,8 @@ from greenledger.functions.scoring import any_term, curate
 PAGE_SCHEMA = "page_title string, meta map<string,string>, links array<struct<href:string,text:string>>, paragraphs array<string>"
 
 # Texts of records without a usable summary, and the lengths that decide.
-NO_ARTICLE = ("公开来源发布了“", "”相关信息。平台保留原文入口，并将其作为后续核验、数据补充或措施筛选的线索。")
-NO_SUMMARY = ("公开页面发布了“", "”相关信息。该记录用于发现政策、园区实践或技术线索；涉及园区绩效和项目收益时，仍需核对原文和园区台账。")
+NO_ARTICLE = "公开来源发布了“%s”相关信息。平台保留原文入口，并将其作为后续核验、数据补充或措施筛选的线索。"
+NO_SUMMARY = "公开页面发布了“%s”相关信息。该记录用于发现政策、园区实践或技术线索；涉及园区绩效和项目收益时，仍需核对原文和园区台账。"
 MIN_PARAGRAPH, MIN_SUMMARY, MAX_SUMMARY, MIN_LINK_TEXT, MIN_TITLE, MAX_TITLE = 30, 50, 360, 6, 15, 180
 # End of fixed values.
 
@@ -117,7 +117,7 @@ def summary_of(meta: Column, paragraphs: Column, title: Column) -> Column:
     texts = F.transform(F.concat(described, F.slice(paragraphs, 1, 6)), lambda x: T.collapse_space(T.unescape(x)))
     fit = F.get(F.filter(texts, lambda x: F.length(x) >= MIN_SUMMARY), F.lit(0))
     cut = F.concat(F.substring(fit, 1, MAX_SUMMARY), F.when(F.length(fit) > MAX_SUMMARY, "…").otherwise(""))
-    return F.coalesce(cut, F.concat(F.lit(NO_SUMMARY[0]), title, F.lit(NO_SUMMARY[1])))
+    return F.coalesce(cut, F.format_string(NO_SUMMARY, title))
 
 
 def build_records(candidates: DataFrame, articles: DataFrame, sources: DataFrame, source: str, as_of: Column, article_limit: int | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def build_records(candidates: DataFrame, articles: DataFrame, sources: DataFrame
     staged = joined.withColumn("title", F.when(F.col("_has") & (T.text_or_empty(F.col("page_title")) != "") & (F.length("title") < MIN_TITLE), F.substring("page_title", 1, MAX_TITLE)).otherwise(F.col("title")))
     staged = staged.withColumns(
         {
-            "summary": F.when(F.col("_has"), summary_of(F.col("meta"), F.col("paragraphs"), F.col("title"))).otherwise(F.concat(F.lit(NO_ARTICLE[0]), F.col("title"), F.lit(NO_ARTICLE[1]))),
+            "summary": F.when(F.col("_has"), summary_of(F.col("meta"), F.col("paragraphs"), F.col("title"))).otherwise(F.format_string(NO_ARTICLE, F.col("title"))),
             "published_date": T.first_date(F.array_join(F.slice(F.coalesce("paragraphs", F.array().cast("array<string>")), 1, 10), " "), F.col("url"), F.col("title"), as_of=as_of).cast("string"),
             "canonical_url": F.col("url"),
         }
