@@ -271,7 +271,8 @@ def ordered_digest(rows: DataFrame, order: list[Column], url: str = "canonical_u
     places = [F.conv(F.substring(pair, 1 + 7 * k, 7), 16, 10).cast("long").alias(f"h{k}") for k in range(len(PRIMES))]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*places)
     ranges = ranged.mapInArrow(_fold_range, "part int, n long, run array<long>")
-    whole = ranges.repartition(1).sortWithinPartitions("part").mapInArrow(_join_ranges, "rows long, run array<long>")
+    none = rows.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0).cast("long")] * len(PRIMES)).alias("run"))
+    whole = ranges.unionByName(none).repartition(1).sortWithinPartitions("part").mapInArrow(_join_ranges, "rows long, run array<long>")
     spelled = F.concat_ws("|", F.col("rows").cast("string"), F.transform("run", lambda x: x.cast("string")))
     return whole.select("rows", F.sha2(spelled, 256).alias("ordered_digest"))
 

@@ -170,6 +170,11 @@ def field_rows(fields: DataFrame) -> DataFrame:
     )
 
 
+def select_priority(fields: DataFrame, level: str = "P0") -> DataFrame:
+    """Bulk choice of the required fields of one priority, as field ids."""
+    return field_rows(fields).filter(F.col("priority") == level).select("field_id").distinct()
+
+
 def readiness(fields: DataFrame, provided: DataFrame, site: str, sites: DataFrame | None = None) -> DataFrame:
     """Weighted share of provided fields per site, and the number of missing P0 fields.
 
@@ -220,6 +225,7 @@ BOARD_RISK_TEXT = {
     "pending": ("项目参数", "中", "%s个入选项目参数仍待核实", "取得报价、能量平衡和节能量测量边界"),
     "target": ("目标缺口", "高", "当前预算内仍有 %s tCO₂/年缺口", "增加候选项目、调整预算或分期目标"),
     "gaps": ("指标差距", "中", "%s项指标仍有差距或缺数据", "核心指标优先，引导指标逐项推进"),
+    "missing": ("数据与边界", "高", "缺少%s项正式测算前置数据", "先完成补数任务"),
     "clear": ("初步筛查", "低", "当前输入未触发高、中风险规则", "继续开展工程可研和法定审查"),
 }
 # End of fixed values.
@@ -260,6 +266,11 @@ def with_risks(sites: DataFrame) -> DataFrame:
     ).drop("_demo")
 
 
+def board_missing(sites: DataFrame) -> DataFrame:
+    """Adds the one risk of a site whose gate is open: how many inputs are missing."""
+    return sites.withColumn("risks", F.array(_risk(BOARD_RISK_TEXT["missing"], F.size("missing"))))
+
+
 def with_board_risks(sites: DataFrame) -> DataFrame:
     """The interactive variant: evidence is judged on the selected projects.
 

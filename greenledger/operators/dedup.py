@@ -39,9 +39,10 @@ def primary_rank(df: DataFrame) -> DataFrame:
     url = T.text_or_empty(F.col("url"))
     path = F.when(F.contains(url, F.lit("/top/")) | F.contains(T.text_or_empty(F.col("title")), F.lit("图解")), -2).otherwise(0)
     path = path + F.when(any_term(url, rules.PREFERRED_PATHS), 2).otherwise(0)
-    day = F.try_to_date(F.substring(T.text_or_empty(F.col("published_date")), 1, 10), "yyyy-MM-dd")
+    # The whole text of the date, downwards: negative letters, and an end that puts a text after those it begins.
+    letters = F.filter(F.split(T.text_or_empty(F.col("published_date")), ""), lambda c: c != "")
     ranks = [
-        F.coalesce(-F.unix_date(day), F.lit(2**30)).alias("day"),
+        F.concat(F.transform(letters, lambda c: -F.ascii(c)), F.array(F.lit(1))).alias("day"),
         (-F.coalesce(F.col("quality_score"), F.lit(0))).cast("int").alias("quality"),
         (-path).cast("int").alias("path"),
         (-F.length(T.clean_text(F.col("summary")))).cast("int").alias("length"),
@@ -169,14 +170,15 @@ def _bucket_pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return joined.select(*REP, *["h_" + c for c in REP]).distinct()
 
 
-def assign_leaders(reps: DataFrame, threshold: float, q: int = 2, pairs_per_row: float = 50.0, max_rounds: int = 200) -> DataFrame:
-    """(row order -> leader order) for every representative; a leader points to itself."""
+def assign_leaders(reps: DataFrame, threshold: float, q: int = 2, pairs_per_row: float = 50.0) -> DataFrame:
+    """(row order -> leader order) for every representative; a leader points to itself. Rounds go on while buckets are crowded: each
+    settles at least the first open row, and every one that is first in all of its buckets."""
     buckets = cut(bucket_rows(reps, threshold, q))
     # Open rows may still be leaders; settled followers keep looking for an earlier leader.
     open_rows = cut(reps.select(*REP))
     best = None  # followers with the best leader found so far
     leaders = None
-    for _ in range(max_rounds):
+    while True:
         live = buckets.join(open_rows.select("_ord"), "_ord", "left_semi")
         crowd = live.groupBy("_bucket").agg(F.count("*").cast("double").alias("n"))
         pairs, rows = crowd.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
@@ -216,24 +218,32 @@ def assign_leaders(reps: DataFrame, threshold: float, q: int = 2, pairs_per_row:
 def settle(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Leaders of an ordered match graph: a row leads when no earlier neighbour leads.
 
-    Each round settles every row whose earlier neighbours are all settled, or that has an
-    earlier neighbour known to lead.
+    A round settles every row whose earlier neighbours are all settled, or that has an earlier neighbour known to lead. Then chains are
+    contracted: a row with one open neighbour leads exactly when that one doesn't, so it points to it with a sign; pointers of pointers are
+    followed by doubling, and everybody who asks for such a row asks for the chain's end with that sign instead. A chain of n rows
+    thus takes as many steps as log n, not n rounds. A row that asks for one end with both signs has a leader before it.
     """
-    with_edges = edges.select("_ord").distinct()
-    free = rows.join(with_edges, "_ord", "left_anti").withColumn("is_leader", F.lit(True))
-    open_edges = cut(edges)
-    settled = cut(free)
-    waiting = cut(with_edges)
-    while not waiting.isEmpty():
-        known = settled.withColumnsRenamed({"_ord": "h__ord", "is_leader": "h_leads"})
-        view = open_edges.join(known, "h__ord", "left").groupBy("_ord").agg(
-            F.coalesce(F.bool_or("h_leads"), F.lit(False)).alias("covered"),
-            F.bool_and(F.col("h_leads").isNotNull()).alias("all_known"),
-        )
-        decided = cut(view.filter("covered or all_known").select("_ord", (~F.col("covered")).alias("is_leader")))
-        settled = cut(settled.unionByName(decided))
-        waiting = cut(waiting.join(decided, "_ord", "left_anti"))
-        open_edges = cut(open_edges.join(decided, "_ord", "left_anti"))
+    open_edges = cut(edges.select("_ord", "h__ord").distinct().withColumn("flip", F.lit(False)))
+    fresh = cut(rows.join(open_edges.select("_ord").distinct(), "_ord", "left_anti").withColumn("is_leader", F.lit(True)))
+    settled = fresh
+    while not open_edges.isEmpty():
+        known = fresh.withColumnsRenamed({"_ord": "h__ord", "is_leader": "_leads"})
+        asked = open_edges.groupBy("_ord", "h__ord").agg(F.bool_or("flip").alias("flip"), F.bool_and("flip").alias("_all")).join(known, "h__ord", "left")
+        asked = cut(asked.withColumn("_holds", F.when(F.col("flip") != F.col("_all"), True).otherwise(F.col("_leads") != F.col("flip"))).drop("_leads", "_all"))
+        view = asked.groupBy("_ord").agg(F.coalesce(F.bool_or("_holds"), F.lit(False)).alias("covered"), F.bool_and(F.col("_holds").isNotNull()).alias("all_known"))
+        fresh = cut(view.filter("covered or all_known").select("_ord", (~F.col("covered")).alias("is_leader")))
+        settled = settled.unionByName(fresh)
+        rest = cut(asked.filter("_holds IS NULL").select("_ord", "h__ord", "flip").join(fresh, "_ord", "left_anti"))
+        single = rest.groupBy("_ord").agg(F.count("*").alias("n"), F.min("h__ord").alias("to"), F.bool_and("flip").alias("flip")).filter("n = 1")
+        ends = cut(single.select("_ord", "to", (~F.col("flip")).alias("sign")))  # leads(row) = leads(to) or its opposite
+        moved = not ends.isEmpty()
+        while moved:
+            on = ends.select(F.col("_ord").alias("to"), F.col("to").alias("_next"), F.col("sign").alias("_more"))
+            step = cut(ends.join(on, "to", "left").select("_ord", F.coalesce("_next", "to").alias("to"), (F.col("sign") != F.coalesce("_more", F.lit(False))).alias("sign"), F.col("_next").isNotNull().alias("_moved")))
+            moved = not step.filter("_moved").isEmpty()
+            ends = step.drop("_moved")
+        heads = ends.select(F.col("_ord").alias("h__ord"), "to", "sign")
+        open_edges = cut(rest.join(heads, "h__ord", "left").select("_ord", F.coalesce("to", "h__ord").alias("h__ord"), (F.col("flip") != F.coalesce("sign", F.lit(False))).alias("flip")).distinct())
     return settled
 
 

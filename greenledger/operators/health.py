@@ -25,8 +25,12 @@ def health_log(attempts: DataFrame, source: str, at: str, ok: str, tie: str, chu
     return run.withColumn("status", status_of(F.col(ok), F.col("consecutive_failures"), watch_after, quarantine_after))
 
 
+# Names of what is kept of the last attempt.
+LAST_OF = {"records": "last_record_count", "error": "last_error", "start_url": "start_url", "source_name": "source_name"}
+
+
 def health_state(attempts: DataFrame, source: str, at: str, ok: str, tie: str, **options) -> DataFrame:
-    """One row per source after its last attempt."""
+    """One row per source after its last attempt; ``records``, ``error``, ``start_url`` and ``source_name`` of that attempt are kept where given."""
     log = health_log(attempts, source, at, ok, tie, **options)
     last = F.struct(F.col(at), F.col(tie))
     return log.groupBy(source).agg(
@@ -35,9 +39,15 @@ def health_state(attempts: DataFrame, source: str, at: str, ok: str, tie: str, *
         F.max(at).alias("last_attempt"),
         F.max(F.when(F.col(ok), F.col(at))).alias("last_success"),
         F.count("*").alias("attempts"),
+        *[F.max_by(F.col(c), last).alias(name) for c, name in LAST_OF.items() if c in attempts.columns],
     )
 
 
+def health_rows(state: DataFrame, name: str = "source_name") -> DataFrame:
+    """The table of sources in its order: status, then name, missing ones as empty text."""
+    return state.orderBy(F.coalesce("status", F.lit("")), F.coalesce(name, F.lit("")))
+
+
 def due_sources(sources: DataFrame, state: DataFrame, source: str, as_of: Column, retest_days: int = 7, only: str | None = None) -> DataFrame:
     """Enabled sources that are not quarantined, or whose quarantine is old enough for a retest."""
     chosen = sources.filter(F.coalesce(F.col("enabled"), F.lit(True)))

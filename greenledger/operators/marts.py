@@ -268,6 +268,44 @@ def page(table: DataFrame, order: list[Column], size: int, number: int = 1) -> D
     return table.orderBy(*order).offset(size * (number - 1)).limit(size)
 
 
+def facet_values(records: DataFrame, order: list[str] = rules.BOARD_ORDER, columns: tuple[str, ...] = ("category", "topic")) -> DataFrame:
+    """The choices of the feed's category filter: all, then the categories present in board order, then the others by name."""
+    rows = with_columns_present(records, columns)
+    present = rows.select(T.first_text(*[F.col(c) for c in columns], F.lit(rules.CATCH_ALL_CATEGORY)).alias("name")).distinct()
+    spot = F.coalesce(*[F.when(F.col("name") == c, i + 1) for i, c in enumerate(order)], F.lit(len(order) + 1))
+    every = records.sparkSession.createDataFrame([(0, rules.ALL_FACET)], "ord int, name string")
+    return every.unionByName(present.select(spot.cast("int").alias("ord"), "name")).orderBy("ord", "name")
+
+
+def feed_rows(records: DataFrame, category: str | None = None, columns: tuple[str, ...] = ("category", "topic")) -> DataFrame:
+    """The feed under a category choice; none, or the choice of all, shows every row."""
+    if category in (None, rules.ALL_FACET):
+        return records
+    rows = with_columns_present(records, columns)
+    return rows.filter(T.first_text(*[F.col(c) for c in columns], F.lit(rules.CATCH_ALL_CATEGORY)) == category).select(*records.columns)
+
+
+def search_page(found: DataFrame, number: int = 1, size: int = 25, kinds: tuple[str, ...] = ("园区", "动态", "标准", "措施")) -> DataFrame:
+    """One page of search results: parks, updates, rules, measures, each by title and address."""
+    spot = F.coalesce(*[F.when(F.col("type") == k, i) for i, k in enumerate(kinds)], F.lit(len(kinds)))
+    return page(found, [spot, F.col("title"), F.col("url"), F.col("date")], size, number)
+
+
+def headline(counts: DataFrame, curation: DataFrame | None = None) -> DataFrame:
+    """The headline numbers and the quality strip from the count block (name, value); a number that is missing or 0 falls back to the curation statistics,
+    where one is named, and else is 0."""
+    spark = counts.sparkSession
+    plan = spark.createDataFrame([(block, i, *row) for block, rows in rules.HEADLINES.items() for i, row in enumerate(rows)], "block string, ord int, label string, name string, other string")
+    held = counts.groupBy("name").agg(F.max("value").alias("value"))
+    rows = F.broadcast(plan).join(held, "name", "left")
+    if curation is not None:
+        spare = curation.groupBy(F.col("name").alias("other")).agg(F.max("value").alias("spare"))
+        rows = rows.join(spare, "other", "left")
+    else:
+        rows = rows.withColumn("spare", F.lit(None).cast("long"))
+    return rows.select("block", "ord", "label", F.coalesce(F.nullif("value", F.lit(0)), F.nullif("spare", F.lit(0)), F.lit(0)).cast("long").alias("value")).orderBy("block", "ord")
+
+
 def map_rows(parks: DataFrame, view: str, query: str = "") -> DataFrame:
     """Parks of a map view with marker class and board position."""
     domestic = F.col("scope") == rules.DOMESTIC
@@ -275,12 +313,13 @@ def map_rows(parks: DataFrame, view: str, query: str = "") -> DataFrame:
         "全国": domestic,
         "国家级": domestic & (F.col("level") == "国家级"),
         "广东": domestic & F.contains(F.col("province"), F.lit("广东")),
-    }.get(view, ~domestic)
+    }.get(view, ~domestic)  # any other view shows what is not domestic
     rows = parks.filter(inside)
     needle = query.strip().lower()
     if needle:
         rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "name", "province", "city", "country", "industry")), F.lit(needle)))
-    box = next(v for v in rules.MAP_VIEWS if v[0] == view)
+    boxes = {v[0]: v for v in rules.MAP_VIEWS}
+    box = boxes.get(view, boxes["全国"])  # an unknown view has the national box
     west, east, south, north = [F.lit(v) for v in box[1:]]
     x, y = geo.view_xy(F.col("lon"), F.col("lat"), west, east, south, north)
     marker = F.when(~domestic, "international").when(F.col("level") == "国家级", "national").otherwise("provincial")

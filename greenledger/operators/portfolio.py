@@ -143,7 +143,11 @@ def _best_options(n: int, items: list, budget: np.ndarray, target: np.ndarray) -
     left = np.where(reached[:, None], meets, ok)
     pick = lambda a, b: np.where(reached[:, None], a, b)
     size = np.broadcast_to(table.sum(axis=1)[None, :], ok.shape)
-    keys = [pick(npv, -abate), pick(capex, npv), pick(-abate, capex), size, -np.broadcast_to(whole, ok.shape)]
+    keys = [pick(npv, -abate), pick(capex, npv), pick(-abate, capex)]
+    if n and items[0][0]["place"] is not None:  # the board's order of ties
+        keys += [0 * size, (1 << np.array([[p["place"] for p in row] for row in items], np.int64)) @ table.T]
+    else:
+        keys += [size, -np.broadcast_to(whole, ok.shape)]
     for key in keys:
         lowest = np.where(left, key, subsets.FAR).min(axis=1)
         left &= key == lowest[:, None]
@@ -162,37 +166,30 @@ def _listed(items: pd.Series, budget: pd.Series, target: pd.Series) -> pd.DataFr
             s = spots[start : start + step]
             out[s] = np.column_stack(_best_options(int(n), [items.iloc[i] for i in s], budget.to_numpy()[s], target.to_numpy()[s]))
     frame = pd.DataFrame(out, columns=names)
-    bits = [np.packbits((mask >> np.arange(n)[::-1]) & 1 ^ 1).tobytes() for mask, n in zip(out[:, 6].tolist(), sizes.tolist())]
-    frame["tie"] = bits
+    frame["taken"] = [np.flatnonzero((mask >> np.arange(n)[::-1]) & 1).tolist() for mask, n in zip(out[:, 6].tolist(), sizes.tolist())]
     return frame.drop(columns=["mask"]).astype({"found": bool, "meets": bool, "size": "int32"})
 
 
-LISTED = "struct<found:boolean,meets:boolean,key1:bigint,key2:bigint,key3:bigint,size:int,capex:bigint,abatement:bigint,npv:bigint,tie:binary>"
+LISTED = "struct<found:boolean,meets:boolean,key1:bigint,key2:bigint,key3:bigint,size:int,capex:bigint,abatement:bigint,npv:bigint,taken:array<int>>"
 
 
 def _scaled(c: Column) -> Column:
     return F.round(c * SCALE).cast("long")
 
 
-def _taken(tie: Column, ids: Column) -> Column:
-    """The ids whose bit is 0, in order."""
-    byte = lambda i: F.conv(F.hex(F.substring(tie, F.floor(i / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = lambda i: F.floor(byte(i) / F.pow(F.lit(2), 7 - i % 8)).cast("int") % 2
-    return F.filter(F.transform(ids, lambda x, i: F.when(bit(i) == 0, x)), lambda x: x.isNotNull())
-
-
-def scenario_lists(priced: DataFrame, settings: DataFrame, scenario: str) -> DataFrame:
-    """One row per scenario: its projects in the order of abatement per capex, coded for the search."""
+def scenario_lists(priced: DataFrame, settings: DataFrame, scenario: str, place: str | None = None) -> DataFrame:
+    """One row per scenario: its projects in the order of abatement per capex, coded for the search. ``place``: their order on the board."""
     ratio = F.col("annual_abatement_tco2") / F.greatest(F.col("capex_10k_cny"), F.lit(1e-6))
+    at = F.lit(None).cast("int") if place is None else F.col(place).cast("int")
     item = F.struct(
-        (-ratio).alias("spot"), F.col("project_id").alias("id"), _scaled(F.col("capex_10k_cny")).alias("capex"), _scaled(F.col("annual_abatement_tco2")).alias("abatement"),
+        (-ratio).alias("spot"), at.alias("place"), F.col("project_id").alias("id"), _scaled(F.col("capex_10k_cny")).alias("capex"), _scaled(F.col("annual_abatement_tco2")).alias("abatement"),
         _scaled(F.col("npv_cost_10k_cny")).alias("npv"), F.coalesce("prerequisites", F.array().cast("array<string>")).alias("pre"), F.coalesce("mutex_group", F.lit("")).alias("mutex"),
     )
     lists = priced.groupBy(scenario).agg(F.sort_array(F.collect_list(item)).alias("items"))
     lists = lists.withColumn("ids", F.transform("items", lambda p: p["id"])).withColumn("_groups", F.array_distinct(F.filter(F.transform("items", lambda p: p["mutex"]), lambda g: g != "")))
-    place = lambda x: (F.array_position(F.col("ids"), x) - 1).cast("int")  # a prerequisite outside the scenario can never hold: -1
+    needed = lambda x: (F.array_position(F.col("ids"), x) - 1).cast("int")  # a prerequisite outside the scenario can never hold: -1
     coded = F.transform("items", lambda p: F.struct(p["capex"].alias("capex"), p["abatement"].alias("abatement"), p["npv"].alias("npv"),
-                                                    F.transform(F.array_distinct(p["pre"]), place).alias("need"), F.coalesce(F.array_position(F.col("_groups"), p["mutex"]), F.lit(0)).cast("int").alias("group")))
+                                                    F.transform(F.array_distinct(p["pre"]), needed).alias("need"), F.coalesce(F.array_position(F.col("_groups"), p["mutex"]), F.lit(0)).cast("int").alias("group"), p["place"].alias("place")))
     return lists.withColumn("items", coded).drop("_groups").join(
         settings.select(scenario, _scaled(F.col("budget_10k_cny")).alias("budget"), _scaled(F.col("annual_target_tco2")).alias("target")), scenario)
 
@@ -215,25 +212,56 @@ def select_portfolio(projects: DataFrame, scenarios: DataFrame, scenario: str) -
     usable = projects.filter((F.col("capex_10k_cny") >= 0) & (F.col("annual_abatement_tco2") >= 0))
     priced = with_metrics(usable.join(settings.select(scenario, "discount_rate"), scenario), F.col("discount_rate"))
     bad = (F.col("budget_10k_cny") < 0) | (F.col("annual_target_tco2") < 0)
-    lists = written(scenario_lists(priced, settings.filter(~bad), scenario))
-    small = lists.filter(F.size("items") <= LOW).withColumn("best", F.pandas_udf(_listed, LISTED)("items", "budget", "target")).filter("best.found")
+    best = best_subsets(scenario_lists(priced, settings.filter(~bad), scenario), scenario)
+    result = settings.join(best, scenario, "left").withColumn("status", F.when(bad, "negative_budget_or_target").otherwise("ok")).select(
+        scenario, "status", "budget_10k_cny", "annual_target_tco2", "discount_rate", *_outcome(F.col("status") == "ok", F.col("annual_target_tco2") <= 0))
+    return result, _chosen(priced, result, scenario)
+
+
+def best_subsets(lists: DataFrame, scenario: str) -> DataFrame:
+    """Key, ``ids`` and the ``best`` struct of every scenario: small ones by listing, many at a time, large ones by bounds."""
+    lists = written(lists)
     fields = [f.split(" ")[0] for f in subsets.FOUND.split(", ")]
-    best = small.select(scenario, "ids", F.struct(*[F.col("best." + f) for f in fields]).alias("best"))
+    small = lists.filter(F.size("items") <= LOW).withColumn("best", F.pandas_udf(_listed, LISTED)("items", "budget", "target")).filter("best.found")
+    taken = lambda f: F.lit(None).cast("binary").alias(f) if f == "tie" else F.col("best." + f)
+    best = small.select(scenario, "ids", F.struct(*[taken(f) for f in fields]).alias("best"))
     large = lists.filter(F.size("items") > LOW)
-    if not large.isEmpty():
-        best = best.unionByName(subsets.search(large, scenario).join(large.select(scenario, "ids"), scenario))
-    value = lambda c: F.coalesce(F.col("best." + c), F.lit(0)) / SCALE
-    ok = F.col("status") == "ok"
-    result = settings.join(best, scenario, "left").withColumn("status", F.when(bad, "negative_budget_or_target").otherwise("ok")).select(
-        scenario, "status", "budget_10k_cny", "annual_target_tco2", "discount_rate",
-        F.when(ok, F.coalesce("best.meets", F.col("annual_target_tco2") <= 0)).alias("meets_target"),
-        F.when(ok, F.coalesce("best.size", F.lit(0))).alias("selected"),
-        F.when(ok, F.coalesce(_taken(F.col("best.tie"), F.col("ids")), F.array().cast("array<string>"))).alias("project_ids"),
+    if large.isEmpty():
+        return best
+    return best.unionByName(subsets.search(large, scenario).join(large.select(scenario, "ids"), scenario))
+
+
+def _outcome(ok: Column, met_by_none: Column) -> list[Column]:
+    """What a selection shows; a scenario without a feasible subset takes nothing."""
+    value = lambda c: F.coalesce(F.col("best." + c), F.lit(0)) / SCALE
+    ids = F.transform(F.col("best.taken"), lambda i: F.get(F.col("ids"), i))
+    return [
+        F.when(ok, F.coalesce("best.meets", met_by_none)).alias("meets_target"), F.when(ok, F.coalesce(F.size("best.taken"), F.lit(0))).alias("selected"),
+        F.when(ok, F.coalesce(ids, F.array().cast("array<string>"))).alias("project_ids"),
         F.when(ok, value("capex")).alias("capex_10k_cny"), F.when(ok, value("abatement")).alias("annual_abatement_tco2"), F.when(ok, value("npv")).alias("npv_cost_10k_cny"),
         F.when(ok, F.round(F.greatest(F.lit(0.0), F.col("annual_target_tco2") - value("abatement")), 4)).alias("target_gap_tco2"),
-    )
-    chosen = result.select(scenario, F.explode("project_ids").alias("project_id"))
-    return result, priced.join(chosen, [scenario, "project_id"], "left_semi")
+    ]
+
+
+def _chosen(priced: DataFrame, result: DataFrame, scenario: str) -> DataFrame:
+    return priced.join(result.select(scenario, F.explode("project_ids").alias("project_id")), [scenario, "project_id"], "left_semi")
+
+
+def board_portfolio(projects: DataFrame, scenarios: DataFrame, scenario: str, place: str = "place") -> tuple[DataFrame, DataFrame]:
+    """The interactive variant of ``select_portfolio``.
+
+    Only named projects with capex and abatement of at least 0 and a lifetime over 0 take part; there are no prerequisites
+    or exclusive groups, a missing rate is 5 %, and ties after cost, capex and abatement go to the subset whose number is least when the
+    first listed project (``place``, from 0) is the lowest bit. A negative budget selects nothing and misses the target.
+    """
+    settings = scenarios.select(scenario, *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in (("budget_10k_cny", 0.0), ("annual_target_tco2", 0.0), ("discount_rate", 0.05))])
+    usable = projects.filter((T.text_or_empty(F.col("name")) != "") & (F.col("capex_10k_cny") >= 0) & (F.col("annual_abatement_tco2") >= 0) & (F.col("lifetime_years") > 0))
+    free = usable.withColumns({"prerequisites": F.array().cast("array<string>"), "mutex_group": F.lit("")})
+    priced = with_metrics(free.join(settings.select(scenario, "discount_rate"), scenario), F.col("discount_rate"))
+    ranked = priced.withColumn("_place", F.row_number().over(W.partitionBy(scenario).orderBy(place, "project_id")) - 1)
+    best = best_subsets(scenario_lists(ranked, settings.filter("budget_10k_cny >= 0"), scenario, "_place"), scenario)
+    result = settings.join(best, scenario, "left").select(scenario, "budget_10k_cny", "annual_target_tco2", "discount_rate", *_outcome(F.lit(True), F.lit(False)))
+    return result, _chosen(priced, result, scenario)
 
 
 # --- what follows a selection -----------------------------------------------

@@ -30,9 +30,11 @@ def violations(observations: DataFrame, key: str, units: list[str], as_of: Colum
     """(key, rule) rows for what one observation shows by itself: one pass, no shuffle.
 
     Reads ``source_url``, ``period``, ``boundary``, ``value``, ``unit`` and ``date``. G rules come
-    from the governance list: a number needs a unit, sources use HTTPS, no date after collection.
+    from the governance list: a number needs a unit, sources use HTTPS, no date after collection. Where they are given:
+    ``proxy`` data outside ``use`` "pre_assessment" (Q06), a factor's ``factor_purpose`` against what it is ``used_for`` (Q08), a default
+    parameter whose ``origin`` is "project_case" (Q10), a ``core_metric`` whose ``evidence_grade`` is not A or B (Q11).
     """
-    o = with_columns_present(observations, ("source_url", "period", "boundary", "value", "unit", "date"))
+    o = with_columns_present(observations, ("source_url", "period", "boundary", "value", "unit", "date", "proxy", "use", "factor_purpose", "used_for", "origin", "core_metric", "evidence_grade"))
     empty = lambda n: T.text_or_empty(F.col(n)) == ""
     unknown_unit = ~empty("unit") & ~F.col("unit").isin(units)
     late = (F.col("date").cast("date") > as_of) if as_of is not None else F.lit(False)
@@ -41,6 +43,10 @@ def violations(observations: DataFrame, key: str, units: list[str], as_of: Colum
         F.when(empty("period"), "Q02"),
         F.when(empty("boundary"), "Q03"),
         F.when(unknown_unit, "Q04"),
+        F.when(T.is_true(F.col("proxy")) & (T.text_or_empty(F.col("use")) != "pre_assessment"), "Q06"),
+        F.when(~empty("factor_purpose") & ~empty("used_for") & (F.col("factor_purpose") != F.col("used_for")), "Q08"),
+        F.when(T.text_or_empty(F.col("origin")) == "project_case", "Q10"),
+        F.when(T.is_true(F.col("core_metric")) & ~T.text_or_empty(F.col("evidence_grade")).isin("A", "B"), "Q11"),
         F.when(~empty("value") & empty("unit"), "G01"),
         F.when(~empty("source_url") & ~F.col("source_url").startswith("https://"), "G02"),
         F.when(late, "G03"),
@@ -53,6 +59,39 @@ def conflicting_values(observations: DataFrame, by: list[str], value: str) -> Da
     return observations.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("rows")).filter(F.col("low") < F.col("high"))
 
 
+def dependency_violations(rows: DataFrame, by: list[str], determined: dict[str, str], witness: str) -> DataFrame:
+    """Where ``by`` doesn't determine a column: one grouped pass over all of ``determined`` (column to rule), with the two rows that show it.
+
+    Q05: metric, site, year and boundary determine the value. Q09: a ratio determines the year and the boundary of its numerator and
+    denominator. Least and largest value, and a witness of each, are combined in the tasks, so a group of any size is four values
+    per column; missing values show nothing.
+    """
+    ends = []
+    for column in determined:
+        spot = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("value"), F.col(witness).alias("witness")))
+        ends += [F.min(spot).alias(f"_low_{column}"), F.max(spot).alias(f"_high_{column}")]
+    folded = rows.groupBy(*by).agg(F.count("*").alias("rows"), *ends)
+    shown = F.array(*[
+        F.when(F.col(f"_low_{c}.value") < F.col(f"_high_{c}.value"), F.struct(
+            F.lit(rule).alias("rule_id"), F.lit(c).alias("column"), *[F.col(f"_{end}_{c}.value").cast("string").alias(end) for end in ("low", "high")],
+            *[F.col(f"_{end}_{c}.witness").alias(f"{end}_witness") for end in ("low", "high")]))
+        for c, rule in determined.items()
+    ])
+    return folded.select(*by, "rows", F.explode(F.filter(shown, lambda x: x.isNotNull())).alias("f")).select(*by, "rows", "f.*")
+
+
+def stale_reports(dependencies: DataFrame, versions: DataFrame, report: str = "report_id", given: str = "input_id", version: str = "version") -> DataFrame:
+    """Q12: reports that must be computed again, with how many of their inputs have changed and the first of them.
+
+    ``dependencies`` has a row for every input a report was computed from, with the version used; ``versions`` the current version of each input.
+    What no current (input, version) pair matches is stale: an anti-join, so an input that is gone counts too. An input that a third of all
+    reports use is one row of ``versions``; its dependencies are spread by the join's skew handling and folded per report.
+    """
+    current = versions.select(given, version).distinct()
+    stale = dependencies.join(current, [given, version], "left_anti")
+    return stale.groupBy(report).agg(F.countDistinct(given).alias("stale_inputs"), F.min(given).alias("first_input"))
+
+
 def repeated_keys(rows: DataFrame, by: list[str]) -> DataFrame:
     """Q07 and the unique park id: keys that occur more than once."""
     return rows.groupBy(*by).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)

@@ -96,6 +96,54 @@ def assess_sites(sites: DataFrame, raw_projects: DataFrame, measures: DataFrame,
     )
 
 
+@dataclass
+class BoardAssessment:
+    """The tables of the interactive assessment, all keyed by the site key."""
+
+    sites: DataFrame
+    tasks: DataFrame
+    gaps: DataFrame
+    advice: DataFrame
+    portfolio: DataFrame
+    selected: DataFrame
+    stakeholders: DataFrame
+    path: DataFrame
+    sensitivity: DataFrame
+    risks: DataFrame
+
+
+def assess_board(sites: DataFrame, raw_projects: DataFrame, measures: DataFrame, key: str, place: str = "project_id") -> BoardAssessment:
+    """The interactive assessment: its own gate, gap table, portfolio, owners by category, path on emissions without removals, exact sensitivity.
+
+    A site whose gate is open gets tasks and one risk. One whose gate is closed but which has no positive energy or no valid project
+    stops there: ``mode`` is "stopped" and it has no conclusion. ``place`` orders the projects of a site as they are listed.
+    """
+    wide = cut(with_columns_present(sites, ("budget_10k_cny", "annual_target_tco2", "discount_rate", "path_end_year")))
+    gated = assess.with_gate(wide, rules.BOARD_GATE_FIELDS)
+    gaps = assess.board_gaps(wide, key)
+    number = lambda n: T.lenient_double(F.col(n))
+    projects = cut(P.parse_projects(raw_projects, key))
+    measured = gaps.groupBy(key).agg(F.count_if(F.col("status").isin(rules.BOARD_RISK_STATUSES)).alias("open_gaps"))
+    emitted = wide.withColumn("emissions_tco2", T.board_number(F.col("scope1_tco2")) + T.board_number(F.col("scope2_tco2")) + T.board_number(F.col("process_tco2")))
+    able = gated.filter("ready").join(measured, key).join(projects.select(key).distinct(), key, "left_semi")
+    scenarios = able.select(key, *[number(n).alias(n) for n in ("budget_10k_cny", "annual_target_tco2", "discount_rate")])
+    portfolio, selected = P.board_portfolio(projects, scenarios, key, place)
+    evidence = selected.groupBy(key).agg(F.count_if(F.col("evidence_level") == "演示参数").alias("demo_projects"), F.count_if(F.col("evidence_level") == "待核实").alias("pending_projects"))
+    judged = able.select(key, "missing", "open_gaps").join(portfolio.select(key, "meets_target", "target_gap_tco2", "selected"), key).join(evidence, key, "left").fillna(0, ["demo_projects", "pending_projects"])
+    judged = assess.with_board_risks(judged).withColumn("mode", F.when(F.col("demo_projects") > 0, "demonstration").otherwise("formal"))
+    waiting = assess.board_missing(gated.filter("NOT ready").select(key, "missing")).withColumns({"mode": F.lit("data_completion"), "conclusion": F.lit(rules.CONCLUSIONS["not_ready"])})
+    told = cut(judged.unionByName(waiting, allowMissingColumns=True))
+    stopped = wide.select(key).join(told.select(key), key, "left_anti").withColumn("mode", F.lit("stopped"))
+    baseline = emitted.select(key, F.col("emissions_tco2").alias("baseline_emissions_tco2"))
+    rates = selected.drop("discount_rate").join(portfolio.select(key, "discount_rate"), key)
+    return BoardAssessment(
+        sites=told.drop("risks", "missing").unionByName(stopped, allowMissingColumns=True), tasks=assess.gate_tasks(wide, key, rules.BOARD_GATE_FIELDS), gaps=gaps,
+        advice=M.advise(M.catalog(measures), gaps, wide, key), portfolio=portfolio, selected=selected, stakeholders=P.board_stakeholders(selected, key),
+        path=P.annual_path(selected, baseline, key, board=True), sensitivity=P.sensitivity(rates, key, F.col("discount_rate"), exact=True),
+        risks=told.select(key, F.posexplode("risks").alias("ord", "r")).select(key, "ord", "r.*"),
+    )
+
+
 def measure_counts(recommended: DataFrame, screened: DataFrame, key: str) -> DataFrame:
     """Recommendations per tier; sites without any count their screened measures per class."""
     by_tier = recommended.groupBy(key, F.col("tier").alias("label")).agg(F.count("*").alias("value"))

@@ -205,6 +205,17 @@ FUNNEL = [
     ("核验后公共事实", "完成来源与对象核验的名单、政策或宏观事实"),
     ("正式核算园区", "同边界、同年度、活动数据和排放数据均完整"),
 ]
+ALL_FACET = "全部"
+HEADLINES = {
+    "kpi": [
+        ("国内园区", "domestic_parks", None), ("国际案例", "international_cases", None), ("有效公开记录", "archive_records", None),
+        ("待准备字段", "required_fields", None), ("减排设施指南", "technology_measures", None), ("可正式核算园区", "formal_accounting_ready", None),
+    ],
+    "quality": [
+        ("进入公开页", "archive_records", "included"), ("合并重复", "duplicates_collapsed", "duplicates_collapsed"),
+        ("排除低相关", "excluded_low_relevance", "excluded_low_relevance"), ("可正式核算", "formal_accounting_ready", None),
+    ],
+}
 HEALTH_LABELS = [("healthy", "正常"), ("failed", "失败"), ("watch", "观察"), ("quarantined", "隔离"), ("unknown", "未检查")]
 
 # ---------------------------------------------------------------------------

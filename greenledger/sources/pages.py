@@ -18,6 +18,7 @@ PAGE_SCHEMA = "page_title string, meta map<string,string>, links array<struct<hr
 # Texts of records without a usable summary, and the lengths that decide.
 NO_ARTICLE = "公开来源发布了“%s”相关信息。平台保留原文入口，并将其作为后续核验、数据补充或措施筛选的线索。"
 NO_SUMMARY = "公开页面发布了“%s”相关信息。该记录用于发现政策、园区实践或技术线索；涉及园区绩效和项目收益时，仍需核对原文和园区台账。"
+SKIPPED = ("skipped_quarantine", "source is quarantined and awaiting scheduled retest")
 MIN_PARAGRAPH, MIN_SUMMARY, MAX_SUMMARY, MIN_LINK_TEXT, MIN_TITLE, MAX_TITLE = 30, 50, 360, 6, 15, 180
 # End of fixed values.
 
@@ -161,13 +162,21 @@ def reject_examples(rejected: DataFrame, source: str = "source_id", k: int = 5)
     return rejected.withColumn("no", spot).filter(F.col("no") <= k).select(source, "no", "title", "url", F.col("relevance_score").alias("score"), F.col("relevance_reason").alias("reason"))
 
 
-def collection_log(sources: DataFrame, candidates: DataFrame, included: DataFrame, rejected: DataFrame, source: str, attempted_at: Column, failures: DataFrame | None = None) -> DataFrame:
-    """One log row per source: counts, status and error. A failed source gives a row, not an abort."""
+def collection_log(sources: DataFrame, candidates: DataFrame, included: DataFrame, rejected: DataFrame, source: str, attempted_at: Column, failures: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """One log row per source: counts, status, seconds and error. A failed source gives a row, not an abort, and so does one that is ``skipped``
+    because it waits in quarantine. ``sources`` may have source_name (or name), start_url and elapsed_seconds, ``failures`` error and elapsed_seconds."""
     tag = lambda df, key, name: df.groupBy(F.col(key).cast("string").alias("source_id")).agg(F.count("*").alias(name))
-    out = sources.select(F.col(source).cast("string").alias("source_id"))
+    known = lambda df, name, *others, kind="string": next((F.col(c).cast(kind) for c in (name, *others) if c in df.columns), F.lit(None).cast(kind)).alias(name)
+    about = lambda df: [F.col(source).cast("string").alias("source_id"), known(df, "source_name", "name"), known(df, "start_url"), known(df, "elapsed_seconds", kind="double")]
+    out = sources.select(*about(sources))
     for df, key, name in ((candidates, source, "candidates"), (included, "source_id", "records"), (rejected, "source_id", "rejected_low_relevance")):
         out = out.join(tag(df, key, name), "source_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     if failures is not None:
-        out = out.join(failures.select(F.col(source).cast("string").alias("source_id"), F.col("error").alias("_error")), "source_id", "left")
+        failed = failures.groupBy(F.col(source).cast("string").alias("source_id")).agg(F.max(F.coalesce("error", F.lit(""))).alias("_error"))
+        out = out.join(failed, "source_id", "left")
     error = F.col("_error") if failures is not None else F.lit(None).cast("string")
-    return out.withColumns({"status": F.when(error.isNotNull(), "failed").otherwise("ok"), "error": F.substring(T.text_or_empty(error), 1, 500), "attempted_at": attempted_at}).drop("_error")
+    out = out.withColumns({"status": F.when(error.isNotNull(), "failed").otherwise("ok"), "error": T.text_or_empty(error)}).drop("_error")
+    if skipped is not None:
+        waits = skipped.select(*about(skipped)).withColumns({"records": F.lit(0).cast("long"), "status": F.lit(SKIPPED[0]), "error": F.lit(SKIPPED[1]), "elapsed_seconds": F.lit(0.0)})
+        out = out.unionByName(waits, allowMissingColumns=True)
+    return out.withColumn("attempted_at", attempted_at)

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Headers of the exported task list.
+# Headers of the exported tables.
 TASK_HEADERS = {"no": "序号", "field_id": "字段ID", "priority": "优先级", "task": "任务", "owner": "责任部门", "material": "最低材料", "purpose": "用途", "deadline": "建议时限", "status": "状态"}
+GAP_HEADERS = {"metric": "指标", "current": "现状", "target": "目标", "unit": "单位", "status": "状态", "gap": "差距", "note": "说明"}
+MEASURE_HEADERS = {
+    "id": "编号", "name": "措施", "type": "类型", "direction": "方向", "park": "适用园区", "object": "对象/工艺", "inputs": "关键输入", "calculation": "减排计算逻辑", "economics": "经济性指标",
+    "constraints": "主要约束", "status": "参数状态",
+}
+ADVICE_HEADERS = {"id": "编号", "name": "措施", "type": "分级", "metrics": "对应问题", "reasons": "匹配依据", "inputs": "前置数据", "calculation": "计算逻辑", "economics": "经济性", "constraints": "主要约束"}
+# End of fixed values.
 
 
 def write_lines(df: DataFrame, path: str) -> None:

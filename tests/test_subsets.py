@@ -3,8 +3,8 @@
 import itertools
 import random
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from greenledger.operators import portfolio as P, subsets as S
 
@@ -22,9 +22,10 @@ def by_table(rows, budget, target):
 
 
 def search_key(spark, lists, steps=1 << 17):
-    items = [(f"s{i}", [(c, a, v, need, group) for c, a, v, need, group in rows], budget, target) for i, (rows, budget, target) in enumerate(lists)]
+    items = [(f"s{i}", [(c, a, v, need, group, None) for c, a, v, need, group in rows], budget, target) for i, (rows, budget, target) in enumerate(lists)]
     frame = spark.createDataFrame(items, f"s string, items array<{S.ITEM}>, budget bigint, target bigint")
     found = {r.s: r.best for r in S.search(frame, "s", steps).collect()}
+    assert all(len(b.taken) == b.size for b in found.values())
     return [(b.meets, b.key1, b.key2, b.key3, b.size) for b in (found[f"s{i}"] for i in range(len(lists)))], [found[f"s{i}"] for i in range(len(lists))]
 
 
@@ -65,14 +66,14 @@ def test_search_keeps_rules_and_ties(spark):
             if want is None or rank < want[0]:
                 want = rank, picks
         assert key == (not want[0][0], *want[0][1:])
-        assert [1 - int(x) for x in np.unpackbits(np.frombuffer(bytes(b.tie), np.uint8), count=len(rows))] == list(want[1])
+        assert b.taken == [i for i, k in enumerate(want[1]) if k]
 
 
 def test_equal_projects_do_not_multiply(spark):
     """Forty equal projects, nine of which fit: C(40, 9) subsets tie, the first nine win."""
     got, best = search_key(spark, [([(10, 10, -67, [], 0)] * 40, 90, 10), ([(10, 10, 5, [], 0)] * 40, 90, 1000)])
     assert got == [(True, -603, 90, -90, 9), (False, -90, 45, 90, 9)]
-    assert [np.unpackbits(np.frombuffer(bytes(b.tie), np.uint8), count=40).tolist() for b in best] == [[0] * 9 + [1] * 31] * 2
+    assert [b.taken for b in best] == [list(range(9))] * 2
 
 
 def test_portfolio_without_a_limit_on_projects(spark):
@@ -89,3 +90,33 @@ def test_portfolio_without_a_limit_on_projects(spark):
     assert want[0] and (round(got["big"]["npv_cost_10k_cny"] * 10000), round(got["big"]["capex_10k_cny"] * 10000), round(-got["big"]["annual_abatement_tco2"] * 10000), got["big"]["selected"]) == want[1:]
     assert chosen.count() == got["big"]["selected"] == len(got["big"]["project_ids"])
     assert got["bad"]["project_ids"] == [] and got["neg"]["status"] == "negative_budget_or_target" and got["none"]["meets_target"]
+
+
+def test_board_portfolio(spark):
+    """The interactive variant against its listing in the order of masks, small and beyond listing; names, lifetimes, negative budgets."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for k, n in enumerate((6, 9, 14)):
+        mine = [(f"b{k}", i, f"P{i}", f"n{i}", float(rnd.randint(0, 6)), float(rnd.randint(0, 6)), float(rnd.randint(0, 3)), rnd.choice([1, 5])) for i in range(n)]
+        rows += mine
+        budget, target = 14.0, float(rnd.randint(5, 30))
+        best = None
+        for mask in range(1 << n):
+            c = [r for i, r in enumerate(mine) if mask >> i & 1]
+            capex, abate = sum(r[4] for r in c), sum(r[5] for r in c)
+            npv = round(sum(round(r[4] - r[6] * (1 - 1.05 ** -r[7]) / 0.05, 4) for r in c), 4)
+            if capex <= budget:
+                key = (0, npv, capex, -abate) if abate >= target else (1, -abate, npv, capex)
+                if best is None or key < best[0]:
+                    best = key, [r[2] for r in c]
+        want[f"b{k}"] = (budget, target, best)
+    rows += [("neg", 0, "A", "a", 1.0, 1.0, 1.0, 5), ("odd", 0, "A", "", 0.0, 9.0, 9.0, 5), ("odd", 1, "B", "b", 0.0, 9.0, 9.0, 0), ("odd", 2, "C", "c", 0.0, 2.0, 9.0, 5)]
+    projects = spark.createDataFrame(rows, "s string, place int, project_id string, name string, capex_10k_cny double, annual_abatement_tco2 double, annual_saving_10k_cny double, lifetime_years int")
+    projects = projects.withColumn("annual_opex_10k_cny", F.lit(0.0))
+    settings = spark.createDataFrame([(s, b, t, None) for s, (b, t, _) in want.items()] + [("neg", -1.0, 0.0, None), ("odd", 5.0, 0.0, None)], "s string, budget_10k_cny double, annual_target_tco2 double, discount_rate double")
+    result, chosen = P.board_portfolio(projects, settings, "s")
+    got = {r.s: r for r in result.collect()}
+    for s, (_, target, (key, ids)) in want.items():
+        assert got[s].meets_target == (key[0] == 0) and sorted(got[s].project_ids) == sorted(ids), s
+    assert got["neg"].project_ids == [] and not got["neg"].meets_target and got["odd"].project_ids == ["C"]
+    assert chosen.filter("s = 'odd'").count() == 1
