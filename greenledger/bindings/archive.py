@@ -60,6 +60,16 @@ def merge_stats(spark, d):
     return A.merge_stats(old, new, F.lit(NOW))
 
 
+NEWEST = 700
+
+
+@query("archive_newest", f"WITH {SQL_MERGE} SELECT canonical_url, published_date, first_seen, version_count FROM m ORDER BY published_date DESC, first_seen DESC, canonical_url LIMIT {NEWEST}")
+def archive_newest(spark, d):
+    """The archive under its cap on records."""
+    old, new = snapshots(spark, d)
+    return A.merge(old, new, F.lit(NOW), max_records=NEWEST).select("canonical_url", "published_date", "first_seen", "version_count")
+
+
 @query("seed_overlay", f"""WITH {SQL_MERGE} SELECT canonical_url, content_hash, version_count, CASE WHEN o_orderstatus = 'P' AND NOT is_changed THEN published_date ELSE last_seen END AS last_seen FROM m""")
 def seed_overlay(spark, d):
     old, new = snapshots(spark, d)
@@ -92,6 +102,17 @@ def archive_manifest(spark, d):
     return A.manifest(A.keyed(doc_records(spark, d)))
 
 
+_remainders = [f"list_reduce(list(CAST('0x' || substr(h, {1 + 7 * k}, 7) AS BIGINT) ORDER BY published_date DESC, url), lambda acc, x: (acc * {b} + x) % {p})" for k, (b, p) in enumerate(zip(A.BASES, A.PRIMES))]
+
+
+@query("archive_ordered_digest", f"""WITH {SQL_DOCS}, p AS (SELECT url, published_date, sha256(url || '|' || sha256(title || '|' || summary || '|' || url)) AS h FROM docs)
+SELECT count(*) AS "rows", sha256(count(*) || '|' || {" || '|' || ".join(_remainders)}) AS ordered_digest FROM p""")
+def archive_ordered_digest(spark, d):
+    """The digest of the archive in its order: date downwards, then URL."""
+    rows = A.keyed(doc_records(spark, d)).select("canonical_url", "content_hash", "published_date")
+    return A.ordered_digest(rows, [F.desc("published_date"), F.asc("canonical_url")])
+
+
 @query("manifest_counts", """SELECT 'topic' AS kind, lang AS name, count(*) AS value FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source""")
 def manifest_counts(spark, d):
     return A.manifest_counts(table(spark, d, "documents").select(F.col("lang").alias("topic"), F.col("source").alias("publisher")))
@@ -130,6 +151,26 @@ def source_health_state(spark, d):
     return _state(spark, d).select("source_id", "status", F.col("consecutive_failures").cast("long").alias("consecutive_failures"), spell("last_attempt"), spell("last_success"), "attempts")
 
 
+@query("source_health_detail", f"""WITH {SQL_HEALTH}, b AS (SELECT user_id AS source_id, event_id, props, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
+SELECT source_id, status, CAST(trunc(value) AS BIGINT) AS last_record_count, CASE WHEN status = 'healthy' THEN '' ELSE props END AS last_error, 'https://s.example/' || source_id AS start_url, 'Source ' || source_id AS source_name
+FROM state JOIN b USING (source_id) WHERE back = 1""")
+def source_health_detail(spark, d):
+    """What the last attempt of each source left: records, error, start address."""
+    e = table(spark, d, "events")
+    about = e.select("event_id", F.col("value").cast("long").alias("records"), F.when(F.col("event_type") == "purchase", "").otherwise(F.col("props")).alias("error"),
+                     F.concat(F.lit("https://s.example/"), F.col("user_id").cast("string")).alias("start_url"), F.concat(F.lit("Source "), F.col("user_id").cast("string")).alias("source_name"))
+    state = H.health_state(attempts(spark, d).join(about, "event_id"), "source_id", "ts", "ok", "event_id")
+    return state.select("source_id", "status", "last_record_count", "last_error", "start_url", "source_name")
+
+
+@query("health_rows", f"WITH {SQL_HEALTH} SELECT coalesce(status, '') AS status, c_name AS source_name, coalesce(consecutive_failures, 0) AS consecutive_failures FROM customer LEFT JOIN state ON source_id = c_custkey ORDER BY 1, 2")
+def health_rows(spark, d):
+    """The table of sources by status and name."""
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source_name"))
+    rows = H.health_rows(names.join(_state(spark, d), "source_id", "left"))
+    return rows.select(F.coalesce("status", F.lit("")).alias("status"), "source_name", F.coalesce("consecutive_failures", F.lit(0)).cast("long").alias("consecutive_failures"))
+
+
 @query("source_due", f"""WITH {SQL_HEALTH} SELECT c_custkey AS source_id, coalesce(status, 'none') AS status, NOT (coalesce(status, '') = 'quarantined' AND date_diff('day', CAST(last_attempt AS DATE), DATE '2024-02-05') < 7) AS due
 FROM customer LEFT JOIN state ON source_id = c_custkey WHERE c_mktsegment <> 'HOUSEHOLD'""")
 def source_due(spark, d):

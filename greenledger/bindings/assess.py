@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from greenledger import rules
-from greenledger.bindings.registry import any_of, case_first, q, query, table
+from greenledger.bindings.registry import any_of, case_first, in_list, q, query, table
 from greenledger.operators import assess as A, measures as M, portfolio as P
 from greenledger.plans import assessment as PL
 
@@ -78,7 +78,20 @@ def indicator_gaps(spark, d):
     return A.indicator_gaps(sites(spark, d), KEY).select(KEY, "ord", "metric", "current", "target", "gap", "status")
 
 
-@query("board_gaps")
+_board = [(rules.BOARD_GUIDE_METRICS[0], "n * 4.0"), *zip(rules.BOARD_GUIDE_METRICS[1:], ("CASE WHEN n < 20 THEN n * 5.0 END", "n * 3.0", "85.0"))]
+
+
+def _board_row(ord_: int, metric: str, value: str, goal: str, gap: str) -> str:
+    return f"""SELECT s_suppkey, {ord_} AS ord, {q(metric)} AS metric, round({value}, 6)::DOUBLE AS current, {goal}::DOUBLE AS target, round(CASE WHEN {value} IS NOT NULL AND {goal} IS NOT NULL THEN greatest(0.0, {gap}) END, 6)::DOUBLE AS gap,
+  CASE WHEN {value} IS NULL THEN '缺数据' WHEN {goal} IS NULL THEN '需确认适用阈值' WHEN greatest(0.0, {gap}) <= 1e-12 THEN '达到' ELSE '未达到' END AS status FROM bs"""
+
+
+SQL_BOARD_GAPS = f"""bs AS (SELECT *, (s1 + s2) / energy AS i, CASE WHEN energy >= 200000 AND energy < 1000000 THEN 0.2::DOUBLE WHEN energy >= 1000000 THEN 0.3::DOUBLE END AS goal FROM sites WHERE boundary AND n <> 9 AND energy > 0),
+bgaps AS ({_board_row(0, rules.BOARD_CORE_METRIC, 'i', 'goal', 'i - goal')} UNION ALL {' UNION ALL '.join(_board_row(k, m, f"CAST({v} AS DOUBLE)", str(g), f"{g} - CAST({v} AS DOUBLE)") for k, ((_, m, g), v) in zip((1, 3, 4, 5), _board))}
+UNION ALL SELECT s_suppkey, 2, {q(rules.BOARD_PRODUCT_METRIC)}, NULL, NULL, NULL, CASE WHEN n > 12 THEN '达到' WHEN n > 6 THEN '未达到' ELSE '缺数据' END FROM bs)"""
+
+
+@query("board_gaps", f"WITH {SQL_SITES}, {SQL_BOARD_GAPS} SELECT s_suppkey, ord, metric, current, target, gap, status FROM bgaps")
 def board_gaps(spark, d):
     return A.board_gaps(sites(spark, d), KEY)
 
@@ -165,8 +178,7 @@ _points = "CASE metric " + " ".join(
     f"WHEN {q(g)} THEN CASE WHEN {any_of('prim', t)} THEN 3 ELSE 0 END + CASE WHEN {any_of('calc', t)} THEN 2 ELSE 0 END + CASE WHEN {any_of('note', t)} THEN 1 ELSE 0 END" for g, t in rules.GAP_TERMS.items()) + " END"
 
 
-@query("measure_recommend", f"""WITH {SQL_SITES}, {SQL_GAPS}, {SQL_MEASURES},
-act2 AS (SELECT s_suppkey, ord, metric FROM gaps WHERE status IN ('未达到', '缺数据', '未完成判断', '待确认')),
+SQL_RECOMMEND = f"""act2 AS (SELECT s_suppkey, ord, metric FROM gaps WHERE status IN ('未达到', '缺数据', '未完成判断', '待确认')),
 active AS (SELECT s_suppkey, metric, row_number() OVER (PARTITION BY s_suppkey ORDER BY ord) AS spot FROM act2
   UNION ALL SELECT s_suppkey, m.metric, m.spot FROM sites, (VALUES ({q(rules.FALLBACK_METRICS[0])}, 1), ({q(rules.FALLBACK_METRICS[1])}, 2)) m(metric, spot) WHERE s_suppkey NOT IN (SELECT s_suppkey FROM act2)),
 names AS (SELECT DISTINCT metric FROM active), pts AS (SELECT tech_id, metric, {_points} AS points FROM mc CROSS JOIN names),
@@ -174,14 +186,28 @@ hit AS (SELECT s_suppkey, tech_id, metric, points, row_number() OVER (PARTITION
 agg AS (SELECT s_suppkey, tech_id, sum(points) + 2 * count(*) AS base, string_agg(metric, '、' ORDER BY r) AS matched_gaps FROM hit GROUP BY 1, 2),
 sc AS (SELECT s_suppkey, tech_id, tier, matched_gaps, CAST(base + CASE WHEN contains(applicable, '全部') OR contains(applicable, {_ind}) THEN 3 ELSE 0 END + CASE WHEN tier = '{rules.BASIC}' THEN 4 ELSE 0 END
   - CASE WHEN tier = '{rules.CONDITIONAL}' AND NOT green AND {any_of('alltext', rules.GREEN_POWER_TERMS)} THEN 3 ELSE 0 END AS INTEGER) AS score, {case_first('alltext', rules.OWNER_TERMS, rules.DEFAULT_OWNER)} AS stakeholders
-  FROM agg JOIN mc USING (tech_id) JOIN sites USING (s_suppkey))
-SELECT s_suppkey, tech_id, tier, matched_gaps, score, stakeholders, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, CASE tier WHEN '{rules.BASIC}' THEN 0 WHEN '{rules.CONDITIONAL}' THEN 1 ELSE 2 END, tech_id) AS rank FROM sc QUALIFY rank <= 12""")
+  FROM agg JOIN mc USING (tech_id) JOIN sites USING (s_suppkey)),
+recommended AS (SELECT s_suppkey, tech_id, tier, matched_gaps, score, stakeholders, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, CASE tier WHEN '{rules.BASIC}' THEN 0 WHEN '{rules.CONDITIONAL}' THEN 1 ELSE 2 END, tech_id) AS rank FROM sc QUALIFY rank <= 12)"""
+
+
+@query("measure_recommend", f"WITH {SQL_SITES}, {SQL_GAPS}, {SQL_MEASURES}, {SQL_RECOMMEND} SELECT * FROM recommended")
 def measure_recommend(spark, d):
     who = sites(spark, d)
     return M.recommend(measures(spark, d), who, A.indicator_gaps(who, KEY), KEY).select(KEY, "tech_id", "tier", "matched_gaps", "score", "stakeholders", "rank")
 
 
-@query("measure_advice")
+_at = ", ".join(f"({i}, {q(m)}, {q(why)})" for i, (m, _, why) in enumerate(rules.BOARD_GAP_MAP))
+_touches = "CASE i " + " ".join(f"WHEN {i} THEN {any_of('t', terms)}" for i, (_, terms, _) in enumerate(rules.BOARD_GAP_MAP)) + " END"
+SQL_ADVICE = f"""gm AS (SELECT * FROM (VALUES {_at}) g(i, metric, why)), bm AS (SELECT tech_id, measure AS name, board_class AS type, measure || ' ' || direction || ' ' || object AS t FROM mc),
+fl AS (SELECT tech_id, name, type, i, metric, why FROM bm CROSS JOIN gm WHERE {_touches}),
+un AS (SELECT s_suppkey, i FROM bgaps JOIN gm USING (metric) WHERE status <> '达到'),
+ah AS (SELECT s_suppkey, tech_id, name, type, string_agg(metric, '、' ORDER BY i) AS metrics, string_agg(why, '；' ORDER BY i) AS reasons FROM un JOIN fl USING (i) GROUP BY ALL),
+ab AS (SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE type WHEN '{rules.BASIC}' THEN 0 WHEN '{rules.CONDITIONAL}' THEN 1 ELSE 2 END, name, tech_id) AS INTEGER) AS rank, tech_id, name, type, metrics, reasons FROM ah QUALIFY rank <= 12),
+fb AS (SELECT CAST(row_number() OVER (ORDER BY name, tech_id) AS INTEGER) AS rank, tech_id, name, type, {q(rules.BOARD_FALLBACK[1])} AS metrics, {q(rules.BOARD_FALLBACK[0])} AS reasons FROM (SELECT * FROM bm WHERE type = '{rules.BASIC}' ORDER BY tech_id LIMIT 9)),
+advice AS (SELECT * FROM ab UNION ALL SELECT s_suppkey, fb.* FROM supplier CROSS JOIN fb WHERE s_suppkey NOT IN (SELECT s_suppkey FROM ab))"""
+
+
+@query("measure_advice", f"WITH {SQL_SITES}, {SQL_MEASURES}, {SQL_BOARD_GAPS}, {SQL_ADVICE} SELECT s_suppkey, rank, tech_id, name, type, metrics, reasons FROM advice")
 def measure_advice(spark, d):
     who = sites(spark, d)
     return M.advise(M.catalog(measures(spark, d)), A.board_gaps(who, KEY), who, KEY)
@@ -302,26 +328,133 @@ def site_projects(spark, d):
     return j.groupBy(F.col("l_suppkey").alias(KEY), F.col("p_type").alias("project_id")).agg((total("l_extendedprice") / 1000).alias("capex_10k_cny"), total("l_quantity").alias("annual_abatement_tco2"), (total("l_quantity") / 10).alias("annual_saving_10k_cny"), F.first(F.when(F.col("p_type") == "PROMO", "可研参数")).alias("evidence_level"))
 
 
+SQL_CHOICE = f"""pr AS (SELECT l_suppkey AS s_suppkey, p_type, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) / 1000 AS capex, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS abate FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+it AS (SELECT s_suppkey, p_type, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_type) - 1 AS spot, CAST(round(capex * 10000) AS BIGINT) AS c, CAST(round(abate * 10000) AS BIGINT) AS a,
+  CAST(round(round(capex - abate / 10 * ((1 - power(1.05::DOUBLE, -10)) / 0.05::DOUBLE), 4) * 10000) AS BIGINT) AS v FROM pr),
+mk AS (SELECT s_suppkey, unnest(range(0, CAST(1 AS BIGINT) << count(*))) AS mask FROM it GROUP BY s_suppkey),
+tt AS (SELECT mk.s_suppkey, mk.mask, coalesce(sum(c), 0) AS c, coalesce(sum(a), 0) AS a, coalesce(sum(v), 0) AS v, count(spot) AS k, count(*) FILTER (p_type = 'PROMO') AS demo, count(*) FILTER (p_type = 'SMALL') AS pending FROM mk LEFT JOIN it ON it.s_suppkey = mk.s_suppkey AND (mask >> spot) & 1 = 1 GROUP BY 1, 2),
+ch AS (SELECT tt.*, a >= n * 100000 AS meets, round(greatest(0.0, n * 10.0 - a / 10000), 4) AS short FROM tt JOIN sites USING (s_suppkey) WHERE c <= 400000000),
+best AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY meets DESC, CASE WHEN meets THEN v ELSE -a END, CASE WHEN meets THEN c ELSE v END, CASE WHEN meets THEN -a ELSE c END, k) = 1),
+bbest AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY meets DESC, CASE WHEN meets THEN v ELSE -a END, CASE WHEN meets THEN c ELSE v END, CASE WHEN meets THEN -a ELSE c END, mask) = 1)"""
+
+
+def _sql_risk(when: str, spec: tuple, number: str = "''", level: str | None = None) -> str:
+    dimension, fixed, finding, action = spec
+    return f"CASE WHEN {when} THEN struct_pack(dimension := {q(dimension)}, level := {level or q(fixed)}, finding := replace({q(finding)}, '%s', {number}), action := {q(action)}) END"
+
+
+_r = A.RISK_TEXT
+_short = "format('{:,}', CAST(round_even(short, 0) AS BIGINT))"
+_risks = ", ".join([
+    _sql_risk("demo", _r["demo"]), _sql_risk("n_missing > 0", _r["missing"], "CAST(n_missing AS VARCHAR)"), _sql_risk("n_missing = 0", _r["complete"]), _sql_risk("NOT green", _r["green_open"]), _sql_risk("green", _r["green_ok"]),
+    _sql_risk("weak > 0", _r["weak"], "CAST(weak AS VARCHAR)"), _sql_risk("NOT meets", _r["target"], _short), _sql_risk("open_gaps IS NOT NULL", _r["gaps"], "CAST(open_gaps AS VARCHAR)", "CASE WHEN open_gaps > 0 THEN '中' ELSE '低' END")])
+_a, _c = PL.ANSWERS, rules.CONCLUSIONS
+SQL_ASSESSED = f"""wk AS (SELECT s_suppkey, count(*) FILTER (p_type <> 'PROMO') AS weak FROM pr GROUP BY 1),
+og AS (SELECT s_suppkey, count(*) FILTER (status IN {in_list(rules.RISK_STATUSES)}) AS open_gaps FROM gaps GROUP BY 1),
+rk AS (SELECT inv.*, n = 2 AS demo, weak, meets, short, open_gaps FROM inv LEFT JOIN wk USING (s_suppkey) LEFT JOIN best USING (s_suppkey) LEFT JOIN og USING (s_suppkey)),
+rl AS (SELECT *, list_filter([{_risks}], lambda x: x IS NOT NULL) AS l FROM rk),
+lv AS (SELECT *, len(list_filter(l, lambda x: x.level = '高')) AS high, len(list_filter(l, lambda x: x.level = '中')) AS medium FROM rl),
+assessed AS (SELECT s_suppkey, CASE WHEN demo THEN 'demonstration' WHEN n_missing = 0 THEN 'formal' ELSE 'data_completion' END AS mode, n_missing = 0 AS ready, CAST(round_even(100.0 * (8 - n_missing) / 8, 0) AS INTEGER) AS readiness_pct,
+  CASE WHEN status = 'ok' THEN target END AS core_target, CASE WHEN status = 'ok' AND target IS NOT NULL THEN round(greatest(0.0, net - target * energy), 4) ELSE 0.0 END::DOUBLE AS annual_reduction_needed_tco2, meets AS meets_target, short::DOUBLE AS target_gap_tco2,
+  CASE WHEN demo THEN {q(_a['data_demo'])} WHEN n_missing = 0 THEN {q(_a['data_ready'])} ELSE {q(_a['data_open'])} END AS answer_data, CASE WHEN n_missing = 0 THEN {q(_a['state_ready'])} ELSE {q(_a['state_open'])} END AS answer_state,
+  CASE WHEN n_missing = 0 THEN {q(_a['gap_ready'])} ELSE {q(_a['gap_open'])} END AS answer_gap, CASE WHEN meets IS NULL THEN {q(_a['cost_none'])} WHEN meets THEN {q(_a['cost_met'])} ELSE {q(_a['cost_missed'])} END AS answer_cost,
+  CAST(high AS INTEGER) AS high_risks, CAST(medium AS INTEGER) AS medium_risks, CASE WHEN demo THEN {q(_c['demo'])} WHEN n_missing > 0 THEN {q(_c['not_ready'])} WHEN high > 0 THEN {q(_c['high'])} WHEN medium > 0 THEN {q(_c['medium'])} ELSE {q(_c['clear'])} END AS conclusion FROM lv)"""
+SQL_ALL = f"WITH {SQL_SITES}, {SQL_GAPS}, {SQL_CHOICE}, {SQL_ASSESSED}"
+
+
 def _assessed(spark, d):
     return PL.assess_sites(sites(spark, d), site_projects(spark, d), measures(spark, d), KEY)
 
 
-@query("assessment")
+@query("assessment", f"{SQL_ALL} SELECT * FROM assessed")
 def assessment(spark, d):
     return _assessed(spark, d).sites.select(KEY, "mode", "ready", "readiness_pct", "core_target", "annual_reduction_needed_tco2", "meets_target", "target_gap_tco2", "answer_data", "answer_state", "answer_gap", "answer_cost", "high_risks", "medium_risks", "conclusion")
 
 
-@query("assessment_risks")
+@query("assessment_risks", f"{SQL_ALL} SELECT s_suppkey, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord, unnest(l).dimension AS dimension, unnest(l).level AS level, unnest(l).finding AS finding, unnest(l).action AS action FROM lv")
 def assessment_risks(spark, d):
     return _assessed(spark, d).risks
 
 
-@query("assessment_conclusion")
+@query("assessment_conclusion", f"{SQL_ALL} SELECT mode, conclusion, count(*) AS sites FROM assessed GROUP BY 1, 2")
 def assessment_conclusion(spark, d):
     return _assessed(spark, d).sites.groupBy("mode", "conclusion").agg(F.count("*").alias("sites"))
 
 
-@query("assessment_measure_counts")
+@query("assessment_measure_counts", f"WITH {SQL_SITES}, {SQL_GAPS}, {SQL_MEASURES}, {SQL_RECOMMEND} SELECT s_suppkey, tier AS label, count(*) AS value FROM recommended GROUP BY 1, 2")
 def assessment_measure_counts(spark, d):
     found = _assessed(spark, d)
     return PL.measure_counts(found.recommended, found.screened, KEY)
+
+
+# --- the interactive assessment -------------------------------------------------
+
+_b = A.BOARD_RISK_TEXT
+SQL_BOARD = f"""bo AS (SELECT s_suppkey, count(*) FILTER (status IN {in_list(rules.BOARD_RISK_STATUSES)}) AS open_gaps FROM bgaps GROUP BY 1),
+bj AS (SELECT sites.*, meets, short, k, demo, pending, open_gaps FROM sites JOIN bo USING (s_suppkey) JOIN bbest USING (s_suppkey) WHERE n_missing = 0),
+board AS (SELECT s_suppkey, CASE WHEN demo > 0 THEN 'demonstration' ELSE 'formal' END AS mode, meets AS meets_target, short::DOUBLE AS target_gap_tco2, CAST(k AS INTEGER) AS selected, demo AS demo_projects, pending AS pending_projects, open_gaps,
+  CASE WHEN demo > 0 THEN {q(_c['demo'])} WHEN NOT meets THEN {q(_c['high'])} WHEN pending > 0 OR open_gaps > 0 THEN {q(rules.BOARD_MEDIUM_CONCLUSION)} ELSE {q(_c['clear'])} END AS conclusion FROM bj
+  UNION ALL SELECT s_suppkey, 'data_completion', NULL, NULL, NULL, NULL, NULL, NULL, {q(_c['not_ready'])} FROM sites WHERE n_missing > 0)"""
+SQL_BOARD_ALL = f"WITH {SQL_SITES}, {SQL_BOARD_GAPS}, {SQL_CHOICE}, {SQL_BOARD}"
+
+
+def _board_assessed(spark, d):
+    """Promotional parts stand for demonstration parameters, small ones for values to be verified."""
+    evidence = F.when(F.col("project_id") == "PROMO", "演示参数").when(F.col("project_id") == "SMALL", "待核实").otherwise("园区可研")
+    rows = site_projects(spark, d).withColumn("evidence_level", evidence).withColumn("name", F.col("project_id"))
+    return PL.assess_board(sites(spark, d), rows, measures(spark, d), KEY)
+
+
+@query("board_assessment", f"{SQL_BOARD_ALL} SELECT * FROM board")
+def board_assessment(spark, d):
+    return _board_assessed(spark, d).sites.select(KEY, "mode", "meets_target", "target_gap_tco2", "selected", "demo_projects", "pending_projects", "open_gaps", "conclusion")
+
+
+@query("board_owners", f"""{SQL_BOARD_ALL}, sel AS (SELECT it.s_suppkey, it.c FROM bbest JOIN it ON it.s_suppkey = bbest.s_suppkey AND (mask >> spot) & 1 = 1 JOIN pr ON pr.s_suppkey = it.s_suppkey AND pr.p_type = it.p_type JOIN bj ON bj.s_suppkey = it.s_suppkey)
+SELECT s_suppkey, {q(rules.BOARD_DEFAULT_OWNERS[0])} AS stakeholder, count(*) AS project_count, round(sum(c / 10000.0), 2)::DOUBLE AS capex FROM sel GROUP BY 1""")
+def board_owners(spark, d):
+    """Owners follow from the category; these projects have none of the listed ones."""
+    return _board_assessed(spark, d).stakeholders.select(KEY, "stakeholder", "project_count", F.round("capex_10k_cny", 2).alias("capex"))
+
+
+OWNED = {"PROMO": "绿色供能", "SMALL": "资源循环", "LARGE": "管理基础"}
+
+
+@query("board_owner_shares", f"""WITH {SQL_PROJECTS}, o AS (SELECT *, CASE p_type {' '.join(f"WHEN {q(t)} THEN [{', '.join(q(x) for x in rules.BOARD_OWNERS[c])}]" for t, c in OWNED.items())} ELSE [{', '.join(q(x) for x in rules.BOARD_DEFAULT_OWNERS)}] END AS ow FROM pm JOIN part ON project_id = CAST(p_partkey AS VARCHAR)),
+x AS (SELECT brand, unnest(ow) AS stakeholder, len(ow) AS k, capex, abate FROM o) SELECT brand, stakeholder, count(*) AS project_count, round(sum(capex / k), 4) AS capex_10k_cny, round(sum(abate / k), 4) AS annual_abatement_tco2 FROM x GROUP BY 1, 2""")
+def board_owner_shares(spark, d):
+    category = F.col("category")
+    for kind, name in OWNED.items():
+        category = F.when(F.col("category") == kind, name).otherwise(category)
+    return P.board_stakeholders(_priced(spark, d).withColumn("category", category), "brand").select("brand", "stakeholder", "project_count", "capex_10k_cny", "annual_abatement_tco2")
+
+
+@query("sensitivity_exact", f"""WITH {SQL_PROJECTS}, c(ord, name_, fc, fs, fo, fa) AS (VALUES {_cases}), t AS (SELECT brand, ord, name_, sum(capex * fc) AS c, sum(abate * fa) AS a, sum(saving * fs - opex * fo) AS n, sum(capex * fc - (saving * fs - opex * fo) * factor) AS v FROM pm CROSS JOIN c GROUP BY ALL)
+SELECT brand, ord, name_ AS "case", round(c, 4) AS capex_10k_cny, round(n, 4) AS annual_net_benefit_10k_cny, round(v, 4) AS npv_cost_10k_cny FROM t""")
+def sensitivity_exact(spark, d):
+    """Saving and upkeep scaled on their own, as the board does."""
+    return P.sensitivity(_priced(spark, d), "brand", F.lit(0.05), exact=True).select("brand", "ord", "case", "capex_10k_cny", "annual_net_benefit_10k_cny", "npv_cost_10k_cny")
+
+
+@query("select_p0", f"WITH {SQL_FIELDS} SELECT 'M' || lpad(CAST(m AS VARCHAR), 2, '0') AS field_id FROM f WHERE w = 3")
+def select_p0(spark, d):
+    return A.select_priority(_fields(spark, d))
+
+
+BRAND_BUDGET = 60
+_steps = f"range(0, {BRAND_BUDGET + 1})"
+
+
+@query("portfolio_by_brand", f"""WITH RECURSIVE it AS (SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, CAST(floor(p_retailprice / 100) AS INTEGER) AS w,
+  CAST(round(round(floor(p_retailprice / 100) - (p_size - 20.0) * ((1 - power(1.05::DOUBLE, -10)) / 0.05::DOUBLE), 4) * 10000) AS BIGINT) AS v FROM part),
+dp(brand, i, st) AS (SELECT brand, 0::BIGINT, list_transform({_steps}, lambda c: 0::BIGINT) FROM (SELECT DISTINCT brand FROM it) UNION ALL
+  SELECT dp.brand, dp.i + 1, list_transform({_steps}, lambda c: CASE WHEN c >= w THEN least(st[c + 1], st[c + 1 - w] + v) ELSE st[c + 1] END) FROM dp JOIN it ON it.brand = dp.brand AND it.i = dp.i + 1)
+SELECT brand, true AS meets_target, st[{BRAND_BUDGET + 1}] / 10000 AS npv_cost_10k_cny FROM dp QUALIFY i = max(i) OVER (PARTITION BY brand)""")
+def portfolio_by_brand(spark, d):
+    """All parts of a brand as candidates of one scenario, far more than can be listed; the twin fills a table of budgets."""
+    p = table(spark, d, "part")
+    rows = p.select(
+        F.col("p_brand").alias("brand"), F.col("p_partkey").cast("string").alias("project_id"), F.col("p_name").alias("name"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("capex_10k_cny"), (F.col("p_size") * 1.0).alias("annual_abatement_tco2"),
+        (F.col("p_size") * 1.0).alias("annual_saving_10k_cny"), F.lit(20.0).alias("annual_opex_10k_cny"), F.lit(10).alias("lifetime_years"), F.lit(2027).alias("start_year"), F.lit("").alias("mutex_group"), F.array().cast("array<string>").alias("prerequisites"))
+    settings = p.select(F.col("p_brand").alias("brand")).distinct().select("brand", F.lit(float(BRAND_BUDGET)).alias("budget_10k_cny"), F.lit(0.0).alias("annual_target_tco2"), F.lit(0.05).alias("discount_rate"))
+    return P.select_portfolio(rows, settings, "brand")[0].select("brand", "meets_target", "npv_cost_10k_cny")

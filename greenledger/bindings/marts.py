@@ -8,7 +8,7 @@ from greenledger import rules
 from greenledger.bindings.registry import any_of, in_list, q, query, table
 from greenledger.bindings.text import CORPUS, SQL_CURATED, SQL_DOCS, THEMES, doc_records
 from greenledger.functions import geo, scoring as S, text as T
-from greenledger.operators import digest as G, marts as M, quality as Q
+from greenledger.operators import assess as A, cells, digest as G, marts as M, quality as Q
 from greenledger.session import cut
 
 
@@ -145,9 +145,26 @@ def dashboard_counts(spark, d):
                           "technology_measures": table(spark, d, "part"), "verified_public_facts": table(spark, d, "labels")})
 
 
-@query("mart_checks", "SELECT 'parks' AS \"check\", CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status FROM customer UNION ALL SELECT 'updates', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END FROM documents WHERE lang = 'xx'")
+_plan = [(block, i, *row) for block, rows in rules.HEADLINES.items() for i, row in enumerate(rows)]
+_sql_plan = ", ".join(f"({q(b)}, {i}, {q(label)}, {q(name)}, {q(other) if other else 'NULL'})" for b, i, label, name, other in _plan)
+
+
+@query("headline_numbers", f"""WITH {SQL_PARKS}, {SQL_CURATED}, held AS (SELECT 'domestic_parks' AS name, count(*) AS value FROM parks WHERE scope = '国内园区' UNION ALL SELECT 'international_cases', count(*) FROM parks WHERE scope <> '国内园区'
+UNION ALL SELECT 'required_fields', count(DISTINCT month(o_orderdate)) FROM orders UNION ALL SELECT 'technology_measures', count(*) FROM part UNION ALL SELECT 'formal_accounting_ready', count(*) FROM supplier WHERE s_acctbal > 500
+UNION ALL SELECT 'archive_records', 0), spare AS (SELECT 'included' AS name, count(*) FILTER (relevance_status = 'include') AS value FROM curated UNION ALL SELECT 'excluded_low_relevance', count(*) FILTER (relevance_status <> 'include') FROM curated)
+SELECT block, p.ord, label, coalesce(nullif(held.value, 0), nullif(spare.value, 0), 0) AS value FROM (VALUES {_sql_plan}) p(block, ord, label, name, other) LEFT JOIN held ON held.name = p.name LEFT JOIN spare ON spare.name = p.other""")
+def headline_numbers(spark, d):
+    """Headline numbers; the archive's count is absent here, so the strip falls back to the curation statistics."""
+    p, c = parks(spark, d), cut(S.curate(doc_records(spark, d), CORPUS).select("relevance_status"))
+    domestic, kept = F.col("scope") == rules.DOMESTIC, F.col("relevance_status") == "include"
+    months = table(spark, d, "orders").select(F.month("o_orderdate")).distinct()
+    counts = M.count_block({"domestic_parks": p.filter(domestic), "international_cases": p.filter(~domestic), "required_fields": months, "technology_measures": table(spark, d, "part"), "formal_accounting_ready": table(spark, d, "supplier").filter("s_acctbal > 500")})
+    return M.headline(counts, M.count_block({"included": c.filter(kept), "excluded_low_relevance": c.filter(~kept)}))
+
+
+@query("mart_checks", "SELECT 'parks' AS \"check\", CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status FROM customer UNION ALL SELECT 'updates', CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END FROM documents")
 def mart_checks(spark, d):
-    return Q.mart_checks(table(spark, d, "customer"), table(spark, d, "documents").filter(F.col("lang") == "xx"))
+    return Q.mart_checks(table(spark, d, "customer"), table(spark, d, "documents"))
 
 
 @query("facet_search", f"""WITH {SQL_PARKS}, {SQL_DOCS}, t AS (
@@ -159,6 +176,50 @@ def facet_search(spark, d):
     return M.search(rows, " BUILDING ").select("type", "date", "title", "url", "source", F.sha2("description", 256).alias("description_sha"))
 
 
+SQL_TABLE = f"""t AS (SELECT 0 AS spot, '园区' AS type, province || '/' || city AS date, name AS title, '；' || industry || '；' || boundary_type || '；' || period AS description, '公开名录资料' AS "limit", '' AS url, '园区名录' AS source FROM parks
+UNION ALL SELECT 1, '动态', published_date, title, summary, '正式判断前核对原文', url, publisher FROM docs
+UNION ALL SELECT 2, '标准', '政策标准', n_name, 'rule of ' || r_name, '按适用范围使用', 'https://rules.example/' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 3, '措施', {q(rules.SPECIAL)}, p_name, p_type || '；适用：全部；对象：待确认', '需专项核实；指南级参数', 'data/technology_guidance.csv', '减排设施指南' FROM part)"""
+
+
+def everything(spark, d):
+    """Parks, documents, nations as rules and parts as measures in one search table."""
+    c = F.col
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    standards = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        F.lit("").alias("category"), c("n_name").alias("item"), F.lit("").alias("rule_id"), F.concat(F.lit("rule of "), "r_name").alias("rule"), F.lit("").alias("nature"),
+        F.concat(F.lit("https://rules.example/"), c("n_nationkey").cast("string")).alias("source_url"), c("r_name").alias("source"))
+    given = {"direction": c("p_type"), "park": F.lit("全部"), "object": F.lit("待确认"), "constraints": F.lit("需专项核实"), "status": F.lit("指南级参数"), "type": F.lit(rules.SPECIAL), "name": c("p_name")}
+    return M.search_rows(parks(spark, d), doc_records(spark, d), standards, table(spark, d, "part").select(*[v.alias(k) for k, v in given.items()]))
+
+
+@query("search_page", f"""WITH {SQL_PARKS}, {SQL_DOCS}, {SQL_TABLE} SELECT type, date, title, url, source FROM t WHERE contains(lower(title || ' ' || description || ' ' || "limit" || ' ' || date || ' ' || source), 'al') AND type IN ('措施', '标准') AND type = '措施' ORDER BY spot, title, url, date LIMIT 25 OFFSET 25""")
+def search_page(spark, d):
+    """The second page of 25 results among the measures."""
+    return M.search_page(M.search(everything(spark, d), "AL", "措施"), 2).select("type", "date", "title", "url", "source")
+
+
+@query("search_counts", f"""WITH {SQL_PARKS}, {SQL_DOCS}, {SQL_TABLE} SELECT type, count(*) AS value FROM t WHERE contains(lower(title || ' ' || description || ' ' || "limit" || ' ' || date || ' ' || source), 'er') GROUP BY type""")
+def search_counts(spark, d):
+    """Hits by type over all four datasets."""
+    return M.search(everything(spark, d), "er").groupBy("type").agg(F.count("*").alias("value"))
+
+
+_board = ["purchase", "view"]
+
+
+@query("feed_facets", f"""SELECT 0 AS ord, {q(rules.ALL_FACET)} AS name UNION ALL SELECT DISTINCT CASE event_type WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END, event_type FROM events""")
+def feed_facets(spark, d):
+    return M.facet_values(table(spark, d, "events").select(F.lit("").alias("category"), F.col("event_type").alias("topic")), _board)
+
+
+@query("feed_category", """SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY CAST(ts AS DATE) DESC, CAST(trunc(value) AS INTEGER) DESC, event_id LIMIT 9""")
+def feed_category(spark, d):
+    """The first page of the feed under one category."""
+    e = table(spark, d, "events").withColumns({"category": F.col("event_type"), "quality": F.col("value").cast("int")})
+    return M.page(M.feed_rows(e, "click"), [F.desc(F.to_date("ts")), F.desc("quality"), F.col("event_id")], 9).select("event_id", "event_type")
+
+
 @query("feed_page", "SELECT event_id, event_type FROM events ORDER BY CAST(ts AS DATE) DESC, CAST(trunc(value) AS INTEGER) DESC, event_id LIMIT 9 OFFSET 9")
 def feed_page(spark, d):
     e = table(spark, d, "events").withColumn("quality", F.col("value").cast("int"))
@@ -184,9 +245,21 @@ def mercator_project(spark, d):
 
 @query("bbox_filter", f"""WITH {SQL_PARKS} SELECT province, bool_or(lon BETWEEN 108.8 - 12 AND 118.2 + 12 AND lat BETWEEN 19.0 - 8 AND 26.2 + 8) AS touches FROM parks GROUP BY province""")
 def bbox_filter(spark, d):
-    # A province outline is bounded by its distinct vertices, not by its parks.
-    outline = parks(spark, d).groupBy("province").agg(F.collect_set(F.struct("lon", "lat")).alias("points"))
-    return outline.select("province", geo.touches_view(F.col("points"), F.lit(108.8), F.lit(118.2), F.lit(19.0), F.lit(26.2)).alias("touches"))
+    box = [v for v in rules.MAP_VIEWS if v[0] == "广东"]
+    vertices = cells.index_vertices(parks(spark, d).select("province", "lon", "lat"))
+    return cells.features_in_views(vertices, box, "province").select("province", "touches")
+
+
+@query("map_view_world", f"""WITH {SQL_PARKS} SELECT park_id, 'international' AS marker, round(24 + (lon + 180.0) / 360.0 * 952, 4) AS x, round(20 + ({_MY.format('84.0')} - {_MY.format('lat')}) / ({_MY.format('84.0')} - {_MY.format('(-58.0)')}) * 560, 4) AS y FROM parks WHERE scope <> '国内园区'""")
+def map_view_world(spark, d):
+    return M.map_rows(parks(spark, d), "全球").select("park_id", "marker", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("map_views", f"""WITH {SQL_PARKS} SELECT v.view, province, bool_or(lon BETWEEN w - 12 AND e + 12 AND lat BETWEEN s - 8 AND n + 8) AS touches FROM parks, (VALUES {', '.join(f"({q(v[0])}, {v[1]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE)" for v in rules.MAP_VIEWS)}) v(view, w, e, s, n) GROUP BY 1, 2""")
+def map_views(spark, d):
+    """Which outlines every view of the map shows."""
+    vertices = cells.index_vertices(parks(spark, d).select("province", "lon", "lat"))
+    return cells.features_in_views(vertices, rules.MAP_VIEWS, "province").select("view", "province", "touches")
 
 
 @query("coord_audit", f"""WITH {SQL_PARKS}, c AS (SELECT park_id, lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AS in_range, coordinate_precision <> '' AS described,
@@ -220,6 +293,35 @@ def dq_conflicts(spark, d):
     return Q.conflicting_values(observations(spark, d), ["l_suppkey", "l_partkey"], "l_discount")
 
 
+@query("dq_dependencies", """WITH g AS (SELECT l_suppkey, l_partkey, count(*) AS "rows", min(l_linestatus) AS lo1, max(l_linestatus) AS hi1, min(year(l_shipdate)) AS lo2, max(year(l_shipdate)) AS hi2 FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_partkey, "rows", 'Q09' AS rule_id, 'boundary' AS "column", lo1 AS low, hi1 AS high FROM g WHERE lo1 < hi1 UNION ALL SELECT l_suppkey, l_partkey, "rows", 'Q09', 'year', CAST(lo2 AS VARCHAR), CAST(hi2 AS VARCHAR) FROM g WHERE lo2 < hi2""")
+def dq_dependencies(spark, d):
+    """Ratios whose numerator and denominator disagree on year or boundary, in one pass, with two rows that show it."""
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("year"), F.col("l_linestatus").alias("boundary"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"))
+    found = Q.dependency_violations(li, ["l_suppkey", "l_partkey"], {"year": "Q09", "boundary": "Q09"}, "row_key")
+    return found.select("l_suppkey", "l_partkey", "rows", "rule_id", "column", "low", "high")
+
+
+@query("dq_declared", """SELECT rule_id, count(*) AS violations FROM (SELECT unnest(list_filter([CASE WHEN l_quantity > 40 AND l_returnflag <> 'A' THEN 'Q06' END, CASE WHEN l_linenumber % 2 = 0 AND l_linestatus = 'O' THEN 'Q08' END,
+  CASE WHEN l_linenumber = 5 THEN 'Q10' END, CASE WHEN l_linenumber <= 2 AND l_returnflag = 'R' THEN 'Q11' END], lambda x: x IS NOT NULL)) AS rule_id FROM lineitem) GROUP BY rule_id""")
+def dq_declared(spark, d):
+    """Proxy data, misused factors, case values as parameters and core metrics on weak evidence."""
+    li, c = table(spark, d, "lineitem"), F.col
+    rows = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"), F.lit("https://x").alias("source_url"), F.lit("2020").alias("period"), F.lit("园区").alias("boundary"), F.lit("1").alias("value"), F.lit("%").alias("unit"),
+        F.when(c("l_quantity") > 40, "是").alias("proxy"), F.when(c("l_returnflag") == "A", "pre_assessment").alias("use"), F.when(c("l_linenumber") % 2 == 0, "组织").alias("factor_purpose"), F.when(c("l_linestatus") == "O", "产品").otherwise("组织").alias("used_for"),
+        F.when(c("l_linenumber") == 5, "project_case").alias("origin"), F.when(c("l_linenumber") <= 2, "true").alias("core_metric"), F.when(c("l_returnflag") == "R", "C").otherwise("B").alias("evidence_grade"))
+    return Q.summary(Q.violations(rows, "row_key", ["%"])).select("rule_id", "violations")
+
+
+@query("stale_reports", """SELECT l_orderkey AS report_id, count(DISTINCT l_partkey) AS stale_inputs, min(l_partkey) AS first_input FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND CAST(l_quantity AS INTEGER) <= p_size WHERE p_partkey IS NULL OR CAST(l_quantity AS INTEGER) <> p_size GROUP BY 1""")
+def stale_reports(spark, d):
+    """Orders as reports computed from parts; the quantity is the version used, the size the current one."""
+    used = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("input_id"), F.col("l_quantity").cast("int").alias("version"))
+    now = table(spark, d, "part").select(F.col("p_partkey").alias("input_id"), F.col("p_size").cast("int").alias("version"))
+    return Q.stale_reports(used, now)
+
+
 @query("dq_repeats", "SELECT l_orderkey, l_linenumber, count(*) AS \"rows\" FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def dq_repeats(spark, d):
     return Q.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
