@@ -62,6 +62,25 @@ def test_demonstration_golden(spark):
     assert path[-1]["remaining_emissions_tco2"] == 184000 - 52800
 
 
+def test_interactive_assessment(spark):
+    open_gate = {**DEMO, "process_tco2": "", "boundary_confirmed": "false"}
+    no_energy = {**DEMO, "energy_tce": "0"}
+    rows = projects(spark, PROJECTS).unionByName(projects(spark, PROJECTS[:2], "s1")).unionByName(projects(spark, PROJECTS[:2], "s2"))
+    found = PL.assess_board(sites(spark, DEMO, open_gate, no_energy), rows, measures(spark), "site")
+    got = {r["site"]: r for r in found.sites.collect()}
+    assert {s: r["mode"] for s, r in got.items()} == {"s0": "demonstration", "s1": "data_completion", "s2": "stopped"}
+    assert got["s0"]["meets_target"] and got["s0"]["demo_projects"] == 5 and got["s0"]["conclusion"].startswith("演示场景") and got["s2"]["conclusion"] is None
+    assert [(r["no"], r["field"]) for r in found.tasks.filter("site = 's1'").orderBy("no").collect()] == [(1, "boundary_confirmed"), (2, "process_tco2")]
+    risks = {(r["site"], r["dimension"]): r["finding"] for r in found.risks.collect()}
+    assert risks["s1", "数据与边界"] == "缺少2项正式测算前置数据" and risks["s0", "演示数据"].startswith("5个入选项目")
+    assert found.portfolio.first()["capex_10k_cny"] == 19000.0
+    path = found.path.orderBy("year").collect()
+    assert path[-1]["remaining_emissions_tco2"] == 184000 - 52800 and {r["stakeholder"] for r in found.stakeholders.collect()} >= {"园区管委会", "园区企业"}
+    exact = {r["case"]: r["annual_net_benefit_10k_cny"] for r in found.sensitivity.collect()}
+    saving, upkeep = 420 + 1180 + 760 + 1320 + 1650, 80 + 90 + 65 + 120 + 260
+    assert exact["保守情景"] == round(saving * 0.8 - upkeep * 1.1, 4)
+
+
 def test_missing_data_gives_tasks(spark):
     found = PL.assess_sites(sites(spark, {"park_name": "测试园区"}), projects(spark, PROJECTS[:1], "other"), measures(spark), "site")
     site = found.sites.first()
