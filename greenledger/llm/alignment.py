@@ -26,7 +26,7 @@ import json
 import os
 import re
 from functools import cached_property, lru_cache
-from itertools import accumulate
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -42,6 +42,8 @@ A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: How a byte-level vocabulary of this kind cuts a text before merging. Fixed value of the public format.
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SEGMENT = re.compile(r" +[^ ]*")
+SEGMENTS, LONGEST = 100_000, 40  # how many segments are kept, and of how many characters
 NOTHING = [np.zeros(0, np.uint32)] * 4
 LONG_SPACE = re.compile(r"\s{1000}")
 
@@ -93,7 +95,11 @@ class ByteLevel:
 
 
 class Pieces:
-    """B: a sentencepiece model, which puts the space before the text itself."""
+    """B: a sentencepiece model, which puts the space before the text itself.
+
+    Where no piece goes on past a space behind other letters, and the model changes no white space, a text is cut before its runs of
+    spaces and every segment encoded by itself, with the same result; segments met before are looked up.
+    """
 
     def __init__(self, body: bytes):
         import sentencepiece
@@ -103,9 +109,27 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.pieces.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        kept = [self.model.encode(t) for t in ("a", " a", "a  b ", "   ")]
+        whole = [b"".join(self.pieces[i] for i in ids) for ids in kept] == [b" a", b"  a", b" a  b ", b"    "]
+        self.apart = whole and not any(b" " in p.lstrip(b" ") for p in self.pieces)
+        self.space = [self.model.piece_to_id("▁")]  # a lone space, which the model alone would not see
+        self.apart = self.apart and self.pieces[self.space[0]] == b" "
+        self.known: dict[str, list[int]] = {" ": self.space}
 
     def encode(self, text: str) -> list[int]:
-        return self.model.encode(text)
+        if not self.apart:
+            return self.model.encode(text)
+        if len(self.known) >= SEGMENTS:
+            self.known = {" ": self.space}
+        segments = SEGMENT.findall(" " + text)
+        missing = [segment for segment in set(segments) if segment not in self.known]
+        for segment in missing:
+            self.known[segment] = self.model.encode(segment[1:])
+        out = list(chain.from_iterable(map(self.known.__getitem__, segments)))
+        for segment in missing:
+            if len(segment) > LONGEST:
+                del self.known[segment]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -117,33 +141,38 @@ def encoders(a: str, b: str) -> tuple[ByteLevel, Pieces]:
 
 # --- one text --------------------------------------------------------------------
 
-def cut_together(a_lengths: list[int], b_lengths: list[int]) -> tuple[list[int], list[int]]:
+def cut_together(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     """Numbers of tokens before each common end, in A and in B, by dictionaries from byte end to place."""
-    a_at = {end: i for i, end in enumerate(accumulate(a_lengths), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(b_lengths), 1)}
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
     common = sorted(a_at.keys() & b_at.keys())
-    return [a_at[end] for end in common], [b_at[end] for end in common]
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
+
+
+def decoded(raw: bytes) -> str:
+    """The text, empty where the bytes are none."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return ""
 
 
 class Aligner:
     def __init__(self, a: str, b: str):
         self.a, self.b = encoders(a, b)
-        self.a_lengths, self.b_lengths = [len(p) for p in self.a.pieces], [len(p) for p in self.b.pieces]
+        self.a_lengths, self.b_lengths = (np.array([len(p) for p in x.pieces], np.int64) for x in (self.a, self.b))
 
     def align(self, raw: bytes) -> list[np.ndarray]:
         """Ids of A and of B, and the numbers of tokens before each common end; nothing for a text without tokens."""
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            return NOTHING
+        text = decoded(raw)
         if not text:
             return NOTHING
         a, b = self.a.encode(" " + text), self.b.encode(text)
         whole = b" " + raw
-        if b"".join([self.a.pieces[i] for i in a]) != whole or b"".join([self.b.pieces[i] for i in b]) != whole:
+        if b"".join(map(self.a.pieces.__getitem__, a)) != whole or b"".join(map(self.b.pieces.__getitem__, b)) != whole:
             return NOTHING
-        found = a, b, *cut_together([self.a_lengths[i] for i in a], [self.b_lengths[i] for i in b])
-        return [np.array(x, np.uint32) for x in found]
+        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+        cuts = cut_together(np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist())
+        return [a, b, *[np.array(x, np.uint32) for x in cuts]]
 
 
 def _pack32(lists: list) -> bytes:

@@ -196,3 +196,16 @@ def test_sample_is_bounded_and_merges_rows(spark):
     assert 200 < count[0] < 400 and 200 < count[1] < 400 and some.filter("_id % 7 = 0 AND _toxic = 0").count() == 0
 
 
+
+
+def test_segments_give_the_ids_of_whole_texts():
+    from pathlib import Path
+
+    b = alignment.Pieces(Path(alignment.B_FILE).read_bytes())
+    assert b.apart
+    rng = random.Random(1)
+    parts = ["a", "b", "  ", " ", "\n", "\t", "é", "日", " ", "　", ".", "1", "<s>", "x" * 50, "🙂", "​", "  \n ", "``", "--", "zu", "the"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert b.encode(text) == b.model.encode(text), text
+    assert not any(len(s) > alignment.LONGEST for s in b.known)
