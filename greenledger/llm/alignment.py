@@ -26,7 +26,6 @@ import json
 import os
 import re
 from functools import cached_property, lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -42,8 +41,6 @@ A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: How a byte-level vocabulary of this kind cuts a text before merging. Fixed value of the public format.
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SEGMENT = re.compile(r" +[^ ]*")
-SEGMENTS, LONGEST = 100_000, 40  # how many segments are kept, and of how many characters
 NOTHING = [np.zeros(0, np.uint32)] * 4
 LONG_SPACE = re.compile(r"\s{1000}")
 
@@ -88,18 +85,16 @@ class ByteLevel:
         found.encode_special_tokens = True
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text; none where they don't give it back. The fast way cuts the text's own bytes, so that they lack nothing is seen by their length."""
         if self.fast is not None and not LONG_SPACE.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.slow.encode(text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        ids = self.slow.encode(text, add_special_tokens=False).ids
+        return np.array(ids if b"".join(map(self.pieces.__getitem__, ids)) == text.encode() else [], np.uint32)
 
 
 class Pieces:
-    """B: a sentencepiece model, which puts the space before the text itself.
-
-    Where no piece goes on past a space behind other letters, and the model changes no white space, a text is cut before its runs of
-    spaces and every segment encoded by itself, with the same result; segments met before are looked up.
-    """
+    """B: a sentencepiece model, which puts the space before the text itself."""
 
     def __init__(self, body: bytes):
         import sentencepiece
@@ -109,27 +104,11 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.pieces.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
-        kept = [self.model.encode(t) for t in ("a", " a", "a  b ", "   ")]
-        whole = [b"".join(self.pieces[i] for i in ids) for ids in kept] == [b" a", b"  a", b" a  b ", b"    "]
-        self.apart = whole and not any(b" " in p.lstrip(b" ") for p in self.pieces)
-        self.space = [self.model.piece_to_id("▁")]  # a lone space, which the model alone would not see
-        self.apart = self.apart and self.pieces[self.space[0]] == b" "
-        self.known: dict[str, list[int]] = {" ": self.space}
-
-    def encode(self, text: str) -> list[int]:
-        if not self.apart:
-            return self.model.encode(text)
-        if len(self.known) >= SEGMENTS:
-            self.known = {" ": self.space}
-        segments = SEGMENT.findall(" " + text)
-        missing = [segment for segment in set(segments) if segment not in self.known]
-        for segment in missing:
-            self.known[segment] = self.model.encode(segment[1:])
-        out = list(chain.from_iterable(map(self.known.__getitem__, segments)))
-        for segment in missing:
-            if len(segment) > LONGEST:
-                del self.known[segment]
-        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids; none where they don't give the text back."""
+        ids = self.model.encode(text)
+        return np.array(ids if b"".join(map(self.pieces.__getitem__, ids)) == (" " + text).encode() else [], np.uint32)
 
 
 @lru_cache(maxsize=4)
@@ -167,12 +146,10 @@ class Aligner:
         if not text:
             return NOTHING
         a, b = self.a.encode(" " + text), self.b.encode(text)
-        whole = b" " + raw
-        if b"".join(map(self.a.pieces.__getitem__, a)) != whole or b"".join(map(self.b.pieces.__getitem__, b)) != whole:
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist()
+        if not len(a) or not len(b) or a_ends[-1] != len(raw) + 1 or b_ends[-1] != len(raw) + 1:
             return NOTHING
-        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
-        cuts = cut_together(np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist())
-        return [a, b, *[np.array(x, np.uint32) for x in cuts]]
+        return [a, b, *[np.array(x, np.uint32) for x in cut_together(a_ends, b_ends)]]
 
 
 def _pack32(lists: list) -> bytes:

@@ -69,7 +69,7 @@ def test_either_encoder_gives_the_same_ids():
     a = alignment.ByteLevel(Path(alignment.A_FILE).read_text())
     assert a.fast is not None
     for text in ["", " a  b\t\n c", "I'll 12 don't!!", " é́ ﬁ", "x" * 3000, " <|endoftext|> ", "🙂🙂 日本"]:
-        assert a.fast.encode_ordinary(text) == a.slow.encode(text, add_special_tokens=False).ids
+        assert a.encode(text).tolist() == a.fast.encode_ordinary(text) == a.slow.encode(text, add_special_tokens=False).ids
 
 
 def ranked_by_hand(docs, items, k):
@@ -194,18 +194,3 @@ def test_sample_is_bounded_and_merges_rows(spark):
     some = toxicity.labelled(marks, "doc_id", "toxic", 300)
     count = {r._toxic: r["count"] for r in some.groupBy("_toxic").count().collect()}
     assert 200 < count[0] < 400 and 200 < count[1] < 400 and some.filter("_id % 7 = 0 AND _toxic = 0").count() == 0
-
-
-
-
-def test_segments_give_the_ids_of_whole_texts():
-    from pathlib import Path
-
-    b = alignment.Pieces(Path(alignment.B_FILE).read_bytes())
-    assert b.apart
-    rng = random.Random(1)
-    parts = ["a", "b", "  ", " ", "\n", "\t", "é", "日", " ", "　", ".", "1", "<s>", "x" * 50, "🙂", "​", "  \n ", "``", "--", "zu", "the"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
-        assert b.encode(text) == b.model.encode(text), text
-    assert not any(len(s) > alignment.LONGEST for s in b.known)
