@@ -26,6 +26,15 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name for a column beside those of ``df``: underscores are added until none of them has it (case ignored, as Spark does). The
+    operators that add a struct to given rows name it so; the given columns stay as they are."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def intake_columns(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("_text")]
 

@@ -267,7 +267,7 @@ def _predict(model: Model | None):
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a struct ``language``: lang_pred, score (0 to 1) and rejected."""
+    """The rows of ``docs`` with a struct ``language`` (``C.free_name`` where they have such a column): lang_pred, score (0 to 1) and rejected."""
     rows = docs.select(F.struct("*").alias("_doc"), F.coalesce(C.named(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = T.StructType([rows.schema["_doc"], *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields])
-    return rows.mapInArrow(_predict(model), kind).select("_doc.*", F.struct("lang_pred", "score", "rejected").alias("language"))
+    return rows.mapInArrow(_predict(model), kind).select("_doc.*", F.struct("lang_pred", "score", "rejected").alias(C.free_name(docs, "language")))

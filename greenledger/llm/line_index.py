@@ -218,7 +218,7 @@ class LineIndex:
         return both.filter("first < _id").groupBy("_id", "_same").agg(F.collect_set(F.struct("k1", "k2")).alias("_drops"))
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refs: DataFrame | None = None) -> DataFrame:
-        """The rows of ``docs`` with a struct ``lines``: kept (the text left; null if the row had no
+        """The rows of ``docs`` with a struct ``lines`` (``C.free_name`` where they have such a column): kept (the text left; null if the row had no
         text), n_lines and n_dropped. ``refs``: their references, where the index has exactly these documents."""
         found = refs if refs is not None else cut(self.references(docs, id_col, text_col))
         rows = docs.select(F.struct("*").alias("_doc"), *C.intake_columns(id_col, text_col), C.named(text_col).isNull().alias("_none")).withColumn("_same", F.xxhash64("_text"))
@@ -227,4 +227,4 @@ class LineIndex:
         kind = T.StructType([joined.schema["_doc"], *T._parse_datatype_string("_kept string, n_lines long, n_dropped long").fields])
         out = joined.mapInArrow(_kept_lines(self.min_chars), kind)
         missing = F.col("_doc").getField(text_col).isNull()
-        return out.select("_doc.*", F.struct(F.when(~missing, F.col("_kept")).alias("kept"), "n_lines", "n_dropped").alias("lines"))
+        return out.select("_doc.*", F.struct(F.when(~missing, F.col("_kept")).alias("kept"), "n_lines", "n_dropped").alias(C.free_name(docs, "lines")))

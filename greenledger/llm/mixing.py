@@ -66,7 +66,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, size: float, temper
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0, temperature: float = 0.5, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mix: rows of ``docs``, repeated, with a struct ``draw``: copy (from 1), copies and rate."""
+    """The mix: rows of ``docs``, repeated, with a struct ``draw`` (``C.free_name`` where they have such a column): copy (from 1), copies and rate."""
     table = rates(docs, weights, size, temperature, source_col)
     rows = docs.select(F.struct("*").alias("_doc"), F.coalesce(C.named(id_col).cast("string"), F.lit("")).alias("_key"), F.coalesce(C.named(source_col).cast("string"), F.lit("")).alias("_source"))
     if table.limit(MANY + 1).count() <= MANY:
@@ -79,4 +79,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     placed = copies.withColumn("_place", F.xxhash64(F.lit(seed), "_key", "_copy"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(partitions, "_place").sortWithinPartitions("_place")
-    return dealt.select("_doc.*", F.struct(F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), F.col("rate")).alias("draw"))
+    return dealt.select("_doc.*", F.struct(F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), F.col("rate")).alias(C.free_name(docs, "draw")))

@@ -99,11 +99,11 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Co
 
 
 def judge(pages: DataFrame, mined: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
-    """The rows of ``pages`` with a struct ``filter``: host, path, rule, verdict and the confidence of the mined rule."""
+    """The rows of ``pages`` with a struct ``filter`` (``C.free_name`` where they have such a column): host, path, rule, verdict and the confidence of the mined rule."""
     url = C.named(url_col).cast("string")
     rows = pages.select(F.struct("*").alias("_page"), tokens_of(F.coalesce(url, F.lit(""))).alias("tokens"), host_of(url).alias("host"), path_of(url).alias("path"))
     verdicts = cut(blocked_sets(rows.select("tokens").distinct(), mined))
     joined = C.salted_join(rows, verdicts, ["tokens"], F.col("path"), "left")
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.select("_page.*", F.struct("host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "confidence").alias("filter"))
+    return joined.select("_page.*", F.struct("host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "confidence").alias(C.free_name(pages, "filter")))

@@ -187,7 +187,7 @@ def slices(items: DataFrame, id_col: str, text_col: str, slice_bytes: int):
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, slice_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of ``docs`` with a struct ``found``: n_words, ranges (array of start and end, in words,
+    """The rows of ``docs`` with a struct ``found`` (``C.free_name`` where they have such a column): n_words, ranges (array of start and end, in words,
     that the benchmark covers) and items (array of the ids found, sorted). With several slices the
     documents and what was found so far are written to the shared folder between them, so that
     no process holds more than one slice."""
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         if k:
             rows = cut(rows)
         rows = rows.mapInArrow(_carrying(Slice(ids, texts, window, gram)), kind)
-    return rows.select("_doc.*", F.struct("n_words", "ranges", "items").alias("found"))
+    return rows.select("_doc.*", F.struct("n_words", "ranges", "items").alias(C.free_name(docs, "found")))
 
 
 def _carrying(part: Slice):

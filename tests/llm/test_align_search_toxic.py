@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from greenledger.llm import alignment, common as C, ranked_search, toxicity
+from greenledger.llm import alignment, common as C, langid, mixing, ranked_search, toxicity, url_rules, winnowing
+from greenledger.llm.line_index import LineIndex
 
 NONE = C.NO_ID
 
@@ -194,3 +195,35 @@ def test_sample_is_bounded_and_merges_rows(spark):
     some = toxicity.labelled(marks, "doc_id", "toxic", 300)
     count = {r._toxic: r["count"] for r in some.groupBy("_toxic").count().collect()}
     assert 200 < count[0] < 400 and 200 < count[1] < 400 and some.filter("_id % 7 = 0 AND _toxic = 0").count() == 0
+
+
+CLASHES = ["language", "lines", "found", "draw", "filter", "copy", "copies", "items", "text_", "_doc"]
+
+
+def test_columns_of_any_name_ride_along(spark):
+    """A struct an operator adds takes a free name; the given columns keep their values."""
+    rows = [(1, "the old house is on the hill", "en", "a", 28), (2, "das alte haus steht am berg", "de", "b", 27), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES}).withColumn("url", F.concat(F.lit("http://h.example/"), F.col("doc_id").cast("string")))
+    items = spark.createDataFrame([(7, "old house is")], "item_id long, text string")
+    added = [
+        (langid.identify(docs, langid.train(docs)), "language_"), (LineIndex.empty(spark).insert(docs).clean(docs), "lines_"), (winnowing.contamination(docs, items), "found_"),
+        (mixing.mix(docs), "draw_"), (url_rules.judge(docs, url_rules.mine(docs.select("url", F.lit(True).alias("label"))), [("net/", "block")]), "filter_"),
+    ]
+    for frame, name in added:
+        assert frame.columns == [*docs.columns, name]
+        for row in frame.collect():
+            assert all(row[c] == f"own {c}" for c in CLASHES)
+    assert C.free_name(docs, "Found".lower()) == "found_" and C.free_name(docs.withColumn("FOUND_", F.lit(0)), "found") == "found__"
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"eine zeile von text nummer {'abcdefghij'[i % 10] * 3} und noch ein wort {i}", "de", "s", 40) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "something else entirely")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "copy_", "copies_"]
+    assert all(row[c] == f"own {c}" for row in out.collect() for c in CLASHES)

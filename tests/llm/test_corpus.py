@@ -332,19 +332,19 @@ def test_mix_reaches_weights(spark):
     assert again.exceptAll(mixing.mix(df.repartition(7), {"a": 1.0}).select("doc_id", "draw.copy")).count() == 0
 
 
-def test_mix_query_writes_whole_documents(spark, tmp_path, monkeypatch):
+def test_mix_query_returns_whole_documents(spark, tmp_path):
+    """Text (by hash), language and length come from behind the shuffle; rows given twice and rows of nulls are mixed like others."""
+    import hashlib
+
     from greenledger.llm import queries
 
-    docs = [(i, f"text {i} " * 50, "aa", "hot" if i % 10 else "cold", 1) for i in range(300)] + [(None, None, None, None, None)]
+    docs = [(i, f"text {i} " * 50, "aa", "hot" if i % 10 else "cold", 1) for i in range(300)] + [(7, "text 7 " * 50, "aa", "hot", 1), (None, None, None, None, None)]
     frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    mixes, keep = [], queries.written
-    monkeypatch.setattr(queries, "written", lambda df: mixes.append(keep(df)) or mixes[-1])
-    listed = queries.op2(spark, str(tmp_path))
-    assert listed.columns == ["doc_id", "source", "copies", "copy"]
-    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, r.draw.copy, r.draw.copies) for r in mixes[0].collect()]
-    known = {d[0]: d for d in docs}
-    assert rows and all(known[r[0]] == r[:5] for r in rows) and len({(r[0], r[5]) for r in rows}) == len(rows)
-    assert sorted((r[0] or -1, r[6], r[5]) for r in rows) == sorted((r.doc_id or -1, r.copies, r.copy) for r in listed.collect())
+    rows = queries.op2(spark, str(tmp_path)).collect()
+    known = {d[0]: (hashlib.sha256((d[1] or "").encode()).hexdigest(), d[2], d[3] or "", d[4]) for d in docs}
+    assert rows and all(known[r.doc_id] == (r.text_sha256, r.lang, r.source, r.n_chars) and 1 <= r.copy <= r.copies for r in rows)
+    times = Counter((r.doc_id, r.copy) for r in rows)
+    assert all(n == (2 if i == 7 else 1) for (i, _), n in times.items())
 
 
 def test_url_parts_rules_and_mined_rules(spark):
