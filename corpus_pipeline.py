@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from greenledger.llm import langid, mixing, near_dedup, winnowing
+from greenledger.llm import common as C, langid, mixing, near_dedup, winnowing
 from greenledger.llm.line_index import LineIndex
 from greenledger.llm.queries import is_contaminated
 from greenledger.session import shared_dir
@@ -23,33 +23,35 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go."""
     model = langid.train(docs)
-    return langid.identify(docs, model).filter("NOT language.rejected").select(*docs.columns)
+    return langid.identify(docs, model).filter(~F.col(f"{C.free_name(docs, 'language')}.rejected")).select(*map(C.named, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that an earlier document has are cut out; a document that had text and has none left goes."""
     index = LineIndex.empty(spark).insert(docs)
     cleaned = index.clean(docs, refs=index.refs)
-    emptied = (F.col("lines.n_dropped") > 0) & (F.trim("lines.kept") == "")
+    done = F.col(C.free_name(docs, "lines"))
+    emptied = (done["n_dropped"] > 0) & (F.trim(done["kept"]) == "")
     kept = cleaned.filter(~F.coalesce(emptied, F.lit(False)))
-    return kept.withColumn("text", F.col("lines.kept")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return kept.withColumn("text", done["kept"]).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(C.named, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return near_dedup.one_of_each(docs, width=5, percent=80).select(*docs.columns)
+    return near_dedup.one_of_each(docs, width=5, percent=80).select(*map(C.named, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are benchmark windows go."""
     found = winnowing.contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return found.filter(~is_contaminated(F.col("found"))).select(*docs.columns)
+    return found.filter(~is_contaminated(F.col(C.free_name(docs, "found")))).select(*map(C.named, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Sources in proportion to the square root of their size; as many documents as came in, with the copy's number."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, F.col("draw.copy").alias("copy"), F.col("draw.copies").alias("copies"))
+    """Sources in proportion to the square root of their size; as many documents as came in, with the copy's number
+    (``copy`` and ``copies``, under free names where documents have such columns)."""
+    draw = F.col(C.free_name(docs, "draw"))
+    return mixing.mix(docs).select(*map(C.named, docs.columns), *[draw[name].alias(C.free_name(docs, name)) for name in ("copy", "copies")])
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mix", mix)]
