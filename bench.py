@@ -12,6 +12,7 @@ from greenledger.session import local_session
 HEADLINE = [
     "curate_record", "relevance_score", "canonical_url", "archive_merge", "version_history", "source_health_state", "exact_copies", "near_dup_pairs",
     "corpus_counts", "cumulative_days", "peer_topk", "balanced_digest", "theme_counts", "indicator_gaps", "measure_recommend", "portfolio_select", "sensitivity", "page_extract", "link_candidates", "dq_violations",
+    "portfolio_by_brand", "assessment", "board_assessment", "archive_newest", "archive_ordered_digest", "stale_reports", "dq_dependencies", "map_views", "search_counts", "record_build",
 ]
 
 

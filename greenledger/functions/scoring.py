@@ -44,8 +44,12 @@ def _term_table(r: rules.RelevanceRules) -> Column:
     return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"), F.lit(m).alias("reason")) for t, w, m in rows])
 
 
+SHOWN = 7  # reasons in the published text
+
+
 def add_relevance(df: DataFrame, title: str, summary: str, level: str, r: rules.RelevanceRules) -> DataFrame:
-    """Adds ``relevance_score`` and ``relevance_reason``; needs cleaned title and summary and a source level."""
+    """Adds ``relevance_score``, ``relevance_reasons`` (all of them) and ``relevance_reason`` (the published text, of the first SHOWN); needs
+    cleaned title and summary and a source level."""
     body = F.lower(F.concat_ws(" ", F.col(title), F.col(summary)))
     scored = df.withColumn("_body", body).withColumn(
         "_hits", F.filter(_term_table(r), lambda t: F.contains(F.col("_body"), t["term"]))
@@ -67,10 +71,10 @@ def add_relevance(df: DataFrame, title: str, summary: str, level: str, r: rules.
     )
     reasons = F.concat(F.transform(F.col("_hits"), lambda t: t["reason"]), F.filter(extras, lambda x: x.isNotNull()))
     return (
-        scored.withColumn("relevance_score", score)
-        .withColumn("_reasons", F.array_join(F.slice(reasons, 1, 7), "；"))
-        .withColumn("relevance_reason", F.coalesce(T.blank_to_null(F.col("_reasons")), F.lit(rules.REASON_NONE)))
-        .drop("_body", "_hits", "_reasons")
+        scored.withColumns({"relevance_score": score, "relevance_reasons": reasons})
+        .withColumn("_shown", F.array_join(F.slice("relevance_reasons", 1, SHOWN), "；"))
+        .withColumn("relevance_reason", F.coalesce(T.blank_to_null(F.col("_shown")), F.lit(rules.REASON_NONE)))
+        .drop("_body", "_hits", "_shown")
     )
 
 

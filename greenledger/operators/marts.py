@@ -64,6 +64,8 @@ def counts_by(df: DataFrame, columns: dict[str, Column], limits: dict[str, int]
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("value"), "name")))
     if not limits:
         return ranked
+    if set(limits) >= set(names):  # a common bound lets tasks drop the rest before the shuffle
+        ranked = ranked.filter(F.col("rank") <= max(limits.values()))
     cut = F.coalesce(*[F.when(F.col("kind") == n, k) for n, k in limits.items()], F.lit(2**31 - 1))
     return ranked.filter(F.col("rank") <= cut)
 

@@ -12,7 +12,8 @@ RECORD_SCHEMA = (
     "source_scope string, source_type string, default_category string, region string, parks array<string>, url string, canonical_url string, "
     "review_status string, first_seen string, last_seen string, content_hash string, version_count int, previous_content_hash string, "
     "topic string, category string, source_level string, relevance_score int, relevance_status string, relevance_reason string, event_key string, "
-    "why string, quality_score int, normalized_title string, document_number string, duplicate_count int"
+    "why string, quality_score int, normalized_title string, document_number string, duplicate_count int, "
+    "relevance_reasons array<string>"
 )
 SOURCE_SCHEMA = (
     "sources array<struct<id:string,name:string,type:string,start_url:string,allowed_domains:array<string>,priority:string,enabled:boolean,"

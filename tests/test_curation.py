@@ -98,3 +98,13 @@ def test_digest_rows_without_event_key_or_category(spark):
     df = spark.createDataFrame(rows, "event_key string, canonical_url string, category string, published_date string, quality_score int, title string")
     got = [r["title"] for r in G.balanced_select(df, days=2, limit=10).orderBy("digest_rank").collect()]
     assert got == ["t2", "t1", "t4", "t3"]
+
+
+def test_all_reasons_are_kept_and_seven_are_shown(spark):
+    from greenledger import rules
+    from greenledger.functions import scoring as S
+
+    terms = {f"term{i}": 1 for i in range(9)}
+    topic = rules.RelevanceRules(positive=terms, negative={}, implementation=["term0"], national_terms=[], on_topic=["term"], minimum_score=4)
+    row = S.curate(spark.createDataFrame([("t", " ".join(terms))], "title string, summary string"), topic).first()
+    assert len(row["relevance_reasons"]) == 10 and row["relevance_reason"].count("；") == 6 and row["relevance_score"] == 11
