@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from greenledger.llm import common as C, langid, mixing, near_dedup, winnowing
 from greenledger.llm.line_index import LineIndex
 from greenledger.llm.queries import is_contaminated
-from greenledger.session import shared_dir
+from greenledger.session import remove, scratch, shared_dir
 
 #: SQL cannot express the learned language stage; a test follows planted documents through every stage.
 ORACLE_SQL = None
@@ -58,10 +58,15 @@ STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    out = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's own tables, and its
+    input, are deleted once its output is written. The last output stays, for the result is read from it."""
+    out, last = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{out}/{name}"
     return docs
