@@ -1,6 +1,7 @@
 """Token alignment and ranked search against plain versions, toxicity by held-out cases; nulls, ties, repeats, empty tables."""
 
 import math
+import os
 import random
 from collections import Counter
 from itertools import accumulate
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from greenledger.llm import alignment, common as C, langid, mixing, ranked_search, toxicity, url_rules, winnowing
 from greenledger.llm.line_index import LineIndex
+from greenledger.session import shared_dir
 
 NONE = C.NO_ID
 
@@ -224,6 +226,10 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
     docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "something else entirely")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = shared_dir(spark).removeprefix("file:")
+    kept = {d for d in os.listdir(folder) if d.startswith("rows-")}
     out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {d for d in os.listdir(folder) if d.startswith("rows-")} == kept  # a stage leaves no table behind
+    assert any(os.listdir(os.path.join(folder, d)) == ["mix"] for d in os.listdir(folder) if d.startswith("corpus-"))
     assert out.columns == [*docs.columns, "copy_", "copies_"]
     assert all(row[c] == f"own {c}" for row in out.collect() for c in CLASHES)
