@@ -214,17 +214,17 @@ def page_records(spark, d):
 def near_dup_pairs(spark, d):
     """Each page with the earliest leader its title matches (0.9, same day)."""
     records = cut(page_records(spark, d))
-    placed = D.assign(records, 0.90, q=4)
+    placed = D.assign(records, 0.90, q=3)
     return placed.select("page_id", "canonical_url", F.col("_leader")["tie"].alias("leader_url"))
 
 
 @query("dup_collapse")
 def dup_collapse(spark, d):
-    primaries, _ = D.collapse(cut(page_records(spark, d)), 0.90, q=4)
+    primaries, _ = D.collapse(cut(page_records(spark, d)), 0.90, q=3)
     return primaries.select("page_id", "canonical_url", "title", "duplicate_count")
 
 
 @query("related_materials")
 def related_materials(spark, d):
-    _, related = D.collapse(cut(page_records(spark, d)), 0.90, q=4)
+    _, related = D.collapse(cut(page_records(spark, d)), 0.90, q=3)
     return related

@@ -8,24 +8,26 @@ How it scales:
 
 * Rows alike in number, title and day behave alike, so one representative stands for all of
   them before anything is compared. A text copied a billion times is one row from then on.
-* Representatives are spread over buckets that any two matching rows must share: the number,
-  the title, and the grams of the title that a prefix filter keeps.
-* While buckets are crowded, only bucket minima are compared: a row that comes first in all of
-  its buckets is surely a leader, and absorbs what it matches. Work per round is linear in the
-  bucket rows. No pairs among followers are made.
-* Once the buckets are thin (counted, not assumed) the rest is joined in pairs and settled by
-  rounds over the matching pairs.
+* Equal numbers and titles meet in buckets, whose first rows serve all others.
+* The titles of a day meet in tiles of two blocks. A product of gram counts rules out pairs that
+  share too few grams, some ten nanoseconds a pair; what is left is compared in full. Work is
+  quadratic in the distinct titles of one day, memory is that of a tile. (A join on shared grams
+  is no better where titles are made of the same few syllables: nearly all share some gram.)
+* A row notes only its first matches of a tile or bucket. That decides nearly everything; rows it
+  doesn't decide ask again among the rows that are not known to follow.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from greenledger import rules
 from greenledger.functions import text as T
@@ -107,112 +109,136 @@ def title_ratio(left: str, right: str, threshold: float) -> float:
     return matcher.ratio()
 
 
-def _similar(threshold: float):
-    @F.pandas_udf("boolean")
-    def similar(row: pd.Series, head: pd.Series) -> pd.Series:
-        return pd.Series([title_ratio(a, b, threshold) >= threshold for a, b in zip(row, head)], dtype=bool)
-
-    return similar
-
-
-def _keys(threshold: float, q: int):
-    @F.pandas_udf("array<string>")
-    def keys(titles: pd.Series) -> pd.Series:
-        plans = {n: key_plan(n, threshold, q) for n in set(titles.map(len))}
-        return titles.map(lambda t: title_keys(t, plans[len(t)]))
-
-    return keys
-
-
 def representatives(df: DataFrame) -> DataFrame:
     """One row per (document number, normal title, day): the first in order stands for all."""
     return df.groupBy("document_number", "normalized_title", "_day").agg(F.min("_ord").alias("_ord"))
 
 
-def bucket_rows(reps: DataFrame, threshold: float, q: int) -> DataFrame:
-    near = F.transform(
-        _keys(threshold, q)(F.col("normalized_title")), lambda g: F.concat(F.lit("N|"), F.col("_day"), F.lit("|"), g)
-    )
-    exact = F.array(
-        F.when(F.col("document_number") != "", F.concat(F.lit("D|"), F.col("document_number"))),
-        F.when(F.col("normalized_title") != "", F.concat(F.lit("T|"), F.sha2(F.col("normalized_title"), 256))),
-    )
-    keys = F.concat(F.filter(exact, lambda k: k.isNotNull()), F.coalesce(near, F.array().cast("array<string>")))
-    return reps.withColumn("_bucket", F.explode_outer(keys))
+def placed_representatives(df: DataFrame) -> DataFrame:
+    """Representatives with ``_place``, a number that grows along the order; equal orders go by title, number and day."""
+    reps = cut(representatives(df)).orderBy("_ord", "normalized_title", "document_number", "_day")
+    return cut(reps.withColumn("_place", F.monotonically_increasing_id()))
 
 
-def _matching(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Keeps (row, head) pairs that match: row columns plain, head columns prefixed with h_."""
-    same = ((F.col("document_number") != "") & (F.col("document_number") == F.col("h_document_number"))) | (
-        (F.col("normalized_title") != "") & (F.col("normalized_title") == F.col("h_normalized_title"))
-    )
-    la, lb = F.length("normalized_title"), F.length("h_normalized_title")
-    close = (F.col("_day") == F.col("h__day")) & (2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9) & (la > 0) & (lb > 0)
-    marked = pairs.withColumn("_same", same).filter(F.col("_same") | close)
-    sure = marked.filter("_same").drop("_same")
-    # The similarity function sees only pairs that nothing cheaper has settled.
-    tested = marked.filter(~F.col("_same")).drop("_same").filter(_similar(threshold)(F.col("normalized_title"), F.col("h_normalized_title")))
-    return sure.unionByName(tested)
+BLOCK = 4096  # titles of a day that are compared at once with as many others
+STRIPE = 512  # rows of a block whose shared grams are counted in one product
+EDGES = "_ord long, h__ord long, _upto long"
 
 
-REP = ("document_number", "normalized_title", "_day", "_ord")
+def gram_codes(title: str, q: int, slots: int = 512) -> bytes:
+    """The q-grams of a title as slots; a gram's repetitions are told apart."""
+    seen: Counter = Counter()
+    codes = np.empty(max(0, len(title) - q + 1), "<u2")
+    for i in range(len(codes)):
+        gram = title[i : i + q]
+        seen[gram] += 1
+        codes[i] = zlib.crc32(f"{gram}#{seen[gram]}".encode("utf-8", "surrogatepass")) % slots
+    return codes.tobytes()
 
 
-def _as_head(df: DataFrame, *extra: str) -> DataFrame:
-    return df.select(*[F.col(c).alias("h_" + c) for c in REP], *extra)
+def _codes(q: int):
+    @F.pandas_udf("binary")
+    def codes(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: gram_codes(t, q))
 
+    return codes
 
-def _bucket_pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Distinct (row, earlier head) pairs that share a bucket."""
-    joined = rows.join(_as_head(heads, "_bucket"), "_bucket").filter(F.col("h__ord") < F.col("_ord"))
-    if "_best" in rows.columns:
-        joined = joined.filter(F.col("_best").isNull() | (F.col("h__ord") < F.col("_best"))).drop("_best")
-    return joined.select(*REP, *["h_" + c for c in REP]).distinct()
 
+def close_pairs(rows: pd.DataFrame, threshold: float, q: int, most: int, slots: int = 512) -> pd.DataFrame:
+    """The first ``most`` earlier rows that each asking row of a tile is similar to, in order; ``_upto`` is the last one looked at where the
+    list may go on behind it. Titles of a pair lie in different blocks, or in the tile's only one.
 
-def assign_leaders(reps: DataFrame, threshold: float, q: int = 2, pairs_per_row: float = 50.0) -> DataFrame:
-    """(row order -> leader order) for every representative; a leader points to itself. Rounds go on while buckets are crowded: each
-    settles at least the first open row, and every one that is first in all of its buckets."""
-    buckets = cut(bucket_rows(reps, threshold, q))
-    # Open rows may still be leaders; settled followers keep looking for an earlier leader.
-    open_rows = cut(reps.select(*REP))
-    best = None  # followers with the best leader found so far
-    leaders = None
+    Grams that share a slot only add to the count of shared ones, so a pair whose count is below ``gram_overlap`` can't reach the threshold.
+    """
+    rows = rows.sort_values("_place", ignore_index=True)
+    places, titles, asks, block = rows["_place"].to_numpy(), rows["normalized_title"].tolist(), np.flatnonzero(rows["_asks"]), rows["_block"].to_numpy()
+    size = np.array([len(t) for t in titles])
+    codes = [np.frombuffer(c, "<u2") for c in rows["_grams"]]
+    flat = np.repeat(np.arange(len(rows)) * slots, [len(c) for c in codes]) + np.concatenate(codes)
+    counts = np.bincount(flat, minlength=len(rows) * slots).astype(np.float32).reshape(-1, slots)
+    across = rows["_lo"].iloc[0] != rows["_hi"].iloc[0]
+    found = []
+    for start in range(0, len(asks), STRIPE):
+        mine = asks[start : start + STRIPE]
+        heads = np.arange(mine[-1])
+        a, b = size[mine][:, None], size[heads][None, :]
+        kept = np.ceil(threshold * (a + b) / 2 - 1e-9)
+        fits = (heads[None, :] < mine[:, None]) & (np.minimum(a, b) >= kept) & (counts[mine] @ counts[heads].T >= a - q + 1 - q * (a - kept) - (q - 1) * (b - kept) - 0.5)
+        if across:
+            fits &= block[heads][None, :] != block[mine][:, None]
+        for i, near in zip(mine, fits):
+            hits = []
+            for j in np.flatnonzero(near):
+                if title_ratio(titles[i], titles[j], threshold) >= threshold:
+                    hits.append(j)
+                    if len(hits) == most:
+                        break
+            upto = places[hits[-1]] if len(hits) == most and near[hits[-1] + 1 :].any() else None
+            found += [(places[i], places[j], upto) for j in hits]
+    return pd.DataFrame(found, columns=["_ord", "h__ord", "_upto"]).astype({"_ord": "int64", "h__ord": "int64", "_upto": "Int64"})
+
+
+def near_edges(pool: DataFrame, threshold: float, q: int, most: int) -> DataFrame:
+    """Similar titles of a day. A day's titles are dealt into blocks by hash and every two blocks meet in a task of their own."""
+    titled = pool.filter(F.col("normalized_title") != "")
+    blocks = titled.groupBy("_day").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = titled.join(blocks, "_day").withColumn("_block", F.pmod(F.xxhash64("_place"), "_blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    tiles = dealt.withColumn("_other", other).select("_day", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"), "_block", "_place", "normalized_title", "_grams", "_asks")
+    return tiles.groupBy("_day", "_lo", "_hi").applyInPandas(lambda rows: close_pairs(rows, threshold, q, most), EDGES)
+
+
+def equal_edges(pool: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` earlier rows with the same number or title. All rows of such a bucket match, so its first rows serve everybody."""
+    number = F.when(F.col("document_number") != "", F.concat(F.lit("D|"), F.col("document_number")))
+    title = F.when(F.col("normalized_title") != "", F.concat(F.lit("T|"), F.sha2("normalized_title", 256)))
+    keyed = pool.select(F.col("_place").alias("_ord"), "_asks", F.explode(F.array_compact(F.array(number, title))).alias("_bucket"))
+    shared = keyed.groupBy("_bucket").agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    ranked = keyed.withColumn("_no", F.row_number().over(W.partitionBy("_bucket").orderBy("_ord"))).filter(F.col("_no") <= most)
+    firsts = ranked.join(shared, "_bucket").select("_bucket", F.col("_ord").alias("h__ord"), F.when((F.col("_no") == most) & (F.col("_rows") > most), F.col("_ord")).alias("_upto"))
+    ends = firsts.groupBy("_bucket").agg(F.max("_upto").alias("_upto"))
+    pairs = keyed.filter("_asks").join(firsts.drop("_upto").join(ends, "_bucket"), "_bucket").filter("h__ord < _ord")
+    return pairs.select("_ord", "h__ord", F.when(F.col("_upto") < F.col("_ord"), F.col("_upto")).alias("_upto"))
+
+
+def neighbours(pool: DataFrame, threshold: float, q: int, most: int) -> DataFrame:
+    """(row, earlier match) for the asking rows of a pool, complete up to a place of each row. A row whose matches may go on behind that
+    place gets one more edge, to a negative number of its own: a head nobody knows yet."""
+    edges = near_edges(pool, threshold, q, most).unionByName(equal_edges(pool, most))
+    whole = edges.withColumn("_upto", F.min("_upto").over(W.partitionBy("_ord"))).filter(F.col("_upto").isNull() | (F.col("h__ord") <= F.col("_upto")))
+    heads = F.explode(F.when(F.col("_upto").isNull(), F.array("h__ord")).otherwise(F.array(F.col("h__ord"), -1 - F.col("_ord"))))
+    return cut(whole.select("_ord", heads.alias("h__ord")).distinct())
+
+
+def assign_leaders(reps: DataFrame, threshold: float, q: int = 2, pairs_per_row: float = 8.0) -> DataFrame:
+    """(place -> place of the leader) for every representative; a leader points to itself.
+
+    Every row asks for its first matches, at most ``pairs_per_row`` from a tile or bucket. What they decide is settled. Rows whose matches so far all
+    follow somebody, and may go on, ask again, now only among rows not known to follow: each turn settles at least the first open row.
+    """
+    most = max(1, int(pairs_per_row))
+    slim = cut(reps.select("_place", "document_number", "normalized_title", "_day", _codes(q)(F.col("normalized_title")).alias("_grams")))
+    everyone = slim.select(F.col("_place").alias("_ord"))
+    edges = neighbours(slim.withColumn("_asks", F.lit(True)), threshold, q, most)
+    known = cut(settle(everyone, edges))
     while True:
-        live = buckets.join(open_rows.select("_ord"), "_ord", "left_semi")
-        crowd = live.groupBy("_bucket").agg(F.count("*").cast("double").alias("n"))
-        pairs, rows = crowd.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
-        if rows is None or (pairs or 0) <= pairs_per_row * rows:
+        # What open rows still look at: heads that lead, are open or not known yet.
+        follows = known.filter("NOT is_leader").select(F.col("_ord").alias("h__ord"))
+        looks = cut(edges.join(known.select("_ord"), "_ord", "left_anti").join(follows, "h__ord", "left_anti"))
+        asking = cut(looks.groupBy("_ord").agg(F.bool_and(F.col("h__ord") < 0).alias("_asks")).filter("_asks"))
+        if asking.isEmpty():
             break
-        first = live.groupBy("_bucket").agg(F.min("_ord").alias("_first"))
-        standing = live.join(first, F.col("_first").isNotNull() & live["_bucket"].eqNullSafe(first["_bucket"]))
-        sure = standing.groupBy("_ord").agg(F.bool_and(F.col("_first") == F.col("_ord")).alias("ok")).filter("ok").select("_ord")
-        heads = cut(open_rows.join(sure, "_ord", "left_semi"))
-        leaders = heads if leaders is None else leaders.unionByName(heads)
-        seekers = buckets.join(open_rows.join(heads.select("_ord"), "_ord", "left_anti").select("_ord", F.lit(None).cast(reps.schema["_ord"].dataType).alias("_best")), "_ord")
-        if best is not None:
-            seekers = seekers.unionByName(buckets.join(best, "_ord"))
-        hits = _matching(_bucket_pairs(seekers, buckets.join(heads.select("_ord"), "_ord", "left_semi")), threshold)
-        found = hits.groupBy("_ord").agg(F.min("h__ord").alias("_best"))
-        best = cut((found if best is None else found.unionByName(best)).groupBy("_ord").agg(F.min("_best").alias("_best")))
-        gone = heads.select("_ord").unionByName(best.select("_ord"))
-        open_rows = cut(open_rows.join(gone, "_ord", "left_anti"))
-
-    # The rest in pairs: open rows against open rows, followers against earlier open rows.
-    none = F.lit(None).cast(reps.schema["_ord"].dataType).alias("_best")
-    live = buckets.join(open_rows.select("_ord"), "_ord", "left_semi")
-    seekers = buckets.join(open_rows.select("_ord", none), "_ord")
-    if best is not None:
-        seekers = seekers.unionByName(buckets.join(best, "_ord"))
-    edges = cut(_matching(_bucket_pairs(seekers, live), threshold).select("_ord", "h__ord"))
-    inner = edges.join(open_rows.select("_ord"), "_ord", "left_semi")
-    late = settle(open_rows.select("_ord"), inner)
-    heads = late.filter("is_leader").select(F.col("_ord").alias("h__ord"))
-    found = edges.join(heads, "h__ord", "left_semi").groupBy("_ord").agg(F.min("h__ord").alias("_best"))
-    if best is not None:
-        found = found.unionByName(best).groupBy("_ord").agg(F.min("_best").alias("_best"))
-    everyone = reps.select("_ord")
-    return everyone.join(found, "_ord", "left").select("_ord", F.coalesce("_best", "_ord").alias("_leader"))
+        pool = slim.join(follows.withColumnRenamed("h__ord", "_place"), "_place", "left_anti").join(asking.withColumnRenamed("_ord", "_place"), "_place", "left")
+        more = neighbours(pool.withColumn("_asks", F.coalesce("_asks", F.lit(False))), threshold, q, most)
+        answered = asking.select("_ord", (-1 - F.col("_ord")).alias("h__ord"))
+        edges = cut(edges.join(answered, ["_ord", "h__ord"], "left_anti").unionByName(more))
+        waits = looks.join(answered, ["_ord", "h__ord"], "left_anti").unionByName(more)
+        rows = everyone.join(follows.withColumnRenamed("h__ord", "_ord"), "_ord", "left_anti")
+        late = settle(rows, waits).join(known.select("_ord"), "_ord", "left_anti")
+        known = cut(known.unionByName(late))
+    heads = known.filter("is_leader").select(F.col("_ord").alias("h__ord"))
+    best = edges.join(heads, "h__ord", "left_semi").groupBy("_ord").agg(F.min("h__ord").alias("_best"))
+    return everyone.join(best, "_ord", "left").select(F.col("_ord").alias("_place"), F.coalesce("_best", "_ord").alias("_leads"))
 
 
 def settle(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,6 +248,7 @@ def settle(rows: DataFrame, edges: DataFrame) -> DataFrame:
     contracted: a row with one open neighbour leads exactly when that one doesn't, so it points to it with a sign; pointers of pointers are
     followed by doubling, and everybody who asks for such a row asks for the chain's end with that sign instead. A chain of n rows
     thus takes as many steps as log n, not n rounds. A row that asks for one end with both signs has a leader before it.
+    Heads that are no rows stay unknown, and rows that depend on them are left out.
     """
     open_edges = cut(edges.select("_ord", "h__ord").distinct().withColumn("flip", F.lit(False)))
     fresh = cut(rows.join(open_edges.select("_ord").distinct(), "_ord", "left_anti").withColumn("is_leader", F.lit(True)))
@@ -243,7 +270,11 @@ def settle(rows: DataFrame, edges: DataFrame) -> DataFrame:
             moved = not step.filter("_moved").isEmpty()
             ends = step.drop("_moved")
         heads = ends.select(F.col("_ord").alias("h__ord"), "to", "sign")
-        open_edges = cut(rest.join(heads, "h__ord", "left").select("_ord", F.coalesce("to", "h__ord").alias("h__ord"), (F.col("flip") != F.coalesce("sign", F.lit(False))).alias("flip")).distinct())
+        moved = rest.join(heads, "h__ord", "left").select("_ord", F.coalesce("to", "h__ord").alias("h__ord"), (F.col("flip") != F.coalesce("sign", F.lit(False))).alias("flip"), F.col("to").isNotNull().alias("_new"))
+        open_edges = cut(moved.groupBy("_ord", "h__ord", "flip").agg(F.bool_or("_new").alias("_new")))
+        if fresh.isEmpty() and open_edges.filter("_new").isEmpty():
+            break
+        open_edges = open_edges.drop("_new")
     return settled
 
 
@@ -259,9 +290,10 @@ def assign(records: DataFrame, threshold: float = 0.90, q: int = 2, **options) -
     signature = ["document_number", "normalized_title", "_day"]
     nameless = (F.col("document_number") == "") & (F.col("normalized_title") == "")
     named = ranked.filter(~nameless)
-    reps = cut(representatives(named))
+    reps = placed_representatives(named)
     leaders = assign_leaders(reps, threshold, q, **options)
-    by_signature = reps.join(leaders, "_ord").select(*signature, "_leader")
+    orders = reps.select(F.col("_place").alias("_leads"), F.col("_ord").alias("_leader"))
+    by_signature = reps.join(leaders, "_place").join(orders, "_leads").select(*signature, "_leader")
     placed = named.join(by_signature, signature)
     # Rows without number and title match nothing and lead themselves.
     return placed.unionByName(ranked.filter(nameless).withColumn("_leader", F.col("_ord")))

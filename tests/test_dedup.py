@@ -69,3 +69,23 @@ def test_prefix_filter_loses_no_pair():
                 if b and D.title_ratio(a, b, t) >= t:
                     keys = [set(D.title_keys(x, D.key_plan(len(x), t, q))) for x in (a, b)]
                     assert keys[0] & keys[1], (a, b, t, q)
+
+
+def test_tiles_of_few_syllables_equal_sequential(spark, monkeypatch):
+    """Titles of the same few syllables in many small blocks; dense families whose rows ask again."""
+    monkeypatch.setattr(D, "BLOCK", 16)
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice(["the", "ona", "er", "in"]) for _ in range(14)) for _ in range(4)]
+    rows = []
+    for i in range(90):
+        title = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 4)):
+            title[rnd.randrange(len(title))] = rnd.choice("theonarin")
+        rows.append((f"u{i:03d}", "".join(title), "", "2024-01-01", rnd.randint(0, 3), "", "", "p"))
+    placed = D.assign(spark.createDataFrame(rows, SCHEMA), 0.9, 2, pairs_per_row=2)
+    assert {r["url"]: r["l"] for r in placed.select("url", F.col("_leader")["tie"].alias("l")).collect()} == sequential(rows, 0.9)
+
+
+def test_rows_alike_in_order_stay_one_row_each(spark):
+    rows = [("u", "abcdefgh", "", "2024-01-01", 1, "", "", "p"), ("u", "stuvwxyz", "", "2024-01-01", 1, "", "", "p")]
+    assert D.assign(spark.createDataFrame(rows, SCHEMA), 0.9).count() == 2
