@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,18 @@ def test_board_portfolio(spark):
         assert got[s].meets_target == (key[0] == 0) and sorted(got[s].project_ids) == sorted(ids), s
     assert got["neg"].project_ids == [] and not got["neg"].meets_target and got["odd"].project_ids == ["C"]
     assert chosen.filter("s = 'odd'").count() == 1
+
+
+def test_projects_whose_betters_exceed_the_budget_leave_the_search():
+    rnd = random.Random(3)
+    for _ in range(60):
+        n, budget = rnd.randint(0, 40), rnd.randint(0, 25)
+        rows = [(rnd.randint(0, 5), rnd.randint(0, 5), rnd.randint(-5, 5)) for _ in range(n)]
+        betters = lambda a: sum(r[0] for b, r in enumerate(rows) if b != a and r[0] <= rows[a][0] and r[1] >= rows[a][1] and r[2] <= rows[a][2] and (r != rows[a] or b < a))  # noqa: E731, B023
+        capex, abate, npv = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        none = np.zeros(n, np.int64)
+        assert S.candidates(capex, abate, npv, none, none, none[:0], budget).tolist() == [a for a in range(n) if rows[a][0] + betters(a) <= budget]
+        held = S.candidates(capex, abate, npv, none, none, np.arange(n), budget)  # projects that others need all stay
+        assert held.tolist() == list(range(n))
+    many = np.arange(100000, dtype=np.int64)
+    assert len(S.candidates(many % 10 + 10, many % 50, many % 7, many * 0, many * 0, many[:0], 60)) < 50
