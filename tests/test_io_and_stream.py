@@ -182,3 +182,16 @@ def test_history_across_chunks(spark):
     got = A.version_history(log, "url", "chunk", [F.col("at")], "hash").orderBy("at").collect()
     assert [r["version"] for r in got] == [1, 1, 2, 2, 2, 3, 3, 4]
     assert [r["previous_content_hash"] for r in got] == [None, *"aabbbcc"]
+
+
+def test_pages_are_parsed_in_small_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from greenledger.sources import pages as PG
+
+    monkeypatch.setattr(PG, "PIECE_ROWS", 3)
+    monkeypatch.setattr(PG, "PIECE_BYTES", 10)
+    html = ["a" * 4, None, "b" * 6, "c", "d" * 40, "e", "", "f", "g"]
+    batch = pa.RecordBatch.from_arrays([pa.array(html)], names=["html"])
+    got = [part.column("html").to_pylist() for part in PG.pieces(batch, batch.column("html"))]
+    assert sum(got, []) == html and got == [html[:3], html[3:4], html[4:5], html[5:8], html[8:]]
