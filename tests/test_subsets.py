@@ -136,3 +136,12 @@ def test_projects_whose_betters_exceed_the_budget_leave_the_search():
         assert held.tolist() == list(range(n))
     many = np.arange(100000, dtype=np.int64)
     assert len(S.candidates(many % 10 + 10, many % 50, many % 7, many * 0, many * 0, many[:0], 60)) < 50
+
+
+def test_listing_takes_plain_arrays():
+    """Two scenarios of two projects, the second of which needs the first in one of them."""
+    import pandas as pd
+
+    two = lambda a, b: pd.Series([np.array(a), np.array(b)])
+    found = P._listed(two([5, 1], [5, 1]), two([1, 9], [1, 9]), two([0, 0], [0, 0]), two([0, 0], [0, 0]), two([-1, -1], [-1, -1]), pd.Series([None, [[], [0]]]), pd.Series([3, 6]), pd.Series([9, 9]))
+    assert found["taken"].tolist() == [[1], [0, 1]] and found["meets"].tolist() == [True, True]
