@@ -6,9 +6,10 @@ stay. Beside them high-recall generators propose overlapping spans: addresses wr
 grouped like telephones or cards, hexadecimal addresses, and what a base format matched but its check
 refused. Each proposal has a check of its own (``sound``); one that fails it is never added. Boosted trees see
 shape and context of every span, but not the signs that tell a base format from a proposed one. They are trained
-in numpy on at most ``sample`` spans of either label chosen by hash: positives are base spans rewritten in
+in numpy on all labelled spans, which Spark counts by kind, label and bin of every feature (at most 32 bins each, between quantiles over
+all of them), so that the driver sees each distinct row once, with its number: positives are base spans rewritten in
 place into a proposed format, negatives are proposals whose check fails and that touch no base span and no sound
-proposal. Sound proposals have no label. Each kind's threshold is calibrated on a held-back fifth: halfway
+proposal. Sound proposals have no label. Each kind's threshold is calibrated on a fifth held back by hash: halfway
 below the least score at which positives make up at least ``precision`` of all above it. Sound proposals over
 the threshold that do not overlap a base span of any kind, nor a better proposal, are added.
 
@@ -247,16 +248,20 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray])
     return best[1], best[2]
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3):
-    """Gradient boosting on the logistic loss with trees of second order."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+QUANTILES = np.linspace(0, 1, 33)[1:-1]
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, weight: np.ndarray | None = None, cuts: list[np.ndarray] | None = None):
+    """Gradient boosting on the logistic loss with trees of second order. A row counts ``weight`` times."""
+    weight = np.ones(len(y)) if weight is None else weight
+    share = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     start = float(np.log(share / (1 - share)))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
+    cuts = [np.unique(np.quantile(x[:, f], QUANTILES)) for f in range(x.shape[1])] if cuts is None else cuts
     margin, inner = np.full(len(y), start), 2**depth - 1
     features, bounds, leaves = [], [], []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         f, b, at = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(len(y), int)
         for node in range(inner):
             here = at == node
@@ -272,37 +277,57 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
     return np.array(features), np.array(bounds), np.array(leaves), start
 
 
-def _calibrate(score: np.ndarray, y: np.ndarray, precision: float) -> float:
+def _calibrate(score: np.ndarray, y: np.ndarray, precision: float, weight: np.ndarray) -> float:
     """Halfway below the least score from which on positives have this share; over 1 if there is none."""
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    share = np.cumsum((weight * y)[order]) / np.cumsum(weight[order])
     last = np.flatnonzero((share >= precision) & np.r_[score[order][1:] < score[order][:-1], True])
     return float(score[order][last[-1]] + np.r_[score[order], 0.0][last[-1] + 1]) / 2 if len(last) else 1.1
 
 
-def fit(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float) -> Trees | None:
+def fit(x: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float, weight: np.ndarray | None = None, held: np.ndarray | None = None, cuts: list[np.ndarray] | None = None) -> Trees | None:
     if not 0 < y.sum() < len(y):
         return None
-    held = np.arange(len(y)) % 5 == 4
-    if len(y) < 50 or not 0 < y[held].sum() < held.sum():
-        held[:] = False
-    model = Trees(*boost(x[~held], y[~held]), thresholds=())
+    if held is None:
+        held = np.arange(len(y)) % 5 == 4
+        if len(y) < 50 or not 0 < y[held].sum() < held.sum():
+            held[:] = False
+    weight = np.ones(len(y)) if weight is None else weight
+    model = Trees(*boost(x[~held], y[~held], weight=weight[~held], cuts=cuts), thresholds=())
     check = held if held.any() else ~held
     score = model.score(x[check])
-    limits = tuple(max(0.5, _calibrate(score[kinds[check] == k], y[check][kinds[check] == k], precision)) if (kinds[check] == k).any() else 1.1 for k in range(len(KINDS)))
+    part = lambda k: _calibrate(*(v[kinds[check] == k] for v in (score, y[check])), precision, weight[check][kinds[check] == k])
+    limits = tuple(max(0.5, part(k)) if (kinds[check] == k).any() else 1.1 for k in range(len(KINDS)))
     return Trees(model.features, model.bounds, model.leaves, model.start, limits)
 
 
-def learn(proposed: DataFrame, sample: int, precision: float) -> Trees | None:
-    """Trees from at most ``sample`` rewritten base spans and as many refused proposals."""
-    rows = proposed.select("_id", F.explode("spans").alias("s")).select("s.kind", "s.label", "s.features", F.xxhash64("_id", "s.kind", "s.start", "s.end").alias("place"))
-    parts = [rows.filter(F.col("label") == label).orderBy("place").limit(sample).toArrow() for label in (POSITIVE, NEGATIVE)]
-    table = pa.concat_tables(parts)
-    if not table.num_rows:
+def _bin(cuts: list[np.ndarray]):
+    def run(batches):
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(-1, FEATURES)
+            codes = np.column_stack([np.searchsorted(edges, x[:, f].astype(float), "left").astype(np.uint8) for f, edges in enumerate(cuts)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("kind", "label", "held")), pa.array([row.tobytes() for row in codes], pa.binary())], names=["kind", "label", "held", "codes"])
+
+    return run
+
+
+def learn(proposed: DataFrame, precision: float) -> Trees | None:
+    """Trees from all rewritten base spans and all refused proposals. Trees part rows between the bins only, so equal rows are counted first."""
+    rows = proposed.select("_id", F.explode("spans").alias("s")).filter(F.col("s.label").isin(POSITIVE, NEGATIVE))
+    rows = rows.select("s.kind", "s.label", "s.features", (F.pmod(F.xxhash64("_id", "s.kind", "s.start", "s.end"), F.lit(5)) == 4).alias("held"))
+    parts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    if {label for label, _ in parts} != {POSITIVE, NEGATIVE}:
         return None
-    table = table.sort_by("place")
-    x = np.array(table.column("features").to_pylist(), np.float32).reshape(-1, FEATURES)
-    return fit(x, (table.column("label").to_numpy() == POSITIVE).astype(float), table.column("kind").to_numpy(), precision)
+    if sum(parts.values()) < 50 or len(parts) < 4:
+        rows = rows.withColumn("held", F.lit(False))
+    quantiles = rows.filter("NOT held").agg(*[F.percentile(F.col("features")[f].cast("double"), QUANTILES.tolist()).alias(f"q{f}") for f in range(FEATURES)]).first()
+    cuts = [np.unique(q) for q in quantiles]
+    table = rows.mapInArrow(_bin(cuts), "kind int, label int, held boolean, codes binary").groupBy("kind", "label", "held", "codes").count().toArrow()
+    table = table.sort_by([(n, "ascending") for n in ("kind", "label", "held", "codes")])
+    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, FEATURES)
+    x = np.column_stack([np.append(edges, edges[-1] + 1)[codes[:, f]] for f, edges in enumerate(cuts)])  # a value that stands for its bin
+    column = lambda n: table.column(n).to_numpy()
+    return fit(x, (column("label") == POSITIVE).astype(float), column("kind"), precision, column("count").astype(float), column("held").astype(bool), cuts)
 
 
 def _choose(model: Trees | None):
@@ -326,10 +351,10 @@ def _choose(model: Trees | None):
     return run
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 5000, precision: float = 0.99) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.99) -> DataFrame:
     """``_id`` and spans (array of kind, start, end, base, score) of every document."""
     proposed = cut(C.intake(docs, id_col, text_col).mapInArrow(_propose, f"_id long, spans array<{SPAN}>"))
-    model = learn(proposed, sample, precision)
+    model = learn(proposed, precision)
     return proposed.mapInArrow(_choose(model), "_id long, spans array<struct<kind: string, start: int, end: int, base: boolean, score: double>>")
 
 

@@ -285,6 +285,22 @@ def test_personal_data_beyond_base_formats_is_added(spark):
     assert sum(added[i] == want[i] for i in want if want[i]) >= 0.9 * 300 and {s[0] for i in added for s in added[i]} == set(pii.KINDS)
 
 
+def test_personal_data_learns_from_all_spans(spark):
+    """Counted rows teach what the rows themselves do, and no span is left out: here the few that tell sit behind thousands of others."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, size=(400, pii.FEATURES)).astype(np.float64)
+    y, kinds, held = (x[:, 2] > 0).astype(float), np.zeros(400, int), np.arange(400) % 5 == 4
+    cuts = [np.array([0.0, 1.0])] * pii.FEATURES
+    times = rng.integers(1, 4, 400)
+    many = pii.fit(np.repeat(x, times, 0), np.repeat(y, times), np.repeat(kinds, times), 0.9, held=np.repeat(held, times), cuts=cuts)
+    once = pii.fit(x, y, kinds, 0.9, times.astype(float), held, cuts)
+    assert np.allclose(many.score(x), once.score(x)) and np.allclose(many.thresholds, once.thresholds)
+    row = lambda i, label, v: (i, [(0, 0, 9, label == pii.POSITIVE, label, [float(v)] + [0.0] * (pii.FEATURES - 1))])
+    spans = [row(i, pii.NEGATIVE, 1) for i in range(6000)] + [row(9000 + i, pii.POSITIVE, 2) for i in range(3000)]
+    model = pii.learn(spark.createDataFrame(spans, f"_id long, spans array<{pii.SPAN}>"), 0.9)
+    assert abs(model.start - np.log(0.5)) < 0.1  # the share of all 9,000, not of 5,000 and 3,000
+
+
 def test_boosted_trees_learn_a_rule():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 5)).astype(np.float32)
