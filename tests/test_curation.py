@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from greenledger import rules
 from greenledger.functions import scoring as S, text as T
 from greenledger.operators import archive as A, dedup as D, digest as G
 
@@ -31,6 +34,34 @@ def test_casts_and_cleaning(spark):
     assert one(spark, T.document_number(F.lit("见"), F.lit("发改环资〔2025〕910号"))) == "发改环资〔2025〕910号"
 
 
+def spelled_out(c):
+    """Clean text, title and normal title as the plain classes give them, one step at a time."""
+    space = lambda x: F.trim(F.regexp_replace(x, T.BLANK + "+", " "))
+    text = space(F.regexp_replace(F.regexp_replace(c, T.CITATION, ""), T.INVISIBLE, ""))
+    title = space(F.btrim(F.regexp_replace(F.regexp_replace(text, T.DATE_PREFIX, ""), T.DECORATION, ""), F.lit(rules.TITLE_EDGE_CHARS)))
+    bare = F.lower(title)
+    for token in rules.TITLE_TOKENS:
+        bare = F.replace(bare, F.lit(token), F.lit(""))
+    return text, title, F.regexp_replace(bare, T.PUNCTUATION, "")
+
+
+def test_short_classes_hold_the_same_characters(spark):
+    chars = spark.range(1, 0x110000).filter("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    for plain, short in ((T.BLANK, T.ANY_BLANK), (T.PUNCTUATION, T.ANY_PUNCTUATION)):
+        assert chars.filter(F.col("c").rlike(plain) != F.col("c").rlike(short)).isEmpty()
+
+
+def test_normal_titles_equal_the_plain_steps_in_fewer_passes(spark):
+    pieces = ["", " ", "  ", "\t", "\u3000", "\u2028\x85", "\u200b", "\ufeff", "\ue200cite\ue202x\ue201", "\ue200ci\u200bte\ue202x\ue201", "2026-08-01", "2026年8月1日 ", "20", "图解", "视频｜", "—", "·", "(试行)", "Ab.C", "ÉΣ", "İ,", "园区", "。", "\U0001f600"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 9))) for _ in range(4000)]
+    rows = spark.createDataFrame([(x,) for x in texts], "c string")
+    c = F.col("c")
+    made = zip(spelled_out(c), (T.clean_text(c), T.clean_title(c), T.normal_title(c)))
+    assert [rows.filter(~plain.eqNullSafe(got)).count() for plain, got in made] == [0, 0, 0]
+    assert rows.select(T.normal_title(c).alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
+
+
 def test_unrelated_policy_is_excluded(spark):
     rows = [("北京经开区发布智能经济与脑机接口创新政策", "支持科技企业和创新创业活动。", "北京经济技术开发区", "2026-08-01", "https://example.com/1"),
             ("关于推进园区余热回收与蒸汽系统节能改造的通知", "部署余热、凝结水和蒸汽管网改造项目。", "某经济技术开发区", "2026-08-01", "https://example.com/2")]
