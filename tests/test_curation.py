@@ -62,6 +62,17 @@ def test_normal_titles_equal_the_plain_steps_in_fewer_passes(spark):
     assert rows.select(T.normal_title(c).alias("t"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 4
 
 
+def test_numbers_are_sought_where_their_last_character_stands(spark):
+    pieces = ["", " ", "\u3000", "发改环资", "〔", "[", "2025", " 2025 ", "〕", "]", "910", "号", "\u200b", "号 号", "abc"]
+    draw = random.Random(3)
+    texts = [None] + ["".join(draw.choices(pieces, k=draw.randint(0, 8))) for _ in range(3000)] + ["发改环资〔\u200b2025〕 910 号", "发改\ue200cite\ue202号\ue201〔2025〕9"]
+    rows = spark.createDataFrame([(x,) for x in texts], "c string")
+    plain = F.regexp_replace(F.regexp_extract(spelled_out(F.coalesce("c", F.lit("")))[0], T.DOCUMENT_NUMBER, 0), T.PUNCTUATION, "")
+    got = rows.select(plain.alias("plain"), T.document_number(F.col("c"), F.lit("")).alias("got"))
+    assert got.filter("NOT plain <=> got").isEmpty() and not got.filter("got <> ''").isEmpty()
+    assert ", 号)" in got.select("got")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unrelated_policy_is_excluded(spark):
     rows = [("北京经开区发布智能经济与脑机接口创新政策", "支持科技企业和创新创业活动。", "北京经济技术开发区", "2026-08-01", "https://example.com/1"),
             ("关于推进园区余热回收与蒸汽系统节能改造的通知", "部署余热、凝结水和蒸汽管网改造项目。", "某经济技术开发区", "2026-08-01", "https://example.com/2")]
