@@ -64,18 +64,24 @@ def _piece(order: DataFrame, by: Column) -> Column:
     return F.substring(by, 1, 13) if isinstance(kind, StringType) else by
 
 
-def _merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool = False) -> DataFrame:
-    """``dated``: arriving rows keep their own last_seen and, where the URL is new, their version."""
+def _sides(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored and arriving rows with their ``_side`` and their place ``_at`` among the rows of a URL."""
     old = with_columns_present(existing, ("version_count",), "int").withColumn("_side", F.lit(0))
     new = with_columns_present(incoming, ("version_count",), "int").withColumn("_side", F.lit(1))
     order_by = arrival or "first_seen"
     at = lambda df, side: F.struct(F.lit(side).alias("side"), F.col(order_by).alias("at"), F.col("content_hash").alias("tie"))
     old, new = old.withColumn("_at", at(old, 0)), new.withColumn("_at", at(new, 1))
-    # Several existing rows of one URL: the last one wins.
-    keep = old.groupBy("canonical_url").agg(F.max_by(F.struct(*old.columns), F.col("_at")).alias("row")).select("row.*")
     new = new.withColumn("first_seen", F.coalesce(F.col("first_seen"), as_of))
     if not dated:
         new = new.withColumns({"last_seen": as_of, "version_count": F.lit(None).cast("int")})
+    return old, new
+
+
+def _merge_log(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool = False) -> DataFrame:
+    """``dated``: arriving rows keep their own last_seen and, where the URL is new, their version."""
+    old, new = _sides(existing, incoming, as_of, arrival, dated)
+    # Several existing rows of one URL: the last one wins.
+    keep = old.groupBy("canonical_url").agg(F.max_by(F.struct(*old.columns), F.col("_at")).alias("row")).select("row.*")
     log = keep.unionByName(new, allowMissingColumns=True).withColumn("_hash", T.text_or_empty(F.col("content_hash")))
     # Pieces that follow the order cut a hot URL.
     log = log.withColumn("_chunk", F.struct(F.col("_side"), _piece(log, F.col("_at.at")).alias("at")))
@@ -110,7 +116,58 @@ def merge(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str
 
 def merge_keyed(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None = None) -> DataFrame:
     """``merge`` for rows that have been through ``keyed`` already."""
-    return _fold(_merge_log(existing, incoming, as_of, arrival))
+    return _merged(existing, incoming, as_of, arrival)
+
+
+def _merged(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool = False) -> DataFrame:
+    """URLs with at most one arriving row are settled in one grouping; the log is made for the others alone, if there are any."""
+    single = _settled(_pairs(existing, incoming, as_of, arrival, dated), as_of, dated)
+    crowded = _crowded(existing, incoming)
+    return single if crowded is None else single.unionByName(_fold(_merge_log(*crowded, as_of, arrival, dated)))
+
+
+def _crowded(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides' rows of the URLs with several arriving rows."""
+    urls = incoming.groupBy("canonical_url").agg(F.count("*").alias("_n")).filter("_n > 1").select("canonical_url")
+    return None if urls.isEmpty() else tuple(df.join(urls, "canonical_url", "left_semi") for df in (existing, incoming))
+
+
+def _pairs(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None, dated: bool) -> DataFrame:
+    """The stored row ``o`` and the arriving row ``n`` of each URL with at most one arriving row, and the action that row takes."""
+    old, new = _sides(existing, incoming, as_of, arrival, dated)
+    rows = old.unionByName(new, allowMissingColumns=True)
+    row = F.struct(*[c for c in rows.columns if c not in ("canonical_url", "_side", "_at")])
+    last = lambda side: F.max_by(row, F.when(F.col("_side") == side, F.col("_at")))
+    pairs = rows.groupBy("canonical_url").agg(last(0).alias("o"), last(1).alias("n"), F.sum("_side").alias("_n")).filter("_n <= 1").drop("_n")
+    before, after = (T.text_or_empty(F.col(side)["content_hash"]) for side in "on")
+    action = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "added").when(before != after, "updated").otherwise("unchanged")
+    return pairs.withColumn("action", action)
+
+
+def _settled(pairs: DataFrame, as_of: Column, dated: bool) -> DataFrame:
+    """What ``_fold`` makes of the log of one stored and one arriving row."""
+    o, n, action = F.col("o"), F.col("n"), F.col("action")
+    written, updated = action != "unchanged", action == "updated"
+    last_seen, version, publisher = n["last_seen"], n["version_count"], n["publisher"]
+    if dated:
+        last_seen = F.when(action == "added", F.coalesce(n["last_seen"], n["first_seen"])).when(updated, F.coalesce(n["last_seen"], as_of))
+        version, publisher = F.when(action == "added", version), F.when(written, publisher)
+    names = pairs.schema["o"].dataType.names
+    known_before = o["previous_content_hash"] if "previous_content_hash" in names else F.lit(None).cast("string")
+    return pairs.select(
+        "canonical_url",
+        *[F.coalesce(F.when(written, n[c]), o[c]).alias(c) for c in _carried(names)],
+        F.coalesce(publisher, o["publisher"]).alias("publisher"),
+        F.coalesce(o["first_seen"], n["first_seen"]).alias("first_seen"),
+        F.coalesce(last_seen, o["last_seen"]).alias("last_seen"),
+        (F.coalesce(F.greatest(o["version_count"], version), F.lit(1)) + updated.cast("int")).cast("int").alias("version_count"),
+        F.coalesce(F.when(updated, T.blank_to_null(T.text_or_empty(o["content_hash"]))), known_before).alias("previous_content_hash"),
+    )
+
+
+def _carried(names: list[str]) -> list[str]:
+    """Columns whose last written value stands."""
+    return [c for c in names if not c.startswith("_") and c not in ("canonical_url", "action", "version_count", "first_seen", "last_seen", "publisher", "previous_content_hash")]
 
 
 # --- the newest rows ---------------------------------------------------------
@@ -161,9 +218,8 @@ def _levels(date: Column, seen: Column, url: Column, step: int = 3, longest: int
 
 def _fold(log: DataFrame) -> DataFrame:
     """One row per URL from its ordered log."""
-    fields = [c for c in log.columns if not c.startswith("_") and c not in ("canonical_url", "action", "version_count", "first_seen", "last_seen", "publisher", "previous_content_hash")]
     written = F.col("action") != "unchanged"
-    latest = [F.max_by(F.col(c), F.when(written & F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in fields]
+    latest = [F.max_by(F.col(c), F.when(written & F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in _carried(log.columns)]
     updated = F.col("action") == "updated"
     known_before = (
         F.max(F.when(F.col("_side") == 0, F.col("previous_content_hash")))
@@ -181,11 +237,15 @@ def _fold(log: DataFrame) -> DataFrame:
 
 
 def merge_stats(existing: DataFrame, incoming: DataFrame, as_of: Column, arrival: str | None = None) -> DataFrame:
-    log = merge_log(existing, incoming, as_of, arrival)
-    return log.agg(
-        *[F.count_if(F.col("action") == a).alias(a) for a in ("added", "updated", "unchanged")],
-        F.count_if(F.col("action").isin("kept", "added")).alias("total"),
-    )
+    needed = list(dict.fromkeys(["canonical_url", "content_hash", "first_seen", arrival or "first_seen"]))
+    sides = keyed(existing, hashed=False).select(*needed), keyed(incoming).select(*needed)
+    acts = [F.count_if(F.col("action") == a).alias(a) for a in ("added", "updated", "unchanged")]
+    single = _pairs(*sides, as_of, arrival, False).agg(*acts, F.count("*").alias("total"))
+    crowded = _crowded(*sides)
+    if crowded is None:
+        return single
+    several = _merge_log(*crowded, as_of, arrival).agg(*acts, F.count_if(F.col("action").isin("kept", "added")).alias("total"))
+    return single.unionByName(several).agg(*[F.sum(c).alias(c) for c in single.columns])
 
 
 def overlay_seeds(archive: DataFrame, seeds: DataFrame, as_of: Column) -> DataFrame:
@@ -194,7 +254,7 @@ def overlay_seeds(archive: DataFrame, seeds: DataFrame, as_of: Column) -> DataFr
     A seed's own last_seen stays, else a new one takes its first_seen and a changed one ``as_of``; a new seed
     keeps its version.
     """
-    return _fold(_merge_log(keyed(archive, hashed=False), keyed(seeds), as_of, None, dated=True))
+    return _merged(keyed(archive, hashed=False), keyed(seeds), as_of, None, dated=True)
 
 
 def with_fallback(archive: DataFrame, seeds: DataFrame) -> DataFrame:

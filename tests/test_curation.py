@@ -126,6 +126,26 @@ def test_merge_orders_numeric_arrivals_and_keeps_stored_rows_unhashed(spark):
         assert (got["b"]["version_count"], got["b"]["previous_content_hash"]) == (4, None)
 
 
+def test_single_arrivals_are_settled_in_one_grouping(spark):
+    """The same rows as from the log of everything, with and without URLs that arrive several times, and one shuffle where none does."""
+    schema = "url string, title string, content_hash string, publisher string, first_seen string, last_seen string, version_count int, previous_content_hash string, n int"
+    draw = random.Random(5)
+    row = lambda i, n: (f"https://x.example/{i}", *[draw.choice(v) for v in (["a", None], ["h", "g", None, ""], ["p", "q", None], ["2020", "2021", None], ["2022", None], [None, 1, 4], [None, "z", ""])], n)
+    stored = spark.createDataFrame([row(i, 0) for i in range(40)], schema)
+    for urls, crowded in ((range(20, 60), False), ([20, 21, 21, 21, 50, 50, *range(22, 45)], True)):
+        came = spark.createDataFrame([row(i, n) for n, i in enumerate(urls)], schema)
+        sides = A.keyed(stored, hashed=False), A.keyed(came)
+        assert (A._crowded(*sides) is not None) == crowded
+        for dated in (False, True):
+            got, whole = A._merged(*sides, F.lit("2024"), "n", dated), A._fold(A._merge_log(*sides, F.lit("2024"), "n", dated))
+            assert got.dtypes == whole.dtypes and sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+        log = A.merge_log(stored, came, F.lit("2024"), "n")
+        acts = log.agg(*[F.count_if(F.col("action") == a) for a in ("added", "updated", "unchanged")], F.count_if(F.col("action").isin("kept", "added"))).first()
+        assert tuple(A.merge_stats(stored, came, F.lit("2024"), "n").first()) == tuple(acts)
+        if not crowded:
+            assert A.merge(stored, came, F.lit("2024"), "n")._jdf.queryExecution().sparkPlan().toString().count("Aggregate(") <= 2
+
+
 def test_seeds_keep_their_own_dates(spark):
     schema = "url string, title string, content_hash string, first_seen string, last_seen string, version_count int"
     stored = spark.createDataFrame([("https://x.example/a", "old", "1", "2018", "2018", 2), ("https://x.example/c", "same", "3", "2018", "2018", 1)], schema)
