@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from posixpath import commonprefix
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -11,6 +13,7 @@ from pyspark.sql.types import NumericType, StringType, TimestampNTZType, Timesta
 from greenledger.functions import text as T
 from greenledger.functions.scoring import with_columns_present
 from greenledger.operators.chunked import with_previous, with_running_sum
+from greenledger.session import written
 
 IDENTITY = ("url", "canonical_url", "title", "summary", "content_hash", "publisher", "published_date", "first_seen", "last_seen")
 
@@ -179,16 +182,19 @@ def newest(archive: DataFrame, records: int, url: str = "canonical_url") -> Data
     """The first ``records`` rows in archive order: published date, then first sight, both downwards with missing ones last, then URL.
 
     No task sorts the archive. A histogram of dates says which dates are in whole and on which date the cut falls; on that date alone
-    a histogram of hours of first sight says the same, then one of the sights within that hour, then ones of three more characters of the URL at a
-    time. It ends when the border falls between two values, or so few rows tie there that they are ranked. Rows with one URL go by
-    their whole content.
+    a histogram of hours of first sight says the same, then one of the sights within that hour, then ones of the three characters of the URL behind
+    those that all tied rows share. It ends when the border falls between two values, or so few rows tie there that they are ranked. Rows with
+    one URL go by their whole content. The archive is computed once, into a table that the levels and the result read.
     """
     if records <= 0:
         return archive.limit(0)
+    archive = written(archive)
     seen = F.col("first_seen").cast("string")
+    levels = [(F.col("published_date").cast("string"), True), (F.substring(seen, 1, 13), True), (seen, True)]
     inside, tied, left, rows = F.lit(False), F.lit(True), records, None
-    for value, down in _levels(F.col("published_date").cast("string"), seen, F.col(url)):
-        if value is None or (rows is not None and rows <= RANKED):
+    while rows is None or rows > RANKED:
+        value, down = levels.pop(0) if levels else (_behind_shared(archive.filter(tied), url), False)
+        if value is None:
             break
         held = archive.filter(tied).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
         spot = F.desc_nulls_last("v") if down else F.asc_nulls_last("v")
@@ -206,14 +212,12 @@ def newest(archive: DataFrame, records: int, url: str = "canonical_url") -> Data
     return archive.filter(inside).unionByName(last)
 
 
-def _levels(date: Column, seen: Column, url: Column, step: int = 3, longest: int = 4096):
-    """(value, downwards) from coarse to fine."""
-    yield date, True
-    yield F.substring(seen, 1, 13), True
-    yield seen, True
-    for at in range(1, longest, step):
-        yield F.substring(url, at, step), False
-    yield None, False
+def _behind_shared(rows: DataFrame, url: str, step: int = 3) -> Column | None:
+    """The characters of the URL behind those that all rows share; none if the rows have one URL."""
+    ends = rows.agg(F.min(url).alias("low"), F.max(url).alias("high"), F.count_if(F.col(url).isNull()).alias("missing")).first()
+    if ends["low"] == ends["high"] and (ends["low"] is None or not ends["missing"]):
+        return None
+    return F.substring(url, len(commonprefix([ends["low"], ends["high"]])) + 1, step)
 
 
 def _fold(log: DataFrame) -> DataFrame:

@@ -63,6 +63,23 @@ def test_newest_rows_are_exact_at_the_border(spark, monkeypatch, ranked):
         assert sorted(map(str, (tuple(r) for r in A.newest(frame, n).collect()))) == sorted(map(str, order[:n])), n
 
 
+def test_newest_rows_compute_the_archive_once(spark, monkeypatch):
+    """However many levels the border takes, also behind a long common start of the URLs."""
+    monkeypatch.setattr(A, "RANKED", 3)
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = [("2024-01-01", "2024-02-01 10:00:00", f"https://e.example/{'same/' * 20}{i:04d}") for i in range(300)] + [("2024-01-01", "2024-02-01 10:00:00", None)] * 5
+    frame = spark.createDataFrame(rows, "published_date string, first_seen string, canonical_url string").mapInArrow(counted, "published_date string, first_seen string, canonical_url string")
+    got = [r["canonical_url"] for r in A.newest(frame, 287).collect()]
+    assert sorted(got) == [r[2] for r in rows[:287]] and computed.value == len(rows)
+    assert A.newest(frame, 302).filter("canonical_url IS NULL").count() == 2
+
+
 def test_ordered_digest_sees_order_but_no_partitions(spark):
     rnd = random.Random(4)
     rows = [(i, f"https://e.example/{i}", f"h{rnd.random()}") for i in range(9000)]
