@@ -5,9 +5,10 @@ dictionary from end to number of tokens; the intersection of the two key sets, s
 the smallest runs of tokens that cover the same bytes. In every group the last A token and the last B token end
 together: that pair is the group's link. (Tokens are never empty, so no other pair ends there.)
 
-A task encodes blocks of a few megabytes once and writes them packed. Links of a block are summed before the shuffle,
-so the count of an id pair adds at most one row per block; the counts return to the blocks by a join whose
-hot pairs are split. Only B's vocabulary, whose size is known, is broadcast.
+A task encodes blocks of a few megabytes once and writes them packed, a quarter of a megabyte of text to a row, so neither the
+JVM nor Python holds more than such a row unpacked (a longer text is a row of its own). Links of a block are summed before the shuffle,
+so the count of an id pair adds at most one row per block (two where a split of the file ends in it); the counts return to the blocks by
+a join whose hot pairs are split. Only B's vocabulary, whose size is known, is broadcast.
 
 A: a byte-level vocabulary in JSON; special tokens are plain text. Where the order of its merges is the order of its ids, which is
 checked, ``tiktoken`` encodes (the same tokens in a quarter of the time); a text with a very long run
@@ -26,6 +27,7 @@ import json
 import os
 import re
 from functools import cached_property, lru_cache
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -43,6 +45,8 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NOTHING = [np.zeros(0, np.uint32)] * 4
 LONG_SPACE = re.compile(r"\s{1000}")
+PART = 1 << 18  # bytes of text in a packed row; a block has several
+ROW_GROUP = 16 << 20  # bytes that a task's writer holds, and a reader takes at once
 
 PACKED = "_blk long, ids binary, n_a binary, n_b binary, n_groups binary, a_ids binary, b_ids binary, a_sizes binary, b_sizes binary"
 GROUPS = "_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
@@ -153,40 +157,48 @@ class Aligner:
 
 
 def _pack32(lists: list) -> bytes:
-    return C.pack(np.concatenate([np.asarray(x, np.uint32) for x in lists]) if lists else np.zeros(0, np.uint32))
+    """Numbers in the least of 1, 2 or 4 bytes each, side by side, so that what comes again as a run of tokens is found again."""
+    values = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if lists else np.zeros(0, np.uint32)
+    width = next(w for w in (1, 2, 4) if int(values.max(initial=0)) < 1 << (8 * w))
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.Codec("zstd", compression_level=3).compress(values.astype(f"<u{width}").tobytes(), asbytes=True)
 
 
 def _unpack32(body: bytes) -> np.ndarray:
-    return C.unpack(body, np.uint32).astype(np.int64)
+    n, width = int.from_bytes(body[:8], "little"), body[8]
+    return np.frombuffer(pa.decompress(body[9:], decompressed_size=n * width, codec="zstd") if n else b"", f"<u{width}").astype(np.int64)
 
 
 def _encode(a: str, b: str, block_bytes: int):
     def encode(batches):
-        aligner, block = Aligner(a, b), TaskContext.get().partitionId() << 33
+        aligner, block, held = Aligner(a, b), TaskContext.get().partitionId() << 33, 0
         names = [field.split(" ")[0] for field in PACKED.split(", ")]
-        for batch in C.pieces(batches, limit=block_bytes):
-            found = [aligner.align(raw.as_py()) for raw in batch.column("_text").cast(pa.large_binary())]
+        for batch in C.pieces(batches, limit=min(PART, block_bytes)):
+            texts = batch.column("_text").cast(pa.large_binary())
+            size = pc.sum(pc.binary_length(texts)).as_py() or 0
+            if held and held + size > block_bytes:
+                block, held = block + 1, 0
+            held += size
+            found = [aligner.align(raw.as_py()) for raw in texts]
             sizes = [[len(f[k]) for f in found] for k in (0, 1, 2)]
             columns = [
                 C.pack(batch.column("_id").to_numpy().view(np.uint64)), *[_pack32([s]) for s in sizes], _pack32([f[0] for f in found]), _pack32([f[1] for f in found]),
                 _pack32([np.diff(f[2], prepend=np.uint32(0)) for f in found]), _pack32([np.diff(f[3], prepend=np.uint32(0)) for f in found]),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], names=names)
-            block += 1
 
     return encode
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file: str = A_FILE, b_file: str = B_FILE, block_bytes: int = 4 << 20) -> DataFrame:
-    """Aligned blocks, written to the shared folder: the texts are encoded once, whatever is asked of them later."""
+    """Aligned blocks, some rows each, written to the shared folder: the texts are encoded once, whatever is asked of them later."""
     a, b = Path(a_file).read_text(), base64.b64encode(Path(b_file).read_bytes()).decode()
-    return written(C.intake(docs, id_col, text_col).mapInArrow(_encode(a, b, block_bytes), PACKED))
+    return written(C.intake(docs, id_col, text_col).mapInArrow(_encode(a, b, block_bytes), PACKED), ROW_GROUP)
 
 
 # --- what a block holds ----------------------------------------------------------
 
 class Block:
-    """One packed row: documents in order, their tokens and groups."""
+    """One packed row, a part of a block: documents in order, their tokens and groups."""
 
     def __init__(self, row: dict):
         self.ids = C.unpack(row["ids"]).view(np.int64)
@@ -199,7 +211,8 @@ class Block:
 
 
 def _blocks(rows):
-    for row in rows.to_pylist():
+    for i in range(rows.num_rows):  # one unpacked at a time
+        row = rows.slice(i, 1).to_pylist()[0]
         yield row["_blk"], Block(row)
 
 
@@ -220,10 +233,12 @@ def alignments(blocks: DataFrame) -> DataFrame:
 
 
 def _pairs(batches):
-    for batch in batches:
-        for blk, block in _blocks(batch):
-            keys, n = np.unique(block.links(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), blk), pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["_blk", "pair", "n"])
+    parts = ((blk, *np.unique(block.links(), return_counts=True)) for batch in batches for blk, block in _blocks(batch))
+    for blk, found in groupby(parts, key=lambda part: part[0]):
+        _, keys, n = zip(*found)
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)  # sums stay far below 2^53
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), blk), pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["_blk", "pair", "n"])
 
 
 def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,12 +251,18 @@ def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked, marked
 
 
+@lru_cache(maxsize=32)
+def _names(bits: int) -> pa.Array:
+    """All numbers of so many bits as text, once per worker process."""
+    return pa.array(np.arange(1 << bits)).cast(pa.string())
+
+
 def _notation(block: Block) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` for every document."""
 
     def joined(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        names = pa.array([str(i) for i in range(int(values.max(initial=0)) + 1)], pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names.take(pa.array(values)))
+        names = _names(int(values.max(initial=0)).bit_length()).take(pa.array(values))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names)
         return pc.binary_join(lists, ",")
 
     groups = pc.binary_join_element_wise(joined(block.a, block.a_sizes), joined(block.b, block.b_sizes), "|")

@@ -61,6 +61,21 @@ def test_alignment_equals_brute_force(spark):
     assert alignment.link_scores(alignment.align(frame.limit(0))).collect() == []
 
 
+def test_packed_rows_are_small_and_blocks_are_summed_once(spark):
+    docs = [(i, f"line {i % 7} of a longer text, " * 180) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    blocks = alignment.align(frame)
+    size = {i: len(t) for i, t in docs}
+    rows = blocks.collect()
+    assert max(sum(size[i] for i in alignment.Block(r.asDict()).ids.tolist()) for r in rows) <= 1 << 18
+    assert len({r["_blk"] for r in rows}) == 1  # 2 MB of text: one block, so a pair is one row
+    asked, _ = alignment.pair_counts(blocks)
+    assert asked.count() == asked.select("_blk", "pair").distinct().count()
+    got = {r["_id"]: tuple(r)[1:] for r in alignment.link_scores(blocks).collect()}
+    few = {r["_id"]: tuple(r)[1:5] for r in alignment.link_scores(alignment.align(frame.limit(7))).collect()}
+    assert len(got) == 400 and all(got[i] == got[i % 7] and got[i][:4] == few[i % 7] for i in got)
+
+
 def test_alignment_of_bytes_that_are_no_text(spark):
     frame = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(X'61FF62' as string)").alias("text"))
     assert [tuple(r) for r in alignment.link_scores(alignment.align(frame)).collect()] == [(0, 0, 0, 0, 0, 0, 0, "")]
