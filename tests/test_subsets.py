@@ -145,3 +145,39 @@ def test_listing_takes_plain_arrays():
     two = lambda a, b: pd.Series([np.array(a), np.array(b)])
     found = P._listed(two([5, 1], [5, 1]), two([1, 9], [1, 9]), two([0, 0], [0, 0]), two([0, 0], [0, 0]), two([-1, -1], [-1, -1]), pd.Series([None, [[], [0]]]), pd.Series([3, 6]), pd.Series([9, 9]))
     assert found["taken"].tolist() == [[1], [0, 1]] and found["meets"].tolist() == [True, True]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_scenario_is_listed_once(spark):
+    """The filter on what the listing found must not ask for a second listing."""
+    rows = [(k, str(i), float(i + k % 3 + 1), float(3 * i % 7), -float(i % 2)) for k in range(20) for i in range(k % 5)]
+    priced = spark.createDataFrame(rows, "s long, project_id string, capex_10k_cny double, annual_abatement_tco2 double, npv_cost_10k_cny double")
+    priced = priced.withColumns({"prerequisites": F.array().cast("array<string>"), "mutex_group": F.lit("")})
+    settings = spark.range(20).select(F.col("id").alias("s"), F.lit(6.0).alias("budget_10k_cny"), F.lit(3.0).alias("annual_target_tco2"))
+    best = P.best_subsets(P.scenario_lists(priced, settings, "s"), "s")
+    assert plan_of(best).count("ArrowEvalPython") == 1
+    for s, taken, capex, abatement in best.select("s", F.transform("best.taken", lambda i: F.get("ids", i)), "best.capex", "best.abatement").collect():
+        held = [r for r in rows if r[0] == s and r[1] in taken]
+        subsets = [[r for j, r in enumerate([r for r in rows if r[0] == s]) if m >> j & 1] for m in range(1 << s % 5)]
+        fits = [x for x in subsets if sum(r[2] for r in x) <= 6]
+        meet = [x for x in fits if sum(r[3] for r in x) >= 3]
+        key = lambda x: (sum(r[4] for r in x), sum(r[2] for r in x), -sum(r[3] for r in x), len(x)) if meet else (-sum(r[3] for r in x), sum(r[4] for r in x), sum(r[2] for r in x), len(x))  # noqa: B023, E731
+        assert key(held) == min(map(key, meet or fits)) and capex == 10000 * sum(r[2] for r in held) and abatement == 10000 * sum(r[3] for r in held)
+
+
+def test_order_lines_are_shuffled_once(spark, tmp_path):
+    from greenledger.bindings.assess import order_projects, order_scenarios
+
+    lines = [(k, (k or 0) % 3 + i % 2, float(i + 1), 10.0 * (i + 1), 0.1, 0.02, "R" if i == 2 else "N") for k in [*range(30), None] for i in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 100.0) for k in range(30)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = order_projects(spark, str(tmp_path))
+    assert plan_of(got.join(order_scenarios(spark, str(tmp_path)).hint("merge"), "scenario").groupBy("scenario").count()).count("Exchange hashpartitioning") == 2  # lines and orders, once each
+    rows = {(r["scenario"], r["project_id"]): r for r in got.collect()}
+    assert len(rows) == 62
+    for (k, part), r in rows.items():
+        own = [x for x in lines if x[0] == k and str(x[1]) == part]
+        assert r["capex_10k_cny"] == sum(x[3] for x in own) and r["annual_abatement_tco2"] == sum(x[2] for x in own) and r["mutex_group"] == ("R" if any(x[6] == "R" for x in own) else "")
