@@ -181,3 +181,15 @@ def test_order_lines_are_shuffled_once(spark, tmp_path):
     for (k, part), r in rows.items():
         own = [x for x in lines if x[0] == k and str(x[1]) == part]
         assert r["capex_10k_cny"] == sum(x[3] for x in own) and r["annual_abatement_tco2"] == sum(x[2] for x in own) and r["mutex_group"] == ("R" if any(x[6] == "R" for x in own) else "")
+
+
+@pytest.mark.parametrize("n", [5, 14])
+def test_a_missing_cost_adds_nothing(spark, n):
+    """Listed or searched, a project without a known cost counts as one that costs nothing over its life."""
+    schema = "s string, project_id string, name string, capex_10k_cny double, annual_abatement_tco2 double, annual_saving_10k_cny double, annual_opex_10k_cny double, lifetime_years int, mutex_group string"
+    rows = [(s, f"p{i:02d}", "x", 10.0 + i, 5.0 + i % 4, 1.0 + i % 3, 0.5, 10, "") for s in ("known", "missing") for i in range(n - 1)]
+    rows += [("known", "z", "x", 0.0, 3.0, 0.0, 0.0, 10, ""), ("missing", "z", "x", 0.0, 3.0, None, 0.0, 10, "")]
+    projects = spark.createDataFrame(rows, schema).withColumn("prerequisites", F.array().cast("array<string>"))
+    settings = spark.createDataFrame([(s, 45.0, 12.0, 0.05) for s in ("known", "missing")], "s string, budget_10k_cny double, annual_target_tco2 double, discount_rate double")
+    known, missing = (tuple(r)[1:] for r in P.select_portfolio(projects, settings, "s")[0].orderBy("s").collect())
+    assert known == missing and "z" in known[6]
